@@ -59,4 +59,5 @@ def block(vox: Column, bits: int, shift: tuple[int, int, int] = (0, 0, 0)) -> Co
 
 def blocks_within(vox: Column, bits: int, reach: int) -> Column:
     """Keys of every cube that has a voxel within ``reach`` of this one along each axis (reach below the cube's side)."""
-    return F.array_distinct(F.array(*[block(vox, bits, shift) for shift in itertools.product((-reach, reach), repeat=3)]))
+    ends = (-reach, reach) if 2 * reach < 1 << bits else (-reach, 0, reach)
+    return F.array_distinct(F.array(*[block(vox, bits, shift) for shift in itertools.product(ends, repeat=3)]))

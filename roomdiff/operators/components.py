@@ -79,7 +79,7 @@ def components(voxels: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     keys = [c for c in voxels.columns if c != "vox"]
     side = 1 << bits
 
-    def solve(key, table: pa.Table) -> pa.Table:
+    def solve(key, table):
         vox = np.sort(table.column("vox").to_numpy())
         cube = key[-1].as_py()
         base = np.array([((cube >> s) & v.MASK) << bits for s in (2 * v.BITS, v.BITS, 0)])

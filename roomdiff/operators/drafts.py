@@ -80,10 +80,9 @@ def fit(branches: DataFrame, objects: DataFrame, sizes: DataFrame) -> DataFrame:
 def seeds(objects: DataFrame, bases: DataFrame) -> DataFrame:
     """``bases(set_id, base)`` -> placements of everything the base state holds, in id order; none for a null base."""
     at = scene.presence(objects).select("set_id", F.col("state").alias("base"), F.struct("id", "x", "z").alias("p"))
-    got = (bases.select("set_id", "base").distinct().join(at, ["set_id", "base"])
-           .groupBy("set_id", "base").agg(F.sort_array(F.collect_list("p")).alias("seed")))
-    return (bases.select("set_id", "base").distinct().join(got, (bases["set_id"] == got["set_id"]) & bases["base"].eqNullSafe(got["base"]), "left")
-            .select(bases["set_id"], bases["base"], F.coalesce(got["seed"], F.array().cast(PLACEMENTS)).cast(PLACEMENTS).alias("seed")))
+    wanted = bases.select("set_id", "base").distinct()
+    got = wanted.join(at, ["set_id", "base"]).groupBy("set_id", "base").agg(F.sort_array(F.collect_list("p")).alias("seed"))
+    return wanted.join(got, ["set_id", "base"], "left").withColumn("seed", F.coalesce("seed", F.array().cast(PLACEMENTS)).cast(PLACEMENTS))
 
 
 def same_layout(a: Column, b: Column) -> Column:
@@ -95,13 +94,10 @@ def review(drafts: DataFrame, branches: DataFrame, stores: DataFrame, objects: D
     """Per open draft: its name, whether it differs from its branch (from its seed when it has none), whether it can be saved."""
     saved = branches.select("set_id", "id", F.col("name").alias("b_name"), F.col("base").alias("b_base"),
                             F.col("placements").alias("b_put"), F.size("attempts").alias("b_tries"), F.lit(True).alias("has"))
-    seed = seeds(objects, drafts)
-    rows = (drafts.join(saved, ["set_id", "id"], "left")
-            .join(seed.withColumnRenamed("base", "s_base").withColumnRenamed("set_id", "s_set"),
-                  (F.col("set_id") == F.col("s_set")) & F.col("base").eqNullSafe(F.col("s_base")), "left")
+    rows = (drafts.join(saved, ["set_id", "id"], "left").join(seeds(objects, drafts), ["set_id", "base"], "left")
             .join(stores, "set_id", "left"))
     has = F.col("has").eqNullSafe(True)
-    ref_put = F.when(has, F.col("b_put")).otherwise(F.col("seed"))
+    ref_put = F.when(has, F.col("b_put")).otherwise(F.coalesce("seed", F.array().cast(PLACEMENTS)))
     ref_tries = F.when(has, F.col("b_tries")).otherwise(0)
     base_moved = has & ~F.col("base").eqNullSafe(F.col("b_base"))
     dirty = base_moved | (F.size("attempts") != ref_tries) | ~same_layout(F.col("placements").cast(PLACEMENTS), ref_put)

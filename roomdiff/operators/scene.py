@@ -100,7 +100,7 @@ def objects_at(objects: DataFrame, states: DataFrame) -> DataFrame:
 
 def presence(objects: DataFrame) -> DataFrame:
     """(set_id, id, state, x, z): each object's place on the floor in each state it is present in."""
-    return objects.select("set_id", "id", F.explode(F.array_distinct("present")).cast("int").alias("state"),
+    return objects.select("set_id", "id", F.explode(F.array_distinct(F.col("present").cast("array<int>"))).alias("state"),
                           g.middle(F.col("bbox"), 0).alias("x"), g.middle(F.col("bbox"), 2).alias("z"))
 
 

@@ -120,7 +120,7 @@ def distances(targets: DataFrame, mask: DataFrame, reach: int, bits: int = BLOCK
          .join(cubes, [*keys, "cube"], "left_semi").select(*keys, "vox", "cube", F.lit(False).alias("ask")))
     side = (1 << bits) + 2 * reach
 
-    def solve(key, table: pa.Table) -> pa.Table:
+    def solve(key, table):
         vox = table.column("vox").to_numpy()
         ask = table.column("ask").to_numpy(zero_copy_only=False)
         cube = key[-1].as_py()
