@@ -129,7 +129,7 @@ h AS (SELECT *, CASE WHEN swing THEN 2.0 ELSE px * gr + d END AS qx, 1.6 * gr AS
 k AS (SELECT *, sqrt(px * px + 1.6 * 1.6 + 4.0) AS d0, sqrt((qx - d) * (qx - d) + qy * qy + qz * qz) AS d1, px * (qx - d) + 1.6 * qy + 2.0 * qz AS dot FROM h),
 mo AS (SELECT *, d AS pan, abs(d1 - d0) AS dolly, acos(least(greatest(dot / (d0 * d1), -1.0), 1.0)) * d0 AS orbit FROM k),
 cl AS (SELECT session, id, us + held * 1000 AS us, d0, d1, greatest(pan, dolly, orbit) AS most, CASE WHEN pan >= dolly AND pan >= orbit THEN 'pan' WHEN dolly >= orbit THEN 'dolly' ELSE 'orbit' END AS moved_verb, held,
-  CASE WHEN pan >= dolly AND pan >= orbit THEN '→ ' || format('{:.2f} 0.00 0.00', d) END AS detail FROM mo),
+  CASE WHEN pan >= dolly AND pan >= orbit THEN '→ ' || format('{:.2f} 0.00 0.00', CASE WHEN d * 8 = floor(d * 8) AND CAST(d * 8 AS BIGINT) % 2 = 1 THEN d * (1 + 1e-12) ELSE d END) END AS detail FROM mo),
 moves AS (SELECT * FROM cl WHERE most >= CASE WHEN held < 250 THEN 0.05 ELSE 0.01 END)"""
 
 

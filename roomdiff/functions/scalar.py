@@ -39,14 +39,22 @@ def equal_bin(v: Column, lo: Column, hi: Column, n: Column) -> Column:
     return F.least(raw, n - 1).cast("int")
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Fixed decimals of the number as stored, exact halves away from zero."""
+    halves = c * float(2 ** (digits + 1))                # exact; an odd whole number is a number halfway between two texts
+    tie = F.pmod(halves, F.lit(2.0)) == 1.0
+    pattern = F.lit("0." + "0" * digits if digits else "0")
+    return F.call_function("format_number", F.when(tie, c * (1 + 1e-12)).otherwise(c), pattern)
+
+
 def metres(m: Column) -> Column:
-    return F.format_string("%.1f m", m)
+    return F.concat(fixed(m, 1), F.lit(" m"))
 
 
 def compact(n: Column) -> Column:
     """2.1 M, 3 k, 87."""
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1f M", n / 1_000_000.0))
+        F.when(n >= 1_000_000, F.concat(fixed(n / 1_000_000.0, 1), F.lit(" M")))
         .when(n >= 1_000, F.concat(F.round(n / 1_000.0, 0).cast("long").cast("string"), F.lit(" k")))
         .otherwise(n.cast("string"))
     )

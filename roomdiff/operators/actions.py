@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomdiff.functions.scalar import padded_id
+from roomdiff.functions.scalar import fixed, padded_id
 
 CLICK_MS = 250           # a press shorter than this is a click …
 CLICK_SLOP_M = 0.05      # … unless it moved this far
 MOTION_EPS_M = 0.01      # below this nothing moved
 DOLLY_SETTLE_MS = 800    # wheel ticks closer than this are one zoom
+ID_CHUNK = 1 << 16       # ids one task compares at a time
 
 
 def append(log: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -24,14 +25,36 @@ def append(log: DataFrame, fresh: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.coalesce("top", F.lit(0)) + F.col("n")).select(*log.columns)
 
 
+def runs(df: DataFrame, keys: list[str], order: str, chunk: Column, value: str, joined: Column | None = None) -> DataFrame:
+    """Adds ``run``: a number shared by consecutive rows (in ``order``) with the same ``value``. ``joined`` says more about when a row
+    with its predecessor's value belongs to it, through the columns ``prev`` (the predecessor's order) and its own.
+
+    Rows are compared inside chunks of the order, then the chunks of a key are strung together from one summary row each, so
+    a key with most of the rows is not sorted in one task.
+    """
+    joined = F.lit(True) if joined is None else joined
+    rows = df.withColumn("_chunk", chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    same = F.col(value).eqNullSafe(F.col("_before")) & F.coalesce(joined, F.lit(False))
+    rows = rows.withColumn("prev", F.lag(order).over(w)).withColumn("_before", F.lag(value).over(w))
+    rows = rows.withColumn("_fresh", F.when(F.col("prev").isNotNull() & ~same, 1).otherwise(0)).drop("_before", "prev")
+    rows = rows.withColumn("_in", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*keys, "_chunk").agg(F.min_by(F.struct(order, value), order).alias("a"), F.max_by(F.struct(order, value), order).alias("z"), F.max("_in").alias("m"))
+    c = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = ends.select(*keys, "_chunk", "m", F.col(f"a.{order}").alias(order), F.col(f"a.{value}").alias(value),
+                       F.lag(F.col(f"z.{order}")).over(c).alias("prev"), F.lag(F.col(f"z.{value}")).over(c).alias("_before"))
+    ends = ends.withColumn("_step", F.when(F.col("prev").isNotNull() & same, 0).otherwise(1))
+    base = (F.sum(F.col("m") + F.col("_step")).over(c.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
+    ends = ends.select(*keys, "_chunk", base.alias("_base"))
+    return rows.join(ends, [*keys, "_chunk"]).withColumn("run", F.col("_base") + F.col("_in")).drop("_chunk", "_in", "_base", "_fresh")
+
+
 def amend(log: DataFrame) -> DataFrame:
     """Runs of the same verb folded into one row: the first id, the last time, detail and snapshot, and how many it took."""
-    w = Window.partitionBy("session").orderBy("id")
-    fresh = F.when(F.col("verb").eqNullSafe(F.lag("verb").over(w)), 0).otherwise(1)
-    runs = log.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = runs(log, ["session"], "id", F.floor(F.col("id") / ID_CHUNK), "verb")
     rest = [c for c in log.columns if c not in ("session", "id", "verb")]
     last = F.max_by(F.struct(*rest), "id").alias("last")
-    return runs.groupBy("session", "run").agg(F.min("id").alias("id"), F.first("verb").alias("verb"), F.count("*").alias("folded"),
+    return numbered.groupBy("session", "run").agg(F.min("id").alias("id"), F.first("verb").alias("verb"), F.count("*").alias("folded"),
                                               F.min("ts").alias("started"), last).select("session", "id", "verb", "folded", "started", "last.*")
 
 
@@ -59,23 +82,25 @@ def classify(gestures: DataFrame) -> DataFrame:
     floor = F.when(held_ms < CLICK_MS, CLICK_SLOP_M).otherwise(MOTION_EPS_M)
     most = F.col("most")
     verb = F.when(most == F.col("pan_m"), "pan").when(most == F.col("dolly_m"), "dolly").otherwise("orbit")
-    fixed = lambda at: F.format_string("%.2f %.2f %.2f", *[F.col(at)[i] for i in range(3)])
-    detail = (F.when(verb == "pan", F.concat(F.lit("→ "), fixed("target1")))
-              .when(verb == "orbit", F.concat(F.format_string("%.0f°  ", F.degrees("angle")), fixed("pos1"))))
+    spot = lambda at: F.concat_ws(" ", *[fixed(F.col(at)[i], 2) for i in range(3)])
+    detail = (F.when(verb == "pan", F.concat(F.lit("→ "), spot("target1")))
+              .when(verb == "orbit", F.concat(fixed(F.degrees("angle"), 0), F.lit("°  "), spot("pos1"))))
     return rows.filter(most >= floor).select("session", F.col("t1").alias("ts"), verb.alias("verb"), "most", "d0", "d1", detail.alias("detail"))
 
 
+def _zoom_text() -> Column:
+    return F.concat(fixed(F.col("d0"), 2), F.lit(" → "), fixed(F.col("d1"), 2), F.lit(" m"))
+
+
 def dolly_sessions(moves: DataFrame) -> DataFrame:
     """Zooms of ``moves(session, ts, verb, d0, d1, …)``: wheel ticks less than 800 ms apart are one; any other gesture ends a zoom; one
     whose net motion is under a centimetre is dropped."""
-    w = Window.partitionBy("session").orderBy("ts")
-    gap_ms = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1000.0
-    fresh = F.when((F.col("verb") == "dolly") & F.lag("verb").over(w).eqNullSafe("dolly") & (gap_ms < DOLLY_SETTLE_MS), 0).otherwise(1)
-    runs = moves.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    zooms = runs.filter("verb = 'dolly'").groupBy("session", "run").agg(
+    gap_ms = (F.unix_micros("ts") - F.unix_micros("prev")) / 1000.0
+    numbered = runs(moves, ["session"], "ts", F.date_trunc("hour", "ts"), "verb", (F.col("verb") == "dolly") & (gap_ms < DOLLY_SETTLE_MS))
+    zooms = numbered.filter("verb = 'dolly'").groupBy("session", "run").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ts"), F.min_by("d0", "ts").alias("d0"), F.max_by("d1", "ts").alias("d1"), F.count("*").alias("ticks"))
     return zooms.filter(F.abs(F.col("d1") - F.col("d0")) >= MOTION_EPS_M).select(
-        "session", "started", "ts", "d0", "d1", "ticks", F.format_string("%.2f → %.2f m", "d0", "d1").alias("detail"))
+        "session", "started", "ts", "d0", "d1", "ticks", _zoom_text().alias("detail"))
 
 
 def camera_log(moves: DataFrame) -> DataFrame:
@@ -84,13 +109,10 @@ def camera_log(moves: DataFrame) -> DataFrame:
     zooms = dolly_sessions(moves).select("session", "started", "ts", F.lit("dolly").alias("verb"), "d0", "d1", "detail")
     plain = moves.filter("verb <> 'dolly'").select("session", F.col("ts").alias("started"), "ts", "verb", "d0", "d1", "detail")
     rows = zooms.unionByName(plain)
-    w = Window.partitionBy("session").orderBy("ts")
-    fold = (F.col("verb") == "dolly") & F.lag("verb").over(w).eqNullSafe("dolly")
-    runs = rows.withColumn("fresh", F.when(fold, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("session", "run").agg(F.min("started").alias("started"), F.max("ts").alias("ts"), F.first("verb").alias("verb"),
+    numbered = runs(rows, ["session"], "ts", F.date_trunc("hour", "ts"), "verb", F.col("verb") == "dolly")
+    out = numbered.groupBy("session", "run").agg(F.min("started").alias("started"), F.max("ts").alias("ts"), F.first("verb").alias("verb"),
                                              F.min_by("d0", "ts").alias("d0"), F.max_by("d1", "ts").alias("d1"), F.max_by("detail", "ts").alias("detail"))
-    zoom = F.format_string("%.2f → %.2f m", "d0", "d1")
-    return out.select("session", "started", "ts", "verb", F.when(F.col("verb") == "dolly", zoom).otherwise(F.col("detail")).alias("detail"))
+    return out.select("session", "started", "ts", "verb", F.when(F.col("verb") == "dolly", _zoom_text()).otherwise(F.col("detail")).alias("detail"))
 
 
 def restore(log: DataFrame, asked: DataFrame, branches: DataFrame) -> DataFrame:

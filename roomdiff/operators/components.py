@@ -56,8 +56,7 @@ def connect(edges: DataFrame, keys: list[str]) -> DataFrame:
         both = cur.unionByName(cur.select(*keys, F.col("w").alias("u"), F.col("u").alias("w")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("w"), F.first("u")).alias("m"))
         large = both.join(low, [*keys, "u"]).filter(F.col("w") > F.col("u")).select(*keys, F.col("w").alias("u"), F.col("m").alias("w"))
-        large = written(large.filter("u <> w").distinct(), "edges")
-        down = large.select(*keys, F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w")).distinct()
+        down = large.filter("u <> w").select(*keys, F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w")).distinct()
         low = down.groupBy(*keys, "u").agg(F.min("w").alias("m"))
         linked = down.join(low, [*keys, "u"])
         small = linked.select(*keys, F.col("w").alias("u"), F.col("m").alias("w")).unionByName(low.select(*keys, "u", F.col("m").alias("w")))

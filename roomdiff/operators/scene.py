@@ -292,7 +292,7 @@ def drift_report(lines: DataFrame, heads: DataFrame) -> DataFrame:
 def object_card(objects: DataFrame) -> DataFrame:
     """Dimensions on the three axes as text, and the entry or its absence."""
     b = F.col("bbox")
-    dims = F.concat_ws(" × ", *[F.format_string("%.1f", g.size_along(b, axis)) for axis in (0, 2, 1)])
+    dims = F.concat_ws(" × ", *[s.fixed(g.size_along(b, axis), 1) for axis in (0, 2, 1)])
     return objects.select("set_id", "id", "name", F.concat(dims, F.lit(" m")).alias("dims"),
                           F.coalesce(s.blank_to_null(F.col("doc")), F.lit("No entry.")).alias("doc"), "by")
 
