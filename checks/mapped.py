@@ -20,7 +20,7 @@ seen AS (SELECT DISTINCT CAST(user_id % 25 AS STRING) AS set_id, {THING} AS thin
 worn AS (SELECT set_id, thing, state, CASE WHEN thing % 3 = 2 THEN thing * 8 + state ELSE thing * 8 END AS id,
   ((thing * 37) % 400 + CASE WHEN thing % 3 = 2 THEN (thing % 5) * 10 * state ELSE 0 END) / 100.0 AS x, ((thing * 53) % 600) / 100.0 AS z FROM seen)"""
 
-SPLATS = """splats AS (SELECT CAST(l_suppkey % 2 AS STRING) AS set_id, CAST(year(l_shipdate) - 1995 AS INTEGER) AS state,
+SPLATS = """splats AS (SELECT CAST(l_suppkey % 4 AS STRING) AS set_id, CAST(floor((year(l_shipdate) - 1995) / 2) AS INTEGER) AS state,
   ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS splat_id,
   CAST(l_partkey % 24 + 0.125 * l_linenumber AS DOUBLE) AS x, CAST(floor(l_partkey / 24) + 0.5 AS DOUBLE) AS y,
   CAST((l_quantity - 1) / 10 AS DOUBLE) AS z, CAST(l_discount * 10 AS DOUBLE) AS opacity FROM lineitem)"""

@@ -153,7 +153,7 @@ def change_objects(spark, sf):
 # ---- hand boxes and labels -----------------------------------------------------------------------------------------
 
 BOXES = """box AS (SELECT s.set_id, p_partkey AS id, p_partkey % 24 - 0.3 AS x0, p_partkey % 24 + p_size % 3 + 0.4 AS x1, floor(p_partkey / 24) - 0.3 AS y0, floor(p_partkey / 24) + p_size % 2 + 0.4 AS y1, 1.0 AS z0, 2.5 + p_size % 2 AS z1
-  FROM part, (SELECT DISTINCT CAST(l_suppkey % 2 AS STRING) AS set_id FROM lineitem) s)"""
+  FROM part, (SELECT DISTINCT CAST(l_suppkey % 4 AS STRING) AS set_id FROM lineitem) s)"""
 LABELS = S + ", " + BOXES + """, lab AS (SELECT o.set_id, o.state, o.i, o.j, o.k, max(b.id) AS object_id FROM occ o JOIN dims d ON d.set_id = o.set_id JOIN box b ON b.set_id = o.set_id AND o.i >= greatest(floor(x0), 0) AND o.i < least(ceil(x1), 25)
   AND o.j >= greatest(floor(y0), 0) AND o.j < least(ceil(y1), sy) AND o.k >= floor(z0) AND o.k < least(ceil(z1), 5) GROUP BY ALL)"""
 

@@ -11,53 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomdiff.functions import scalar as s
+from roomdiff.functions import variant as vr
 from roomdiff.operators import scene
 
 PLACEMENTS = "array<struct<id:bigint,x:double,z:double>>"
 MAX_COPIES = 4      # of one object in a draft
 
-# Each value is read as VARIANT: a field of another type than expected is dropped, never coerced.
-_NUMBER = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
-
-
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
-
-
-def _number(v: Column, path: str, kind: str = "double") -> Column:
-    """The value at path as a finite number, or null when it is something else."""
-    part = F.variant_get(v, path, "variant")
-    return F.when(_kind(part).isin(*_NUMBER), F.try_variant_get(v, path, kind))
-
-
-def _text(v: Column, path: str) -> Column:
-    part = F.variant_get(v, path, "variant")
-    return F.when(_kind(part) == "STRING", F.try_variant_get(v, path, "string"))
-
-
-def _list(v: Column, path: str) -> Column:
-    part = F.variant_get(v, path, "variant")
-    return F.when(_kind(part) == "ARRAY", F.try_variant_get(v, path, "array<variant>"))
-
-
 def parse_stores(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``raw(set_id, json)`` -> (stores, branches). Junk gives an empty store; a bad placement or attempt is dropped on its own; a
     base that is no number becomes null; seq covers the ids it holds."""
     doc = raw.select("set_id", F.try_parse_json("json").alias("v"))
-    fine = F.when(_kind(F.col("v")) == "OBJECT", F.col("v"))
-    top = doc.select("set_id", fine.alias("v")).select("set_id", _number(F.col("v"), "$.seq").alias("seq"), _list(F.col("v"), "$.drafts").alias("list"))
+    fine = F.when(vr.kind(F.col("v")) == "OBJECT", F.col("v"))
+    top = doc.select("set_id", fine.alias("v")).select("set_id", vr.number(F.col("v"), "$.seq").alias("seq"), vr.items(F.col("v"), "$.drafts").alias("list"))
     top = top.select("set_id", "seq", F.when(F.col("seq").isNotNull(), F.col("list")).alias("list"))
     d = F.col("d")
     rows = top.filter("list is not null").select("set_id", "seq", F.posexplode("list").alias("at", "d"))
-    rows = rows.filter(_kind(d) == "OBJECT").select(
-        "set_id", "seq", "at", _number(d, "$.id", "bigint").alias("id"), _text(d, "$.name").alias("name"),
-        _number(d, "$.base", "int").alias("base"), _list(d, "$.placements").alias("put"), _list(d, "$.attempts").alias("tries"),
-        F.coalesce(_number(d, "$.savedAt", "bigint"), F.lit(0)).cast("bigint").alias("saved_at"))
+    rows = rows.filter(vr.kind(d) == "OBJECT").select(
+        "set_id", "seq", "at", vr.number(d, "$.id", "bigint").alias("id"), vr.text(d, "$.name").alias("name"),
+        vr.number(d, "$.base", "int").alias("base"), vr.items(d, "$.placements").alias("put"), vr.items(d, "$.attempts").alias("tries"),
+        F.coalesce(vr.number(d, "$.savedAt", "bigint"), F.lit(0)).cast("bigint").alias("saved_at"))
     rows = rows.filter("id is not null and name is not null and put is not null and tries is not null")
-    place = lambda p: F.struct(_number(p, "$.id", "bigint").alias("id"), _number(p, "$.x").alias("x"), _number(p, "$.z").alias("z"))
-    objects_only = F.filter("put", lambda p: _kind(p) == "OBJECT")
+    place = lambda p: F.struct(vr.number(p, "$.id", "bigint").alias("id"), vr.number(p, "$.x").alias("x"), vr.number(p, "$.z").alias("z"))
+    objects_only = F.filter("put", lambda p: vr.kind(p) == "OBJECT")
     whole = F.filter(F.transform(objects_only, place), lambda p: p["id"].isNotNull() & p["x"].isNotNull() & p["z"].isNotNull())
-    texts = F.transform(F.filter("tries", lambda a: _kind(a) == "STRING"), lambda a: F.try_variant_get(a, "$", "string"))
+    texts = F.transform(F.filter("tries", lambda a: vr.kind(a) == "STRING"), lambda a: F.try_variant_get(a, "$", "string"))
     branches = rows.select("set_id", "id", "name", "base", whole.cast(PLACEMENTS).alias("placements"), texts.alias("attempts"), "saved_at", "at")
     highest = branches.groupBy("set_id").agg(F.max("id").alias("top"))
     stores = (top.join(highest, "set_id", "left")
@@ -69,7 +46,7 @@ def fit(branches: DataFrame, objects: DataFrame, sizes: DataFrame) -> DataFrame:
     """Branches saved against another build of the set: unknown ids dropped, a base past the last state becomes null."""
     put = branches.select("set_id", "id", F.posexplode("placements").alias("at", "p")).withColumn("object", F.col("p.id"))
     kept = put.join(objects.select("set_id", F.col("id").alias("object")), ["set_id", "object"], "left_semi")
-    lists = kept.groupBy("set_id", "id").agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("kept"))
+    lists = kept.groupBy("set_id", "id").agg(F.sort_array(F.collectvr.items(F.struct("at", "p"))).alias("kept"))
     rows = branches.join(sizes.select("set_id", "n_states"), "set_id").join(lists, ["set_id", "id"], "left")
     fitted = F.coalesce(F.col("kept.p"), F.array().cast(PLACEMENTS))
     base = F.when(F.col("base") < F.col("n_states"), F.col("base"))
@@ -81,7 +58,7 @@ def seeds(objects: DataFrame, bases: DataFrame) -> DataFrame:
     """``bases(set_id, base)`` -> placements of everything the base state holds, in id order; none for a null base."""
     at = scene.presence(objects).select("set_id", F.col("state").alias("base"), F.struct("id", "x", "z").alias("p"))
     wanted = bases.select("set_id", "base").distinct()
-    got = wanted.join(at, ["set_id", "base"]).groupBy("set_id", "base").agg(F.sort_array(F.collect_list("p")).alias("seed"))
+    got = wanted.join(at, ["set_id", "base"]).groupBy("set_id", "base").agg(F.sort_array(F.collectvr.items("p")).alias("seed"))
     return wanted.join(got, ["set_id", "base"], "left").withColumn("seed", F.coalesce("seed", F.array().cast(PLACEMENTS)).cast(PLACEMENTS))
 
 
@@ -130,7 +107,7 @@ def save(branches: DataFrame, stores: DataFrame, drafts: DataFrame, reviewed: Da
         reviewed.filter("can_save").select("set_id", "draft", "name", "saved"), ["set_id", "draft"])
     w = Window.partitionBy("set_id").orderBy("draft")
     fresh = (ready.filter(~F.col("saved")).join(stores, "set_id", "left")
-             .withColumn("id", (F.coalesce("seq", F.lit(0)) + F.row_number().over(w)).cast("bigint"))
+             .withColumn("id", (F.coalesce("seq", F.lit(0)) + F.rowvr.number().over(w)).cast("bigint"))
              .withColumn("name", F.concat(F.lit("Draft "), F.col("id").cast("string"))))
     cols = ["set_id", "id", "name", "base", "placements", "attempts", F.col("at").alias("saved_at")]
     kept = ready.filter("saved").groupBy("set_id", "id").agg(F.max_by(F.struct("name", "base", "placements", "attempts", "at"), "at").alias("r")).select(
@@ -176,7 +153,7 @@ def replay(events: DataFrame) -> DataFrame:
     # A key takes a slot from its first placing until it is dropped; slots are counted in event order per object.
     ticks = life.select("set_id", "draft", "id", "key", F.inline(F.array(
         F.struct(F.col("first").alias("seq"), F.lit(1).alias("kind")), F.struct(F.col("dropped").alias("seq"), F.lit(0).alias("kind"))))).filter("seq is not null")
-    folded = ticks.groupBy("set_id", "draft", "id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "key"))).alias("t"))
+    folded = ticks.groupBy("set_id", "draft", "id").agg(F.sort_array(F.collectvr.items(F.struct("seq", "kind", "key"))).alias("t"))
     empty = F.array().cast("array<bigint>")
     step = lambda held, t: F.when(t["kind"] == 0, F.struct(F.array_remove(held["down"], t["key"]).alias("down"), held["ok"].alias("ok"))).when(
         F.size(held["down"]) < MAX_COPIES,
@@ -188,7 +165,7 @@ def replay(events: DataFrame) -> DataFrame:
 
 def summary(drafts: DataFrame, reviewed: DataFrame, branches: DataFrame) -> DataFrame:
     """"3 placed · unsaved changes", "… · saved 14:32" or "… · not saved yet"."""
-    when = branches.select("set_id", "id", s.clock_text(F.col("saved_at")).alias("clock"))
+    when = branches.select("set_id", "id", s.clockvr.text(F.col("saved_at")).alias("clock"))
     rows = reviewed.join(drafts.select("set_id", "draft", F.size("placements").alias("n")), ["set_id", "draft"]).join(when, ["set_id", "id"], "left")
     tail = F.when(~F.col("saved"), "not saved yet").when(F.col("dirty"), "unsaved changes").otherwise(F.concat(F.lit("saved "), F.col("clock")))
     return rows.select("set_id", "draft", "name", F.concat_ws(" · ", F.concat(F.col("n").cast("string"), F.lit(" placed")), tail).alias("status"))
