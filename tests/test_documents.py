@@ -41,14 +41,17 @@ def test_good_manifest_spreads_into_tables(spark):
     assert [round(x, 6) for x in box.hi] == [0.2, 0.2, 0.2]
 
 
-@pytest.mark.parametrize("bad, path", [
+BROKEN = [
     ("nonsense", ""), (doc(commits=[]), "commits"), (doc(commits=[commit(1)]), "commits[0].index"), (doc(commits=[commit(0, hash="")]), "commits[0].hash"),
     (doc(commits=[commit(0, file="../x"), commit(1)]), "commits[0]"), (doc(objects=[obj(1)]), "objects[0].id"), (doc(objects=[obj(0, present=[5])]), "objects[0].present"),
     (doc(objects=[obj(0, moved_to=4)]), "objects[0].moved_to"), (doc(objects=[obj(0, bbox=[[0, 0], [1, 1, 1]])]), "objects[0].bbox"), (doc(shape=[4, 4, 0.5]), "shape"),
     (doc(world_from_ref=[[1, 0, 0]] * 3), "world_from_ref"), (doc(voxel=0), "voxel"), (doc(room=[[0, 0, 0]]), "room"), (doc(view={"pos": [1, 2, 3]}), "view"),
-    (doc(diffs={"1-0": {}}), "diffs.1-0"), (doc(sites=[{"id": "a", "name": "b", "set": "x/y"}]), "sites[0].set")])
-def test_each_broken_field_is_named(spark, bad, path):
-    assert path in {r.path for r in parsed(spark, bad).violations.collect()}
+    (doc(diffs={"1-0": {}}), "diffs.1-0"), (doc(sites=[{"id": "a", "name": "b", "set": "x/y"}]), "sites[0].set")]
+
+
+def test_each_broken_field_is_named(spark):
+    got = {(r.set_id, r.path) for r in parsed(spark, *[bad for bad, _ in BROKEN]).violations.collect()}
+    assert not {(str(n), path) for n, (_, path) in enumerate(BROKEN)} - got
 
 
 def config(**more):
@@ -71,16 +74,19 @@ def test_config_tables_and_defaults(spark):
     assert read(spark, config(), known_files=files).violations.count() == 3
 
 
-@pytest.mark.parametrize("bad, path", [
+BROKEN_CONFIGS = [
     (config(calibration_m=-1), "calibration_m"), (config(calibration_m="tall"), "calibration_m"), (config(commits=[]), "commits"), (config(diff={"nope": 1}), "diff"),
     (config(diff={"min_voxels": "x"}), "diff.min_voxels"), (config(registration={"up": "left"}), "registration.up"), (config(door="up"), "door"), (config(standard=3), "standard"),
     (config(exclude=["a"]), "exclude"), (config(removed={"a": 1}), "removed"), (config(objects={"x": "n"}), "objects[x]"), (config(objects={"0": {"kind": "thing"}}), "objects[0]"),
-    (config(diffs={"2-1": {}}), "diffs.2-1"), (config(commits=[{"file": "a"}]), "commits[0]"), (config(objects={"0": {"name": "a", "box": [[0, 0, 0], [1, 0, 1]]}}), "objects[0].box")])
-def test_each_broken_key_is_named(spark, bad, path):
-    got = read(spark, bad).violations
-    assert path in {r.path for r in got.collect()}
+    (config(diffs={"2-1": {}}), "diffs.2-1"), (config(commits=[{"file": "a"}]), "commits[0]"), (config(objects={"0": {"name": "a", "box": [[0, 0, 0], [1, 0, 1]]}}), "objects[0].box")]
+
+
+def test_each_broken_key_is_named(spark):
+    bad = read(spark, *[c for c, _ in BROKEN_CONFIGS]).violations
+    got = {(r.set_id, r.path) for r in bad.collect()}
+    assert not {(str(n), path) for n, (_, path) in enumerate(BROKEN_CONFIGS)} - got
     with pytest.raises(ValueError):
-        configs.refuse(got)
+        configs.refuse(bad)
 
 
 def tracked(spark):
