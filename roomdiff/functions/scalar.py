@@ -14,7 +14,7 @@ def sigmoid(logit: Column) -> Column:
 
 def logit(p: Column | float) -> Column:
     p = F.lit(p) if isinstance(p, (int, float)) else p
-    return F.log(p / (1.0 - p))
+    return F.log(F.try_divide(p, 1.0 - p))
 
 
 def is_finite(c: Column) -> Column:
@@ -62,7 +62,7 @@ def compact(n: Column) -> Column:
 
 def object_name(name: Column, object_id: Column) -> Column:
     """The given name, or Object 07."""
-    return F.coalesce(name, F.concat(F.lit("Object "), F.lpad(object_id.cast("string"), 2, "0")))
+    return F.coalesce(name, F.concat(F.lit("Object "), padded_id(object_id)))
 
 
 def padded_id(object_id: Column) -> Column:

@@ -107,14 +107,14 @@ def fit_similarity(sums: DataFrame, keep: list[str]) -> DataFrame:
     return sums.mapInPandas(solve, schema)
 
 
-def patch_planes(cloud: DataFrame, keys: list[str], size: Column, least: int = 12, most: int = 96) -> DataFrame:
-    """(keys, planes array<struct<id, a, b, c, d>>): plane hypotheses, one from each flat patch of a coarse grid, at most ``most`` per cloud
-    spread evenly by hash. A patch is summed in Spark; its normal is the thin direction of its 3×3 covariance."""
+def patch_planes(cloud: DataFrame, keys: list[str], size: Column, least: int = 4, most: int = 96) -> DataFrame:
+    """(keys, planes array<struct<id, a, b, c, d>>): plane hypotheses, one from each patch of a coarse grid, flat ones first, at most ``most`` per
+    cloud spread evenly by hash. A patch is summed in Spark; its normal is the thin direction of its 3×3 covariance."""
     cell = [c.alias(f"_{n}") for n, c in enumerate(_cells(size))]
     two = [(a, b) for n, a in enumerate(XYZ) for b in XYZ[n:]]
     sums = cloud.groupBy(*keys, "thr", *cell).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in XYZ], *[F.avg(F.col(a) * F.col(b)).alias(a + b) for a, b in two]).filter(F.col("n") >= least)
     fields = {f.name: f.dataType.simpleString() for f in sums.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", h bigint, n bigint, a double, b double, c double, d double"
+    schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", h bigint, flat boolean, a double, b double, c double, d double"
 
     def solve(frames):
         for pdf in frames:
@@ -125,12 +125,12 @@ def patch_planes(cloud: DataFrame, keys: list[str], size: Column, least: int = 1
                     cov[:, i, j] = pdf[min(a, b) + max(a, b)].to_numpy(float) - mean[:, i] * mean[:, j]
             w, vec = np.linalg.eigh(cov)
             nrm = vec[:, :, 0]
-            flat = (np.sqrt(np.maximum(w[:, 0], 0)) <= pdf["thr"].to_numpy(float)) & (w[:, 1] > 4 * np.maximum(w[:, 0], 0))
-            out = pdf[keys].assign(h=pd.util.hash_pandas_object(pdf[["_0", "_1", "_2"]], index=False).astype("int64"), n=pdf["n"], a=nrm[:, 0], b=nrm[:, 1], c=nrm[:, 2], d=-(nrm * mean).sum(1))
-            yield out[flat]
+            flat = (pdf["n"].to_numpy() >= 12) & (np.sqrt(np.maximum(w[:, 0], 0)) <= pdf["thr"].to_numpy(float)) & (w[:, 1] > 4 * np.maximum(w[:, 0], 0))
+            out = pdf[keys].assign(h=pd.util.hash_pandas_object(pdf[["_0", "_1", "_2"]], index=False).astype("int64"), flat=flat, a=nrm[:, 0], b=nrm[:, 1], c=nrm[:, 2], d=-(nrm * mean).sum(1))
+            yield out
 
     found = sums.mapInPandas(solve, schema)
-    w = Window.partitionBy(*keys).orderBy("h")
+    w = Window.partitionBy(*keys).orderBy(F.desc("flat"), "h")
     kept = found.withColumn("id", F.row_number().over(w)).filter(F.col("id") <= most)
     return kept.groupBy(*keys).agg(F.collect_list(F.struct("id", "a", "b", "c", "d")).alias("planes"))
 
