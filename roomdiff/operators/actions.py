@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomdiff.functions.scalar import fixed, padded_id
+from roomdiff.functions.stage import written
 
 CLICK_MS = 250           # a press shorter than this is a click …
 CLICK_SLOP_M = 0.05      # … unless it moved this far
@@ -106,9 +107,10 @@ def dolly_sessions(moves: DataFrame) -> DataFrame:
 def camera_log(moves: DataFrame) -> DataFrame:
     """The log a stretch of gestures leaves: pans and orbits one row each, zooms of consecutive sessions folded into one row that
     runs from the first start to the last end."""
+    moves = written(moves, "moves")
     zooms = dolly_sessions(moves).select("session", "started", "ts", F.lit("dolly").alias("verb"), "d0", "d1", "detail")
     plain = moves.filter("verb <> 'dolly'").select("session", F.col("ts").alias("started"), "ts", "verb", "d0", "d1", "detail")
-    rows = zooms.unionByName(plain)
+    rows = written(zooms.unionByName(plain), "camera")
     numbered = runs(rows, ["session"], "ts", F.date_trunc("hour", "ts"), "verb", F.col("verb") == "dolly")
     out = numbered.groupBy("session", "run").agg(F.min("started").alias("started"), F.max("ts").alias("ts"), F.first("verb").alias("verb"),
                                              F.min_by("d0", "ts").alias("d0"), F.max_by("d1", "ts").alias("d1"), F.max_by("detail", "ts").alias("detail"))

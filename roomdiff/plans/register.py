@@ -230,7 +230,7 @@ class Registered:
     violations: DataFrame
 
 
-def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: DataFrame | None = None) -> Registered:
+def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: DataFrame | None = None, candidate_steps: int = 30) -> Registered:
     """Every capture onto state 0 of its set. A capture that matches too few points, or whose best start does not clearly beat the next,
     is left out of ``transforms`` and listed in ``violations``."""
     points = written(clouds_of(splats), "cloud")
@@ -238,7 +238,7 @@ def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: Dat
     ups = written(resolve_up(points, canon, modes), "ups")
     unit = written(cl.downsample(under(points, canon, S), S, CANDIDATE_CELL), "unit")
     first = unit.filter("state = 0").select("set_id", "x", "y", "z")
-    best = written(pick_candidate(score_candidates(unit.filter("state > 0"), first)), "best")
+    best = written(pick_candidate(score_candidates(unit.filter("state > 0"), first, candidate_steps)), "best")
     c0 = canon.filter("state = 0").select("set_id", F.col("m").alias("c0"))
     starts = best.join(canon.select(*S, F.col("m").alias("cs")), S).join(c0, "set_id").select(*S, g.multiply(g.inverse(F.col("c0")), g.multiply(F.col("m"), F.col("cs"))).alias("m"))
     got = written(refine(points.filter("state > 0"), points.filter("state = 0").select("set_id", "x", "y", "z"), written(starts, "starts")), "refined")
