@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from checks import mapped as m
 from checks.registry import query
 from checks.scene_queries import W
-from checks.voxel_queries import BOXES, LABELS, S, _boxes, _labels, ijk
+from checks.voxel_queries import LABELS, _boxes, _labels, ijk
 from roomdiff.functions import geometry as g
 from roomdiff.functions import scalar as sc
-from roomdiff.functions import voxel as v
 from roomdiff.operators import clouds as cl
 from roomdiff.operators import frame as fr
 from roomdiff.operators import quality as ql

@@ -146,10 +146,18 @@ def rejection_counts(spark, sf):
 @query("change_objects")
 def change_objects(spark, sf):
     blobs = m._once(spark, sf, "blobs", lambda: tk.kept_blobs(_split(spark, sf), _cands(spark, sf)))
-    objects, _ = tk.track(_occ(spark, sf), blobs, m.splat_grids(spark, sf), m.splat_sizes(spark, sf), P)
+    objects, _ = tk.track(_occ(spark, sf), blobs, m.splat_grids(spark, sf), m.splat_sizes(spark, sf), P, with_labels=False)
     return objects.select("set_id", "id", "added_in", "removed_in", F.concat_ws(",", F.col("present").cast("array<string>")).alias("present"), "voxels", "volume_vox_m3", "moved_from", "moved_to")
 
 
+@query("change_labels")
+def change_labels(spark, sf):
+    """The label tables of the tracked objects: the longest of the queries, several short jobs per state."""
+    blobs = m._once(spark, sf, "blobs", lambda: tk.kept_blobs(_split(spark, sf), _cands(spark, sf)))
+    _, labels = tk.track(_occ(spark, sf), blobs, m.splat_grids(spark, sf), m.splat_sizes(spark, sf), P)
+    return ijk(labels)
+
+
 # ---- hand boxes and labels -----------------------------------------------------------------------------------------
 
 BOXES = """box AS (SELECT s.set_id, p_partkey AS id, p_partkey % 24 - 0.3 AS x0, p_partkey % 24 + p_size % 3 + 0.4 AS x1, floor(p_partkey / 24) - 0.3 AS y0, floor(p_partkey / 24) + p_size % 2 + 0.4 AS y1, 1.0 AS z0, 2.5 + p_size % 2 AS z1

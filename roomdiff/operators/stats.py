@@ -24,9 +24,11 @@ def percentiles(df: DataFrame, keys: list[str], asked: dict[str, list[float]], a
                                             F.min("value").alias("least"), F.max("value").alias("most"))
     lists = F.create_map(*[x for c, ps in asked.items() for x in (F.lit(c), F.array(*[F.lit(float(p)) for p in ps]))])
     place = F.array_position(F.array(*[F.lit(p) for p in wanted]), F.col("p")).cast("int")
-    # At the ends of the range the bracket is opened to the true extremes.
-    low = F.when(F.col("p") <= slack, F.col("least")).otherwise(F.element_at("ends", place * 2 - 1))
-    high = F.when(F.col("p") >= 1 - slack, F.col("most")).otherwise(F.element_at("ends", place * 2))
+    # The sketch is off by at most total / accuracy ranks and two ranks are needed, so a bracket of twice that on both sides holds them
+    # once it spans two ranks; smaller groups, and the ends of the range, are ranked from or to the true extremes.
+    few = F.col("total") <= 2 * accuracy
+    low = F.when(few | (F.col("p") <= slack), F.col("least")).otherwise(F.element_at("ends", place * 2 - 1))
+    high = F.when(few | (F.col("p") >= 1 - slack), F.col("most")).otherwise(F.element_at("ends", place * 2))
     brackets = sketch.select("*", F.explode(F.element_at(lists, F.col("col"))).alias("p"))
     brackets = written(brackets.select(*keys, "col", "p", "total", low.alias("low"), high.alias("high")), "brackets")
     value = F.when(F.col("value") >= F.col("low"), F.col("value"))

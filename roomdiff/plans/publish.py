@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from roomdiff.functions import geometry as g
 from roomdiff.functions import scalar as s
 from roomdiff.functions import voxel as v
-from roomdiff.operators import voxels as vx
 
 
 def unknown_ids(objects: DataFrame, *curated: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ def turn(axis, a):
 def test_percentiles_match_numpy(spark):
     rng = np.random.default_rng(2)
     a = {"p": rng.normal(size=3000), "q": np.r_[np.zeros(900), rng.integers(0, 4, 101)], "one": np.array([5.0])}
+    a |= {f"n{n}": rng.normal(size=n) for n in (2, 3, 7, 52, 399, 401, 2505)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in a.items() for v in vs], "set_id string, v double")
     ps = [0.0, 0.01, 0.25, 0.5, 0.98, 1.0]
     got = {(r.set_id, r.p): r.value for r in stats.percentiles(df, ["set_id"], {"v": ps}, accuracy=200).collect()}

@@ -1,7 +1,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
-from test_tracker import P, FLOOR, SHAPE, cube, tables
+from test_tracker import FLOOR, P, cube, tables
 
 from roomdiff.operators import actions as act
 from roomdiff.plans import diff as job

@@ -1,7 +1,6 @@
 import itertools
 
 import numpy as np
-import pytest
 from brute import Room
 from pyspark.sql import functions as F
 
