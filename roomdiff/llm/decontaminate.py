@@ -150,14 +150,14 @@ def _positions(df: DataFrame, n: int, lengths: list[int] | None) -> DataFrame:
 
 
 def hits_by_join(texts: DataFrame, benchmark: DataFrame, n: int, item_col: str, item_text_col: str) -> DataFrame:
-    """(hid, hhash, hits, found) of the hit texts among (id, text): windows meet by hash and words; gathered for each text, so bounded by it."""
+    """(__hid, __hhash, __hits, __found) of the hit texts among (id, text): windows meet by hash and words; gathered for each text, so bounded by it."""
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
     known = _positions(items, n, None).select("k", "h", "w", F.col("id").alias("item")).distinct()
     lengths = sorted(r.k for r in known.select("k").distinct().collect())       # at most n
     seen = texts.select(F.struct("id", F.xxhash64("text").alias("text_hash")).alias("id"), "text").dropDuplicates(["id"])
     return (_positions(seen, n, lengths or [n]).join(known, ["k", "h", "w"])
             .groupBy("id").agg(F.collect_set(F.struct("at", "k")).alias("hits"), F.collect_set(F.col("item").cast("string")).alias("found"))
-            .select(F.col("id.id").alias("hid"), F.col("id.text_hash").alias("hhash"), "hits", "found"))
+            .select(F.col("id.id").alias("__hid"), F.col("id.text_hash").alias("__hhash"), F.col("hits").alias("__hits"), F.col("found").alias("__found")))
 
 
 def _mask(n_words: int, hits) -> np.ndarray:
@@ -170,7 +170,7 @@ def _mask(n_words: int, hits) -> np.ndarray:
 def _scan_by_join(docs, benchmark, n, id_col, text_col, item_col, item_text_col):
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     hits = hits_by_join(texts, benchmark, n, item_col, item_text_col)
-    full = texts.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.xxhash64("text") == F.col("hhash")), "left").select("id", "text", "hits", "found")
+    full = texts.join(hits, F.col("id").eqNullSafe(F.col("__hid")) & (F.xxhash64("text") == F.col("__hhash")), "left").select("id", "text", "__hits", "__found")
 
     def finish(batches):
         for part in slices(batches):
@@ -224,8 +224,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, documents: bool = False, n: in
         return rewrite(docs, make, text_col)
     text = F.col(text_col).cast("string")
     hits = hits_by_join(docs.select(F.col(id_col).alias("id"), text.alias("text")), benchmark, n, item_col, item_text_col)
-    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("hid")) & (F.xxhash64(text) == F.col("hhash")), "left")
-    packed = joined.select(*[docs[c] for c in docs.columns], F.col("hits").alias("__hits"))
+    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.xxhash64(text) == F.col("__hhash")), "left")
+    packed = joined.select(*[docs[c] for c in docs.columns], F.col("__hits"))
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):

@@ -141,11 +141,12 @@ class Model:
             core = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(self.pieces)}, merges=self.merges(), unk_token=self.pieces[self.unk][0],
                               fuse_unk=True, byte_fallback=self.byte_fallback)
         else:
-            core = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unk, self.byte_fallback)
+            # Control pieces never match text; here they are given names that no text holds.
+            core = models.Unigram([(p if k != CONTROL else f"\0{i}", s) for i, (p, s, k) in enumerate(self.pieces)], self.unk, self.byte_fallback)
         out = Tokenizer(core)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if self.prefix:
             steps.append(normalizers.Prepend(MARK))
         out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
@@ -262,7 +263,8 @@ def encode(docs: DataFrame, model: str | None = None, check: bool = True, id_col
 
     ``parity``: every chunk has the ids that the sentencepiece library gives (true unchecked without ``check``). ``round_trip``: decoding gives
     the text again, which a text with the marker character itself, or one that the model normalises, does not. Null and empty texts have no
-    tokens. Repeated rows get a result each; a null id stays null.
+    tokens. Repeated rows get a result each; a null id stays null. A unigram model reads a text that spells a byte piece, such as <0x41>, as
+    that piece, and a model that squeezes spaces keeps a marker character at the end; ``parity`` is then false.
     """
     raw = read_model(model or default_model())
 

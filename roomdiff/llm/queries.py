@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomdiff.llm import decontaminate, licenses, lines, minhash, pieces, quality, rules, secret_scan, toxicity
+from roomdiff.llm import decontaminate, licenses, lines, minhash, pages, pieces, quality, rules, secret_scan, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -124,6 +124,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf, "documents"))
 
 
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(table(spark, sf, "pages"))
+
+
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
