@@ -6,7 +6,11 @@ estimates the similarity and drops candidates that are far below the threshold.
 
 Two sets at the threshold of 0.8 share no band with probability (1 - 0.8**5)**50 < 3e-9; the estimate is cut ``SIGMAS`` standard errors
 below the threshold, under 1e-11. Groups of copies never become pairs: equal sets are one node, members of a band's bucket first meet
-only its lowest and highest member, and only nodes still in different components after that meet each other, estimate first.
+only its lowest and highest member, and only nodes still in different components after that can meet each other.
+
+Those would still be all pairs of a large group whose members are not quite similar enough. They are split by what is rare among them: a
+shingle that at most ``RARE`` of the nodes have. Two nodes either share a rare shingle, and meet there (at most ``RARE`` at a time), or their
+common part lies in what is left of each set without its rare shingles, which is too little for most. Both ways together miss no link.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ WORDS = 5
 PERCENT = 80
 BANDS, ROWS, BITS = 50, 5, 2
 SIGMAS = 7.0
+RARE = 20
 LONGS = 8                                   # of 64 bits: room for 32 fields of 2 bits each
 _FIELDS = BANDS * ROWS
 _rng = np.random.default_rng(20240501)
@@ -127,6 +132,34 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("u", "w").distinct()
 
 
+def still_apart(apart: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, w) of ``apart(band, node, comp)``: nodes that share a band, lie in different components and may be similar enough."""
+    packs = [f"s{k}" for k in range(LONGS)]
+    open_nodes = apart.select("node", "comp").distinct()
+    sets = full_sets(docs.join(open_nodes.select(F.col("node").alias("id")), "id", "left_semi"), n)
+    held = written(sets.select(F.col("id").alias("node"), F.explode("hashes").alias("h")).distinct(), "held")
+    rare = held.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
+    rare_of = written(held.join(rare, "h").select("h", "node", "df"), "rare")
+    side = (nodes.select("node", "n_shingles", "bands", *packs).join(open_nodes, "node")
+            .join(rare_of.groupBy("node").agg(F.count("*").alias("n_rare")), "node", "left")
+            .join(nodes.groupBy("node").agg(F.count("*").alias("n_sets")), "node"))
+    # An id with several texts has the shingles of all of them together: nothing can be said of one.
+    side = written(side.withColumn("n_rare", F.when(F.col("n_sets") == 1, F.coalesce("n_rare", F.lit(0))).otherwise(0)), "sides")
+    near = F.expr(likely(percent))
+    order = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("w")]
+
+    shared = rare_of.filter("df > 1").join(open_nodes, "node").select("h", "node", "comp")
+    met = shared.alias("a").join(shared.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.comp") < F.col("b.comp"))).select(*order).distinct()
+    by_rare = met.join(side.alias("a"), F.col("u") == F.col("a.node")).join(side.alias("b"), (F.col("w") == F.col("b.node")) & near).select("u", "w")
+
+    common = F.least(F.col("a.n_shingles") - F.col("a.n_rare"), F.col("b.n_shingles") - F.col("b.n_rare"))
+    room = (100 + percent) * common >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles"))
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")         # in one of the bands they share
+    rows = apart.select("band", "node").join(side, "node")
+    by_band = rows.alias("a").join(rows.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.comp") < F.col("b.comp")) & room & near & once).select(*order)
+    return by_rare.union(by_band).distinct()
+
+
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row: links are pairs of documents whose sets of ``n``-word shingles have a Jaccard
     similarity of ``percent`` or more, component_id is the smallest id that can be reached, kept is id = component_id.
@@ -158,9 +191,8 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     # What the first round left apart: nodes of one bucket in different components.
     placed = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     open_bands = placed.groupBy("band").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("band")
-    apart = placed.join(open_bands, "band", "left_semi").join(sides, "node")
-    met = apart.alias("a").join(apart.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.comp") < F.col("b.comp")) & F.expr(likely(percent)))
-    rest = (met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("w")).distinct().join(pairs, ["u", "w"], "left_anti"))
+    apart = written(placed.join(open_bands, "band", "left_semi"), "apart")
+    rest = written(still_apart(apart, nodes, docs, n, percent).join(pairs, ["u", "w"], "left_anti"), "rest")
     more = written(confirm(rest, docs, n, percent), "links")
     if not more.isEmpty():
         found = connect(links.union(more), [])

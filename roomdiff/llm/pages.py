@@ -178,7 +178,7 @@ def read(page: str, low: frozenset = frozenset()):
         main = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         if tag == "header" and not up.main:
             noise = firm = True
-        name = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '0', attrs['class']).lower().split()))}" if attrs.get("class") else tag
+        name = f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]{3,}', '0', attrs['class']).lower().split()))}" if attrs.get("class") else tag
         up.children.append(name)
         if tag in BLOCK:
             flush()
@@ -211,7 +211,7 @@ def host_of(url: Column) -> Column:
 
 def observed(pages: DataFrame) -> DataFrame:
     """(host, path, parent, depth, safe, kind, what, pages): for each node of each host and each of its styles (kind 0) or texts (kind 1),
-    on how many pages. Counted within each slice of pages before anything is shuffled."""
+    and for the node itself (kind 2), on how many pages. Counted within each slice of pages before anything is shuffled."""
     def run(batches):
         for part in slices(batches, 2048):
             counts: dict = {}
@@ -219,6 +219,7 @@ def observed(pages: DataFrame) -> DataFrame:
                 blocks, nodes = read(raw.decode()) if raw else ([], [])
                 place = {path: (parent, depth, safe) for path, parent, depth, _, safe in nodes}
                 seen = {(path, 0, style) for path, _, _, style, _ in nodes}
+                seen |= {(path, 2, 0) for path in place}
                 seen |= {(path, 1, _signed(hash64(text.encode()))) for text, path, *_ in blocks if path in place}
                 for path, kind, what in seen:
                     key = (host, path, *place[path], kind, what)
@@ -239,9 +240,10 @@ def importance(seen: DataFrame) -> DataFrame:
     """
     keys = ["host", "path", "parent", "depth", "safe"]
     styles = seen.filter("kind = 0")
-    sums = (styles.groupBy(*keys).agg(F.sum("pages").alias("shown"), F.count("*").alias("styles"), F.sum(F.col("pages") * F.log("pages")).alias("plogp")))
-    texts = seen.filter("kind = 1").groupBy("host", "path").agg(F.count("*").alias("texts"), F.sum(F.log("pages")).alias("logs"), F.max("pages").alias("most"))
-    both = sums.join(texts, ["host", "path"], "left").withColumn("m", F.greatest("shown", F.coalesce("most", F.lit(1))))
+    sums = styles.groupBy(*keys).agg(F.sum("pages").alias("shown"), F.count("*").alias("styles"), F.sum(F.col("pages") * F.log("pages")).alias("plogp"))
+    texts = seen.filter("kind = 1").groupBy("host", "path").agg(F.count("*").alias("texts"), F.sum(F.log("pages")).alias("logs"))
+    shown = seen.filter("kind = 2").groupBy("host", "path").agg(F.sum("pages").alias("m"))
+    both = sums.join(shown, ["host", "path"]).join(texts, ["host", "path"], "left")
     log_m = F.log("m")
     inner = F.when(F.col("m") == 1, 1.0).otherwise((F.log("shown") - F.col("plogp") / F.col("shown")) / log_m)
     content = F.when(F.col("texts").isNotNull(), F.when(F.col("m") == 1, 1.0).otherwise(1 - F.col("logs") / F.col("texts") / log_m))

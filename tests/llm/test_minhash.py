@@ -56,9 +56,9 @@ def corpus():
 
 
 def check(spark, plain, n):
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in (out := m.components(documents(spark, plain), n=n)).collect()), key=str)
-    assert got == brute(plain, n, 80)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect() if r.doc_id is not None)
+    out = m.components(documents(spark, plain), n=n).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(plain, n, 80)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out if r.doc_id is not None)
 
 
 def test_two_word_shingles(spark):
