@@ -273,9 +273,9 @@ def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, low: float = L
                 weight, total = above.get(r["node"], (0.0, 0.0))
                 own = r["inner"] if r["content"] is None else r["content"] if not weight else max(r["inner"], r["content"])
                 share = GAMMA ** r["styles"]
-                value = own if not weight else (1 - share) * own + share * total / weight
                 if not weight and r["content"] is None:
-                    value = 1.0     # nothing is in it: nothing to remove
+                    continue        # no text in or below it: inline elements and the like
+                value = own if not weight else (1 - share) * own + share * total / weight
                 if r["m"] >= least_pages and value < low and not r["safe"]:
                     found.append(r["node"])
             weight, total = above.get(r["parent"], (0.0, 0.0))
