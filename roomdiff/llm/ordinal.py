@@ -75,31 +75,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def telling(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_grades: int, dims: int, least: int, z: float) -> np.ndarray:
+def telling(features: list[np.ndarray], grades: np.ndarray, n_grades: int, dims: int, least: int, z: float) -> np.ndarray:
     """Features in ``least`` texts or more whose texts lie above some threshold ``z`` standard errors more or less often than all texts do."""
     n = max(len(grades), 1)
-    seen = np.bincount(cols, minlength=dims)
+    having = np.zeros((n_grades, dims), np.int32)       # texts of a grade that have a feature
+    for own, grade in zip(features, grades):
+        having[grade, own] += 1
+    seen = having.sum(axis=0)
     strongest = np.zeros(dims)
     for k in range(n_grades - 1):
-        above = (grades > k).astype(float)
-        share = above.sum() / n
+        share = (grades > k).sum() / n
         spread = np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-        strongest = np.maximum(strongest, np.abs(np.bincount(cols, weights=above[rows], minlength=dims) - seen * share) / spread)
+        strongest = np.maximum(strongest, np.abs(having[k + 1:].sum(axis=0) - seen * share) / spread)
     return np.flatnonzero((seen >= least) & (strongest >= z))
 
 
-def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, n_grades: int, dims: int = DIMENSIONS, l2: float = 2e-4,
+def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, dims: int = DIMENSIONS, l2: float = 2e-4,
         least: int = 4, z: float = 3.5, steps: int = 100, rate: float = 0.1) -> Ordinal:
-    """Maximum likelihood by Adam with an L2 penalty. ``rows``, ``features``: one entry for each feature of each text, rows ascending.
-    Only ``telling`` features get weights, or the noise of rare words would add up in long texts. A grade nobody has keeps a threshold."""
+    """Maximum likelihood by Adam with an L2 penalty. ``features``: the distinct features of each text. Only ``telling`` ones get weights, or
+    the noise of rare words would add up in long texts. A grade nobody has keeps a threshold."""
     n = len(grades)
-    once = np.unique(rows * np.int64(dims) + features)
-    rows, cols = once // dims, once % dims
-    used = telling(rows, cols, grades, n_grades, dims, least, z)
-    place = np.full(dims, -1, np.int64)
+    used = telling(features, grades, n_grades, dims, least, z)
+    place = np.full(dims, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[cols] >= 0
-    rows, cols = rows[keep], place[cols[keep]]
+    chosen = [p[p >= 0] for p in (place[own] for own in features)]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in chosen])
+    cols = np.concatenate(chosen) if chosen else np.empty(0, np.int32)
+    del chosen
     share = (np.bincount(grades, minlength=n_grades) + 0.5) / (n + 0.5 * n_grades)
     cut = np.log(np.cumsum(share)[:-1] / (1 - np.cumsum(share)[:-1]))
     x = np.concatenate([np.zeros(len(used)), cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))])
@@ -136,8 +138,8 @@ def graded_sample(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str
     return texts.join(F.broadcast(picked), "id").select("id", "text", "grade")
 
 
-def featured(sample: DataFrame, dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, features, grades) of a bounded sample (text, grade); hashed on the executors, whole texts."""
+def featured(sample: DataFrame, dims: int = DIMENSIONS) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct features of each text, grades) of a bounded sample (id, text, grade); hashed on the executors, whole texts."""
     def run(batches):
         known = Memo(lambda w: word_features(w, dims))
         for part in slices(batches):
@@ -150,7 +152,6 @@ def featured(sample: DataFrame, dims: int = DIMENSIONS) -> tuple[np.ndarray, np.
 
     id_type = sample.schema["id"].dataType.simpleString()
     table = sample.select("id", "text", "grade").mapInArrow(run, f"id {id_type}, grade int, features binary").toArrow()
-    table = table.sort_by([("id", "ascending"), ("features", "ascending")])
-    parts = [np.frombuffer(x, np.int32) for x in table.column("features").to_pylist()]
-    rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    return rows, np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64), np.array(table.column("grade").to_pylist(), np.int64)
+    features = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("features")]       # views, not copies
+    order = sorted(range(len(features)), key=lambda i: (table.column("id")[i].as_py(), len(features[i])))
+    return [features[i] for i in order], np.array([table.column("grade")[i].as_py() for i in order], np.int64)

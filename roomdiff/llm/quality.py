@@ -18,8 +18,8 @@ SAMPLE = 8192       # graded texts a model is fitted on, at most
 def train(docs: DataFrame, ratings: DataFrame, grade_col: str = "grade", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
           n_grades: int = 3) -> Ordinal:
     """Fits on at most ``sample`` texts rated 0 to ``n_grades`` - 1. Without any rating the model knows nothing: every grade gets an equal share."""
-    rows, features, grades = featured(graded_sample(docs, ratings, id_col, text_col, grade_col, sample))
-    return fit(rows, features, np.clip(grades, 0, n_grades - 1), n_grades)
+    features, grades = featured(graded_sample(docs, ratings, id_col, text_col, grade_col, sample))
+    return fit(features, np.clip(grades, 0, n_grades - 1), n_grades)
 
 
 def rate(docs: DataFrame, model: Ordinal, select_from: int = 1, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

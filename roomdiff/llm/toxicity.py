@@ -17,24 +17,24 @@ MARKED = 8.0        # times as frequent in toxic texts as in others: a feature t
 SEVERE = 12         # marked features (a word has up to four) from which a toxic text is graded 2
 
 
-def severity(rows: np.ndarray, features: np.ndarray, toxic: np.ndarray, dims: int = DIMENSIONS) -> np.ndarray:
+def severity(features: list[np.ndarray], toxic: np.ndarray, dims: int = DIMENSIONS) -> np.ndarray:
     """Grades from labels that only say toxic or not: 0 not toxic, 1 toxic, 2 toxic with ``SEVERE`` or more distinct marked features.
     A feature is marked if it is in at least 5 toxic texts and its share among toxic texts is ``MARKED`` times its share among the others."""
-    bad = toxic[rows] > 0
+    counts = np.zeros((2, dims), np.int32)
+    for own, label in zip(features, toxic):
+        counts[int(label > 0), own] += 1
     n_bad, n_good = max(int((toxic > 0).sum()), 1), max(int((toxic == 0).sum()), 1)
-    in_bad = np.bincount(features[bad], minlength=dims)
-    in_good = np.bincount(features[~bad], minlength=dims)
-    marked = (in_bad >= 5) & (in_bad / n_bad >= MARKED * (in_good + 0.5) / n_good)
-    hits = np.bincount(rows, weights=marked[features].astype(float), minlength=len(toxic))
+    marked = (counts[1] >= 5) & (counts[1] / n_bad >= MARKED * (counts[0] + 0.5) / n_good)
+    hits = np.array([marked[own].sum() for own in features], np.int64)
     return np.where(toxic > 0, 1 + (hits >= SEVERE), 0).astype(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
           graded: bool = False, n_grades: int = 3) -> Ordinal:
     """Fits on at most ``sample`` labelled texts. ``graded``: labels are severities 0 to ``n_grades`` - 1 already; else see ``severity``."""
-    rows, features, given = featured(graded_sample(docs, labels, id_col, text_col, label_col, sample))
-    grades = np.clip(given, 0, n_grades - 1) if graded else severity(rows, features, given)
-    return fit(rows, features, grades, n_grades)
+    features, given = featured(graded_sample(docs, labels, id_col, text_col, label_col, sample))
+    grades = np.clip(given, 0, n_grades - 1) if graded else severity(features, given)
+    return fit(features, grades, n_grades)
 
 
 def _judge(model: Ordinal, least: float):

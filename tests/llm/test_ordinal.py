@@ -15,8 +15,7 @@ def test_fit_finds_weights_and_ordered_thresholds():
     w = np.array([3.0, 2, 1, 0, 0, 0, 0, 0, 0, -1, -2, -3])
     noise = rng.logistic(size=n)
     grades = np.digitize(x @ w + noise, [-1.0, 0.5, 2.0])
-    rows, cols = np.nonzero(x)
-    model = ordinal.fit(rows, cols, grades, 4, dims=16, l2=1e-6, steps=400)
+    model = ordinal.fit([np.flatnonzero(row) for row in x], grades, 4, dims=16, l2=1e-6, z=0, steps=400)
     assert np.all(np.diff(model.thetas) > 0)
     assert np.abs(model.thetas - [-1.0, 0.5, 2.0]).max() < 0.35
     assert np.abs(model.weights[:d] - w).max() < 0.5
@@ -60,5 +59,6 @@ def test_held_out_toxicity(spark):
 def test_held_out_quality(spark):
     docs, fit_on, held = split(spark)
     out = quality.rate(docs, quality.train(docs, ratings(fit_on))).join(held, "doc_id").toPandas()
-    assert out.kept[out.quality == 1].mean() > 0.98
+    assert out.kept[(out.quality == 1) & (out.toxic == 0)].mean() > 0.98
+    assert out.kept[(out.quality == 1) & (out.toxic == 1)].mean() > 0.6         # the middle grade
     assert out.kept[out.quality == 0].mean() < 0.2
