@@ -302,7 +302,8 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
     pages of their host. Character references are decoded; white space inside a block is one space.
     """
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    branches = written(low_branches(importance(observed(plain)), least_pages, low), "branches")
+    seen = written(observed(plain), "observed")         # read several times below; the pages are parsed for it once
+    branches = written(low_branches(importance(seen), least_pages, low), "branches")
     salted = branches.select(F.col("host").alias("__host"), "low", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
     dealt = plain.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALT)).cast("int"))
     met = dealt.join(salted, (F.col("host") == F.col("__host")) & (F.col("salt") == F.col("__salt")), "left").select("id", "url", "html", "low")
