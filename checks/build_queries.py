@@ -66,9 +66,15 @@ def coefficient_counts(spark, sf):
     return cap.coefficient_counts(_full(spark, sf), 2)
 
 
-@query("content_hash")
+@query("content_hash", SP + " SELECT DISTINCT set_id, state, TRUE AS same_in_any_order, TRUE AS other_when_changed FROM splats")
 def content_hash(spark, sf):
-    return cap.content_hash(m.splats(spark, sf))
+    """The hash of a capture, of its rows and columns in another order, and of the capture moved by a millimetre."""
+    s = m.splats(spark, sf)
+    turned = s.select(*reversed(s.columns)).repartition(5, "x")
+    moved = s.withColumn("x", F.col("x") + 0.001)
+    named = [cap.content_hash(df).withColumnRenamed("hash", n) for df, n in ((s, "h"), (turned, "t"), (moved, "o"))]
+    both = named[0].join(named[1], ["set_id", "state"]).join(named[2], ["set_id", "state"])
+    return both.select("set_id", "state", (F.col("h") == F.col("t")).alias("same_in_any_order"), (F.col("h") != F.col("o")).alias("other_when_changed"))
 
 
 # ---- order statistics and frames -----------------------------------------------------------------------------------

@@ -86,7 +86,25 @@ def draft_summary(spark, sf):
     return dr.summary(m.drafts(spark, sf), _reviewed(spark, sf), m.branches(spark, sf))
 
 
-@query("draft_replay")
+REPLAY = """
+WITH RECURSIVE raw AS (SELECT CAST(user_id % 25 AS VARCHAR) AS set_id, user_id // 25 AS draft, event_id AS seq, CAST(floor(value) AS BIGINT) AS key, value AS x,
+    CASE WHEN event_type = 'error' THEN 'drop' WHEN event_type = 'view' THEN 'pick' ELSE 'place' END AS verb,
+    min(event_id) OVER (PARTITION BY user_id, CAST(floor(value) AS BIGINT)) AS first FROM events),
+life AS (SELECT set_id, draft, key % 7 AS id, key, min(seq) AS first, min(seq) FILTER (verb = 'drop' AND seq > first) AS dropped, max(seq) AS seq,
+    arg_max(CASE WHEN seq = first THEN 'place' ELSE verb END, seq) AS verb, arg_max(x, seq) AS x FROM raw GROUP BY set_id, draft, key),
+tick AS (SELECT *, row_number() OVER (PARTITION BY set_id, draft, id ORDER BY seq, kind, key) AS n
+         FROM (SELECT set_id, draft, id, key, first AS seq, 1 AS kind FROM life UNION ALL SELECT set_id, draft, id, key, dropped, 0 FROM life WHERE dropped IS NOT NULL)),
+fold AS (SELECT DISTINCT set_id, draft, id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS down, CAST([] AS BIGINT[]) AS ok FROM life
+    UNION ALL SELECT f.set_id, f.draft, f.id, t.n,
+        CASE WHEN kind = 0 THEN list_filter(down, lambda k: k <> t.key) WHEN len(down) < 4 THEN list_append(down, t.key) ELSE down END,
+        CASE WHEN kind = 1 AND len(down) < 4 THEN list_append(ok, t.key) ELSE ok END
+    FROM fold f JOIN tick t ON t.set_id = f.set_id AND t.draft = f.draft AND t.id = f.id AND t.n = f.n + 1),
+final AS (SELECT set_id, draft, id, arg_max(ok, n) AS ok FROM fold GROUP BY set_id, draft, id)
+SELECT l.set_id, l.draft, l.key, l.id, l.x, 0.0 AS z, l.seq FROM life l JOIN final f ON f.set_id = l.set_id AND f.draft = l.draft AND f.id = l.id
+WHERE l.verb = 'place' AND list_contains(f.ok, l.key)"""
+
+
+@query("draft_replay", REPLAY)
 def draft_replay(spark, sf):
     e = m.table(spark, sf, "events")
     verb = F.when(F.col("event_type").isin("error"), "drop").when(F.col("event_type") == "view", "pick").otherwise("place")

@@ -107,32 +107,66 @@ def fit_similarity(sums: DataFrame, keep: list[str]) -> DataFrame:
     return sums.mapInPandas(solve, schema)
 
 
-def patch_planes(cloud: DataFrame, keys: list[str], size: Column, least: int = 4, most: int = 96) -> DataFrame:
-    """(keys, planes array<struct<id, a, b, c, d>>): plane hypotheses, one from each patch of a coarse grid, flat ones first, at most ``most`` per
-    cloud spread evenly by hash. A patch is summed in Spark; its normal is the thin direction of its 3×3 covariance."""
+def _thin_direction(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, eigenvalues, unit normals) of rows of mx, my, mz and mean products xx … zz: the normal is the thin direction of the covariance."""
+    mean = pdf[[f"m{c}" for c in XYZ]].to_numpy(float)
+    cov = np.empty((len(pdf), 3, 3))
+    for i, a in enumerate(XYZ):
+        for j, b in enumerate(XYZ):
+            cov[:, i, j] = pdf[min(a, b) + max(a, b)].to_numpy(float) - mean[:, i] * mean[:, j]
+    w, vec = np.linalg.eigh(cov)
+    return mean, w, vec[:, :, 0]
+
+
+def _moments(shift: dict[str, Column] | None = None) -> list[Column]:
+    at = {c: F.col(c) - shift[c] if shift else F.col(c) for c in XYZ}
+    return [F.avg(at[c]).alias(f"m{c}") for c in XYZ] + [F.avg(at[a] * at[b]).alias(a + b) for n, a in enumerate(XYZ) for b in XYZ[n:]]
+
+
+def patch_planes(cloud: DataFrame, keys: list[str], size: Column, least: int = 4, turn: float = 0.05) -> DataFrame:
+    """(keys, planes array<struct<id, a, b, c, d>>): plane hypotheses, one from each patch of a coarse grid. A patch is summed in Spark; its
+    normal is the thin direction of its 3×3 covariance. Patches of like normal (to ``turn``) and offset (to ``thr``) are one hypothesis, that of
+    the flattest and fullest of them, so there are as many as the room has surfaces; none is left out."""
     cell = [c.alias(f"_{n}") for n, c in enumerate(_cells(size))]
-    two = [(a, b) for n, a in enumerate(XYZ) for b in XYZ[n:]]
-    sums = cloud.groupBy(*keys, "thr", *cell).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in XYZ], *[F.avg(F.col(a) * F.col(b)).alias(a + b) for a, b in two]).filter(F.col("n") >= least)
+    sums = cloud.groupBy(*keys, "thr", *cell).agg(F.count("*").alias("n"), *_moments()).filter(F.col("n") >= least)
     fields = {f.name: f.dataType.simpleString() for f in sums.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", h bigint, flat boolean, a double, b double, c double, d double"
+    schema = ", ".join(f"{c} {fields[c]}" for c in keys) + ", thr double, n bigint, flat boolean, a double, b double, c double, d double"
 
     def solve(frames):
         for pdf in frames:
-            mean = pdf[[f"m{c}" for c in XYZ]].to_numpy(float)
-            cov = np.empty((len(pdf), 3, 3))
-            for i, a in enumerate(XYZ):
-                for j, b in enumerate(XYZ):
-                    cov[:, i, j] = pdf[min(a, b) + max(a, b)].to_numpy(float) - mean[:, i] * mean[:, j]
-            w, vec = np.linalg.eigh(cov)
-            nrm = vec[:, :, 0]
+            mean, w, nrm = _thin_direction(pdf)
+            lead = np.abs(nrm).argmax(axis=1)
+            nrm = nrm * np.sign(nrm[np.arange(len(nrm)), lead])[:, None]         # of the two normals, the one whose largest part is positive
             flat = (pdf["n"].to_numpy() >= 12) & (np.sqrt(np.maximum(w[:, 0], 0)) <= pdf["thr"].to_numpy(float)) & (w[:, 1] > 4 * np.maximum(w[:, 0], 0))
-            out = pdf[keys].assign(h=pd.util.hash_pandas_object(pdf[["_0", "_1", "_2"]], index=False).astype("int64"), flat=flat, a=nrm[:, 0], b=nrm[:, 1], c=nrm[:, 2], d=-(nrm * mean).sum(1))
-            yield out
+            yield pdf[[*keys, "thr", "n"]].assign(flat=flat, a=nrm[:, 0], b=nrm[:, 1], c=nrm[:, 2], d=-(nrm * mean).sum(1))
 
     found = sums.mapInPandas(solve, schema)
-    w = Window.partitionBy(*keys).orderBy(F.desc("flat"), "h")
-    kept = found.withColumn("id", F.row_number().over(w)).filter(F.col("id") <= most)
-    return kept.groupBy(*keys).agg(F.collect_list(F.struct("id", "a", "b", "c", "d")).alias("planes"))
+    like = [F.round(F.col(c) / turn).alias(f"_{c}") for c in "abc"] + [F.round(F.col("d") / F.col("thr")).alias("_d")]
+    merged = found.groupBy(*keys, *like).agg(F.max(F.struct("flat", "n", "a", "b", "c", "d")).alias("p")).select(*keys, "p.*")
+    ranked = merged.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("flat"), F.desc("n"), "a", "b", "c", "d")))
+    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "a", "b", "c", "d"))).alias("planes"))
+
+
+def refit_planes(members: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """``chosen(keys, id, a, b, c, d, …)`` with each plane fitted anew to all points that lie on it, facing the way it faced. One grouped covariance,
+    about a point of the old plane so that no digits are lost far from the origin."""
+    old = chosen.select(*keys, "id", *[(-F.col("d") * F.col(n)).alias(f"_{x}") for n, x in zip("abc", XYZ)])
+    on = members.join(old, keys).filter(F.array_contains("on", F.col("id")))
+    sums = on.groupBy(*keys, "id", "_x", "_y", "_z").agg(*_moments({c: F.col(f"_{c}") for c in XYZ})).join(chosen.select(*keys, "id", "a", "b", "c"), [*keys, "id"])
+    fields = {f.name: f.dataType.simpleString() for f in sums.schema}
+    schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, "id"]) + ", a double, b double, c double, d double"
+
+    def solve(frames):
+        for pdf in frames:
+            mean, _, nrm = _thin_direction(pdf)
+            before = pdf[["a", "b", "c"]].to_numpy(float)
+            nrm = nrm * np.where((nrm * before).sum(1) < 0, -1.0, 1.0)[:, None]
+            centre = mean + pdf[["_x", "_y", "_z"]].to_numpy(float)
+            yield pdf[[*keys, "id"]].assign(a=nrm[:, 0], b=nrm[:, 1], c=nrm[:, 2], d=-(nrm * centre).sum(1))
+
+    fitted = sums.mapInPandas(solve, schema)
+    rest = [c for c in chosen.columns if c not in ("a", "b", "c", "d")]
+    return chosen.select(*rest).join(fitted, [*keys, "id"])
 
 
 def plane_members(cloud: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:

@@ -144,12 +144,15 @@ def replay(events: DataFrame) -> DataFrame:
     """``events(set_id, draft, seq, verb, key, id, x, z)`` with verb place, pick or drop -> the placements left down.
 
     ``key`` tells copies apart. place puts a key down (again), pick takes it up, drop leaves it off the floor: the last event of a
-    key decides. A copy first placed when ``MAX_COPIES`` others of its object are already down is refused, with everything
+    key decides. A key still in hand that was never put down is let go when the draft's next one is picked. A copy first placed when ``MAX_COPIES`` others of its object are already down is refused, with everything
     that later happens to it.
     """
-    life = events.groupBy("set_id", "draft", "id", "key").agg(
-        F.max_by(F.struct("verb", "x", "z", "seq"), "seq").alias("last"), F.min("seq").alias("first"),
-        F.min(F.when(F.col("verb") == "drop", F.col("seq"))).alias("dropped"))
+    next_pick = F.min(F.when(F.col("verb") == "pick", F.col("seq"))).over(Window.partitionBy("set_id", "draft").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    life = events.withColumn("next_pick", next_pick).groupBy("set_id", "draft", "id", "key").agg(
+        F.max_by(F.struct("verb", "x", "z", "seq"), "seq").alias("last"), F.min("seq").alias("first"), F.min_by("next_pick", "seq").alias("next_pick"),
+        F.min(F.when(F.col("verb") == "place", F.col("seq"))).alias("placed"), F.min(F.when(F.col("verb") == "drop", F.col("seq"))).alias("dropped"))
+    let_go = F.when((F.col("next_pick") < F.col("placed")) | F.col("placed").isNull(), F.col("next_pick"))
+    life = life.withColumn("dropped", F.least("dropped", let_go)).drop("next_pick", "placed")
     # A key takes a slot from its first placing until it is dropped; slots are counted in event order per object.
     ticks = life.select("set_id", "draft", "id", "key", F.inline(F.array(
         F.struct(F.col("first").alias("seq"), F.lit(1).alias("kind")), F.struct(F.col("dropped").alias("seq"), F.lit(0).alias("kind"))))).filter("seq is not null")

@@ -111,8 +111,7 @@ def distances(targets: DataFrame, mask: DataFrame, reach: int, bits: int = BLOCK
     Both sides are cut into cubes of 2**bits voxels; a mask voxel also goes to the cubes its reach touches. One task handles
     one cube at a time, whose size is fixed, and only cubes that hold targets are shuffled.
     """
-    if reach >= 1 << bits:
-        raise ValueError("reach must be smaller than the cube's side")
+    bits = max(bits, reach.bit_length())        # a cube's side is larger than the reach
     keys = [c for c in targets.columns if c != "vox"]
     t = targets.select(*keys, "vox", v.block(F.col("vox"), bits).alias("cube"), F.lit(True).alias("ask"))
     cubes = t.select(*keys, "cube").distinct()

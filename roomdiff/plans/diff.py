@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -57,11 +60,56 @@ class DiffTables:
     candidates: DataFrame
     objects: DataFrame
     labels: DataFrame
-
-
-def run(splats: DataFrame, transforms: DataFrame, canons: DataFrame, sizes: DataFrame, p: tk.DiffParams = tk.DiffParams()) -> DiffTables:
-    """The whole comparison of raw captures: one pass over the splats for the grids, one for the occupancy, the rest on voxels."""
-    aligned = into_frame(splats, transforms)
+    left_out: DataFrame | None = None       # (set_id, reason) of the sets that were not compared
+
+
+def left_out(sizes: DataFrame, transforms: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """(set_id, reason): sets with a refused capture, and sets of which a state has no transform. A room with a hole in its history
+    would show everything as gone and come again, so such a set is not compared at all."""
+    known = transforms.filter("m is not null").select("set_id", "state").distinct()
+    states = sizes.select("set_id", F.explode(F.sequence(F.lit(0), F.col("n_states") - 1)).alias("state"))
+    holes = states.join(known, ["set_id", "state"], "left_anti").select("set_id", F.concat(F.lit("no transform for state "), F.col("state").cast("string")).alias("reason"))
+    if refused is not None:
+        holes = holes.unionByName(refused.select("set_id", F.concat(F.lit("capture refused at state "), F.col("state").cast("string")).alias("reason")))
+    return holes.groupBy("set_id").agg(F.min("reason").alias("reason"))
+
+
+def run(splats: DataFrame, transforms: DataFrame, canons: DataFrame, sizes: DataFrame, p: tk.DiffParams = tk.DiffParams(), refused: DataFrame | None = None) -> DiffTables:
+    """The whole comparison of raw captures: one pass over the splats for the grids, one for the occupancy, the rest on voxels.
+
+    ``refused(set_id, state)`` are captures that registration would not place; their sets, and those with a state that has no transform,
+    are listed in ``left_out`` and compared no further."""
+    out = written(left_out(sizes, transforms, refused), "left_out")
+    whole = sizes.join(out, "set_id", "left_anti")
+    aligned = into_frame(splats.join(whole.select("set_id"), "set_id", "left_semi"), transforms)
+    done = _run_whole(aligned, canons, whole, p)
+    done.left_out = out
+    return done
+
+
+def run_tuned(splats: DataFrame, transforms: DataFrame, canons: DataFrame, sizes: DataFrame, tuning: DataFrame, p: tk.DiffParams = tk.DiffParams(),
+              refused: DataFrame | None = None) -> DiffTables:
+    """``run`` with each set's own values: ``tuning(set_id, params MAP<STRING, DOUBLE>)`` replaces those of ``p`` it names. Sets with equal values
+    go through one run together, so there are as many runs as different tunings, not sets; a set without a row has ``p``."""
+    keyed = sizes.select("set_id").join(tuning.select("set_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("params")))).alias("own")), "set_id", "left")
+    keyed = written(keyed.withColumn("own", F.coalesce("own", F.lit("{}"))), "tuning")
+    if keyed.isEmpty():
+        return run(splats, transforms, canons, sizes, p, refused)
+    runs = []
+    for row in keyed.select("own").distinct().orderBy("own").collect():
+        mine = keyed.filter(F.col("own") == row.own).select("set_id")
+        only = lambda df: df.join(mine, "set_id", "left_semi")
+        runs.append(run(only(splats), only(transforms), only(canons), only(sizes), tuned(p, json.loads(row.own)), None if refused is None else only(refused)))
+    return DiffTables(**{f.name: functools.reduce(DataFrame.unionByName, [getattr(r, f.name) for r in runs]) for f in dataclasses.fields(DiffTables)})
+
+
+def tuned(p: tk.DiffParams, own: dict[str, float]) -> tk.DiffParams:
+    """``p`` with the values of ``own``; names it does not have belong to other steps and are passed over."""
+    kinds = {f.name: type(getattr(p, f.name)) for f in dataclasses.fields(p)}
+    return dataclasses.replace(p, **{k: kinds[k](v) for k, v in own.items() if k in kinds})
+
+
+def _run_whole(aligned: DataFrame, canons: DataFrame, sizes: DataFrame, p: tk.DiffParams) -> DiffTables:
     grids = written(grid_spec(room_points(aligned.filter("state = 0"), canons), canons, p), "grids")
     occ = written(vx.occupancy(aligned, grids, p.opacity_solid, p.min_count), "occ")
     return run_on_voxels(occ, grids, sizes, p)

@@ -61,7 +61,7 @@ def canonicalize(points: DataFrame) -> DataFrame:
     planes = written(cl.patch_planes(thin, S, F.col("thr") * 10), "planes")
     members = written(cl.plane_members(thin, planes, S), "members")
     single = planes.select(*S, F.explode("planes").alias("p")).select(*S, "p.*")
-    floor = written(cl.best_planes(members, S).join(single, [*S, "id"]), "floor")
+    floor = written(cl.refit_planes(members, cl.best_planes(members, S).join(single, [*S, "id"]), S), "floor")
     # Peel planes off the rest, largest first; those that stand upright vote on the yaw.
     used = floor.select(*S, F.array("id").alias("used"))
     votes = None
@@ -72,7 +72,8 @@ def canonicalize(points: DataFrame) -> DataFrame:
         best = written(cl.best_planes(left, S).join(enough, S, "left_semi").join(single, [*S, "id"]), "peel")
         if best.isEmpty():
             break
-        votes = best if votes is None else votes.unionByName(best)
+        fitted = written(cl.refit_planes(left, best, S), "wall")
+        votes = fitted if votes is None else votes.unionByName(fitted)
         used = written(used.join(best.select(*S, F.col("id").alias("_id")), S, "left").select(
             *S, F.when(F.col("_id").isNull(), F.col("used")).otherwise(F.array_append("used", F.col("_id"))).alias("used")), "used")
     # The normal points into the room: most of the other points lie on its side.

@@ -188,8 +188,8 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """(set_id, state, hash): seven hex digits over a capture's rows, whatever their order."""
-    cols = [c for c in df.columns if c not in ("set_id", "state")]
+    """(set_id, state, hash): seven hex digits over a capture's rows, whatever the order of rows and columns."""
+    cols = sorted(c for c in df.columns if c not in ("set_id", "state"))
     digest = df.groupBy("set_id", "state").agg(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
     return digest.select("set_id", "state", s.short_sha1(F.concat_ws("-", F.col("sum").cast("string"), F.col("n").cast("string"))).alias("hash"))
 

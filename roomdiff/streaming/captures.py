@@ -2,7 +2,8 @@
 
 Occupancy, labels and object cores only ever gain rows, so each batch writes its own folder of them; objects and live voxels are small
 and written whole per batch. A replayed batch starts from the batch before it and overwrites what it wrote, so nothing is
-counted twice. Rows of a state already processed go to ``late``; rows of a state whose predecessor is missing wait in ``early``.
+counted twice. Rows of a state already processed go to ``late``; a state whose predecessor is missing waits in ``early``, and so does one
+of whose rows only a part has come, as counts for each voxel.
 """
 
 from __future__ import annotations
@@ -17,14 +18,20 @@ from roomdiff.operators import tracker as tk
 from roomdiff.operators import voxels as vx
 
 OCC = "set_id string, state int, vox bigint"
+COUNTS = "set_id string, state int, vox bigint, n bigint"
 PROGRESS = "set_id string, last int"
+SEEN = "set_id string, state int, rows bigint"
 GROWING = {"occ": OCC, "labels": tk.LABELS, "cores": tk.LIVE, "late": OCC}
-WHOLE = {"objects": tk.OBJECTS, "live": tk.LIVE, "progress": PROGRESS, "early": OCC}
+WHOLE = {"objects": tk.OBJECTS, "live": tk.LIVE, "progress": PROGRESS, "early": COUNTS, "seen": SEEN}
 
 
 @dataclass
 class CaptureTracker:
-    """``start(stream)`` with a stream of aligned splats, or ``occupied`` voxels when ``voxels`` is set."""
+    """``start(stream)`` with a stream of aligned splats, or ``occupied`` voxels when ``voxels`` is set.
+
+    ``expected(set_id, state, rows)`` says how many rows a capture has, as its header does: a state is taken up once they have all come. Without
+    it a state has to come in one batch.
+    """
 
     spark: SparkSession
     folder: str
@@ -32,6 +39,7 @@ class CaptureTracker:
     params: tk.DiffParams = tk.DiffParams()
     bits: int = vx.BLOCK_BITS
     voxels: bool = False
+    expected: DataFrame | None = None
 
     def start(self, stream: DataFrame):
         return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.folder}/checkpoint").outputMode("append")
@@ -50,11 +58,22 @@ class CaptureTracker:
     def batch(self, rows: DataFrame, batch: int) -> None:
         p, before = self.params, batch - 1
         last = self.read("progress", before)
-        fresh = rows.select("set_id", "state", "vox") if self.voxels else vx.occupancy(rows, self.grids, p.opacity_solid, p.min_count).drop("n")
-        fresh = written(fresh.unionByName(self.read("early", before)).join(last, "set_id", "left").withColumn("last", F.coalesce("last", F.lit(-1))), "fresh")
+        if self.voxels:
+            fresh = rows.select("set_id", "state", "vox", F.lit(p.min_count).cast("bigint").alias("n"))
+        else:
+            fresh = vx.occupancy(rows, self.grids, p.opacity_solid, 1)
+        fresh = fresh.unionByName(self.read("early", before)).groupBy("set_id", "state", "vox").agg(F.sum("n").alias("n"))
+        fresh = written(fresh.join(last, "set_id", "left").withColumn("last", F.coalesce("last", F.lit(-1))), "fresh")
         late = fresh.filter(F.col("state") <= F.col("last"))
         waiting = fresh.filter(F.col("state") > F.col("last")).drop("last")
-        arrived = waiting.select("set_id", "state").distinct()
+        seen = written(rows.groupBy("set_id", "state").agg(F.count("*").alias("rows")).unionByName(self.read("seen", before))
+                       .groupBy("set_id", "state").agg(F.sum("rows").alias("rows")), "seen")
+        arrived = seen.select("set_id", "state")
+        if self.expected is not None:
+            whole = self.expected.select("set_id", "state", F.col("rows").alias("all_rows"))
+            arrived = seen.join(whole, ["set_id", "state"]).filter(F.col("rows") >= F.col("all_rows")).select("set_id", "state")
+        arrived = written(arrived, "arrived")
+        enough = waiting.filter(F.col("n") >= p.min_count).drop("n")
         progress = last
         objects, live, labels = (self.read(n, before) for n in ("objects", "live", "labels"))
         occ, cores = self.read("occ", before), empty(self.spark, tk.LIVE)
@@ -65,7 +84,7 @@ class CaptureTracker:
             here = written(here.select("set_id"), "here")
             if here.isEmpty():
                 continue
-            now = waiting.filter(F.col("state") == state).join(here, "set_id", "left_semi")
+            now = enough.filter(F.col("state") == state).join(here, "set_id", "left_semi")
             occ = written(occ.unionByName(now), "occ")
             if state > 0:
                 objects, live, labels, fresh_cores = self._advance(state, objects, live, labels, occ, here)
@@ -75,11 +94,12 @@ class CaptureTracker:
         done = written(done, "done")
         early = waiting.join(done, ["set_id", "state"], "left_anti")
         old = self.read("labels", before)
-        self._write("occ", batch, waiting.join(done, ["set_id", "state"], "left_semi"))
+        self._write("occ", batch, enough.join(done, ["set_id", "state"], "left_semi"))
         self._write("labels", batch, labels.join(old, ["set_id", "state", "vox"], "left_anti"))
         self._write("cores", batch, cores)
-        self._write("late", batch, late.drop("last"))
-        for name, df in (("objects", objects), ("live", live), ("progress", progress), ("early", early)):
+        self._write("late", batch, late.drop("last", "n"))
+        open_states = seen.join(progress, "set_id", "left").filter(F.col("state") > F.coalesce("last", F.lit(-1))).drop("last")
+        for name, df in (("objects", objects), ("live", live), ("progress", progress), ("early", early), ("seen", open_states)):
             self._write(name, batch, df)
 
     def _write(self, name: str, batch: int, df: DataFrame) -> None:

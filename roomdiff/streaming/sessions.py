@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roomdiff.functions.scalar import fixed
-from roomdiff.operators.actions import DOLLY_SETTLE_MS, MOTION_EPS_M
+from roomdiff.operators.actions import DOLLY_SETTLE_MS, MOTION_EPS_M, dolly_sessions
+
+
+ZOOM = "session string, started_us bigint, ended_us bigint, d0 double, d1 double, ticks bigint"
+
+
+def _zooms(key, frames, held: GroupState):
+    """Zooms of one session that are over. Kept are the open zoom and the gestures the watermark has not passed, since earlier ones may
+    still come between them."""
+    zoom, waiting = json.loads(held.get[0]) if held.exists else (None, [])
+    for pdf in frames:
+        waiting += [list(r) for r in zip(pdf["us"].tolist(), pdf["verb"].tolist(), pdf["d0"].tolist(), pdf["d1"].tolist())]
+    waiting.sort(key=lambda r: r[0])
+    passed_ms, out = held.getCurrentWatermarkMs(), []
+    while waiting and waiting[0][0] <= passed_ms * 1000:
+        us, verb, d0, d1 = waiting.pop(0)
+        if zoom and verb == "dolly" and us - zoom[1] < DOLLY_SETTLE_MS * 1000:
+            zoom[1], zoom[3], zoom[4] = us, d1, zoom[4] + 1
+            continue
+        if zoom:
+            out.append([key[0], *zoom])
+        zoom = [us, us, d0, d1, 1] if verb == "dolly" else None
+    if zoom and zoom[1] + DOLLY_SETTLE_MS * 1000 <= passed_ms * 1000:
+        out.append([key[0], *zoom])
+        zoom = None
+    if zoom or waiting:
+        held.update((json.dumps([zoom, waiting]),))
+        wake = min(([waiting[0][0] // 1000 + 1] if waiting else []) + ([zoom[1] // 1000 + DOLLY_SETTLE_MS] if zoom else []))
+        held.setTimeoutTimestamp(max(wake, passed_ms + 1))
+    else:
+        held.remove()
+    yield pd.DataFrame(out, columns=["session", "started_us", "ended_us", "d0", "d1", "ticks"])
 
 
 def zoom_sessions(moves: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Wheel ticks of ``moves(session, ts, verb, d0, d1)`` less than 800 ms apart as one zoom. On a stream a zoom is emitted once the
-    watermark has passed it and ticks later than ``late`` are dropped."""
-    ticks = moves.filter("verb = 'dolly'")
-    if ticks.isStreaming:
-        ticks = ticks.withWatermark("ts", late)
-    zooms = ticks.groupBy("session", F.session_window("ts", f"{DOLLY_SETTLE_MS} milliseconds")).agg(
-        F.min("ts").alias("started"), F.max("ts").alias("ts"), F.min_by("d0", "ts").alias("d0"), F.max_by("d1", "ts").alias("d1"), F.count("*").alias("ticks"))
+    """Wheel ticks of ``moves(session, ts, verb, d0, d1)`` less than 800 ms apart as one zoom, which any other gesture ends too. On a stream
+    a zoom is emitted once the watermark has passed it, and gestures later than ``late`` are dropped."""
+    if not moves.isStreaming:
+        return dolly_sessions(moves)
+    rows = moves.withWatermark("ts", late).select("session", "ts", F.unix_micros("ts").alias("us"), "verb", "d0", "d1")
+    zooms = rows.groupBy("session").applyInPandasWithState(_zooms, ZOOM, "held string", "append", GroupStateTimeout.EventTimeTimeout)
     text = F.concat(fixed(F.col("d0"), 2), F.lit(" → "), fixed(F.col("d1"), 2), F.lit(" m"))
-    return zooms.filter(F.abs(F.col("d1") - F.col("d0")) >= MOTION_EPS_M).select("session", "started", "ts", "d0", "d1", "ticks", text.alias("detail"))
+    return zooms.filter(F.abs(F.col("d1") - F.col("d0")) >= MOTION_EPS_M).select(
+        "session", F.timestamp_micros("started_us").alias("started"), F.timestamp_micros("ended_us").alias("ts"), "d0", "d1", "ticks", text.alias("detail"))
 
 
 def append_actions(actions: DataFrame, path: str, checkpoint: str):

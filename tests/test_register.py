@@ -51,3 +51,15 @@ def test_runner_up_must_be_another_pose(spark):
     df = spark.createDataFrame(rows, "set_id string, state int, cand int, m array<array<double>>, fitness double, rmse double")
     r = reg.pick_candidate(df).first()
     assert (r.fitness, r.runner_up) == (0.8, 0.5)
+
+
+def test_the_floor_is_fitted_to_all_that_lies_on_it(spark):
+    """A noisy room turned by a known rotation: the frame's up is within a tenth of a degree of the true one."""
+    rng = np.random.default_rng(3)
+    R = turn(0, 0.3) @ turn(1, -0.5)
+    pts = (furnished(rng) + rng.normal(0, 0.01, (1, 3))) @ R.T + [10.0, -4.0, 7.0]
+    pts = pts + rng.normal(0, 0.008, pts.shape)
+    df = spark.createDataFrame([("a", 0, *map(float, p)) for p in pts], "set_id string, state int, x double, y double, z double")
+    m = np.array(reg.canonicalize(df).first().m)
+    up = m[2, :3] / np.linalg.norm(m[2, :3])
+    assert np.degrees(np.arccos(min(1.0, abs(up @ R[:, 2])))) < 0.1

@@ -133,3 +133,9 @@ def test_a_fifth_copy_is_refused_until_one_is_dropped(spark):
     e = [("place", k, 1) for k in range(1, 6)] + [("drop", 1, 1), ("place", 6, 1), ("pick", 2, 1), ("place", 2, 1), ("pick", 3, 1), ("place", 7, 2)]
     df = spark.createDataFrame([("a", 1, n, v, k, i, float(n), 0.0) for n, (v, k, i) in enumerate(e)], "set_id string, draft int, seq int, verb string, key bigint, id bigint, x double, z double")
     assert {(r.key, r.x) for r in dr.replay(df).collect()} == {(4, 3.0), (6, 6.0), (2, 8.0), (7, 10.0)}
+
+
+def test_an_object_replaced_in_the_hand_frees_its_slot(spark):
+    e = [("pick", 1, 7), ("pick", 2, 8), ("place", 2, 8)] + [x for k in range(3, 7) for x in (("pick", k, 7), ("place", k, 7))] + [("pick", 7, 7), ("place", 7, 7)]
+    df = spark.createDataFrame([("a", 1, n, v, k, i, float(n), 0.0) for n, (v, k, i) in enumerate(e)], "set_id string, draft int, seq int, verb string, key bigint, id bigint, x double, z double")
+    assert {(r.id, r.key) for r in dr.replay(df).collect()} == {(8, 2), (7, 3), (7, 4), (7, 5), (7, 6)}      # the fifth copy of 7 is one too many

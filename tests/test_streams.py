@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from test_tracker import FLOOR, P, cube, tables
 
+from roomdiff.functions import voxel as v
 from roomdiff.operators import actions as act
 from roomdiff.plans import diff as job
 from roomdiff.streaming import captures, sessions
@@ -54,6 +55,39 @@ def test_zoom_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_another_gesture_ends_a_zoom_on_a_stream_too(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1, 12)
+    story = [(0, "dolly", 5.0, 4.0), (250, "pan", 4.0, 4.0), (500, "dolly", 4.0, 3.0), (900, "dolly", 3.0, 2.5), (3000, "orbit", 2.5, 2.5), (3100, "dolly", 2.5, 3.5), (300_000, "pan", 1.0, 1.0)]
+    rows = [("u", t0 + dt.timedelta(milliseconds=m), *r) for m, *r in story]
+    df = spark.createDataFrame(rows, "session string, ts timestamp, verb string, d0 double, d1 double")
+    want = sorted(map(tuple, act.dolly_sessions(df).collect()))
+    assert [(r[3], r[4]) for r in want] == [(5.0, 4.0), (4.0, 2.5), (2.5, 3.5)]
+    path = str(tmp_path / "moves")
+    for part in ([rows[1], rows[3], rows[4]], [rows[0], rows[2], rows[5]], [rows[6]]):        # out of order over batches
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(path)
+    got = drain(sessions.zoom_sessions(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)), "mixed_zooms")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_capture_in_parts_is_taken_up_when_it_is_whole(spark, tmp_path):
+    box = cube(3, 3, 1, 4, 4, 4)
+    occ, grids, sizes = tables(spark, {"r": [FLOOR, FLOOR | box]})
+    i, j, k = v.unpack(F.col("vox"))
+    splats = occ.select("set_id", "state", *[(c + o).cast("double").alias(n) for c, n, o in zip((i, j, k), "xyz", (0.25, 0.25, 0.25))]).withColumn("opacity", F.lit(0.9))
+    splats = splats.unionByName(splats.withColumn("x", F.col("x") + 0.5)).withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), F.lit(3)))
+    expected = splats.groupBy("set_id", "state").agg(F.count("*").alias("rows")).cache()
+    tracker = captures.CaptureTracker(spark, str(tmp_path / "state"), grids, P, bits=4, expected=expected)
+    tracker.batch(splats.filter("state = 0"), 0)
+    for n in range(3):
+        tracker.batch(splats.filter((F.col("state") == 1) & (F.col("part") == n)), n + 1)
+    assert tracker.read("progress", 2).first().last == 0 and not tracker.read("early", 2).isEmpty()
+    want = job.run_on_voxels(occ, grids, sizes, P, bits=4)
+    rows = lambda df: {tuple(r) for r in df.select("set_id", "state", "vox", "object_id").collect()}
+    assert rows(tracker.read("labels", 3)) == rows(want.labels) != set()
+    assert tracker.read("late", 3).isEmpty() and tracker.read("early", 3).isEmpty() and tracker.read("seen", 3).isEmpty()
+    assert tracker.read("occ", 3).count() == occ.count()
+
+
 def test_standing_alerts_stream_equals_batch(spark, tmp_path):
     story = {1: ["match", "off", "off", "missing"], 2: ["extra", "extra", "extra", "match"]}
     df = spark.createDataFrame([("a", r, n, k) for r, ks in story.items() for n, k in enumerate(ks)], "set_id string, root bigint, state int, k string")

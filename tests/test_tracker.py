@@ -105,3 +105,26 @@ def test_one_reason_per_rejected_blob(spark):
     assert {r.reject_reason for r in far.collect()} >= {"coverage"}
     low = tk.candidates(split, occ, grids, sizes, tk.DiffParams(min_voxels=4, coverage_voxels=6, floor_band_voxels=3), 3)
     assert {round(r.cy): r.reject_reason for r in low.collect() if round(r.cx) == 4}[4] == "floor"
+
+
+def test_sets_with_a_refused_or_missing_capture_are_left_out(spark):
+    eye = [[float(r == c) for c in range(4)] for r in range(4)]
+    sizes = spark.createDataFrame([("whole", 2), ("hole", 3), ("refused", 2)], "set_id string, n_states int")
+    transforms = spark.createDataFrame([("whole", 0, eye), ("whole", 1, eye), ("hole", 0, eye), ("hole", 2, eye), ("refused", 0, eye), ("refused", 1, eye)], "set_id string, state int, m array<array<double>>")
+    refused = spark.createDataFrame([("refused", 1)], "set_id string, state int")
+    got = {r.set_id: r.reason for r in job.left_out(sizes, transforms, refused).collect()}
+    assert got == {"hole": "no transform for state 1", "refused": "capture refused at state 1"}
+    rng = np.random.default_rng(2)
+    pts = rng.uniform(-0.4, 0.4, (3000, 3))
+    splats = spark.createDataFrame([(s, n, *map(float, p)) for s, n in (("whole", 0), ("whole", 1), ("hole", 0), ("hole", 2), ("refused", 0)) for p in pts], "set_id string, state int, x double, y double, z double").withColumn("opacity", F.lit(0.9))
+    canons = spark.createDataFrame([(s, eye, 1.0) for s in ("whole", "hole", "refused")], "set_id string, canon array<array<double>>, calibration_m double")
+    tuning = spark.createDataFrame([("whole", {"voxel_frac": 0.1, "min_count": 1.0, "unknown": 3.0}), ("hole", {"voxel_frac": 0.2})], "set_id string, params map<string,double>")
+    out = job.run_tuned(splats, transforms, canons, sizes, tuning, P, refused)
+    assert {r.set_id for r in out.left_out.collect()} == {"hole", "refused"}
+    grids = out.grids.collect()
+    assert [g.set_id for g in grids] == ["whole"] and abs(grids[0].voxel / grids[0].span - 0.1) < 1e-9
+
+
+def test_own_values_replace_those_of_the_run():
+    own = job.tuned(P, {"min_voxels": 9.0, "wall_margin_m": 0.6, "other": 1.0})
+    assert (own.min_voxels, own.wall_margin_m, own.jitter_voxels) == (9, 0.6, 1) and isinstance(own.min_voxels, int)
