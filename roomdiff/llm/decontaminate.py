@@ -226,7 +226,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, documents: bool = False, n: in
     hits = hits_by_join(docs.select(F.col(id_col).alias("id"), text.alias("text")), benchmark, n, item_col, item_text_col)
     joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.xxhash64(text) == F.col("__hhash")), "left")
     packed = joined.select(*[docs[c] for c in docs.columns], F.col("__hits"))
-    at, width = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, width = names.index(text_col), len(names)
 
     def run(batches):
         for part in slices(batches):
@@ -234,6 +235,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, documents: bool = False, n: in
             masks = [_mask(len(clean_words(t)), h) for t, h in zip(raw, part.column(width).to_pylist())]
             texts, stay = _cleared(raw, masks, documents)
             columns = [part.column(k) if k != at else pa.array(texts, pa.string()).cast(part.column(k).type) for k in range(width)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(stay))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
 
     return packed.mapInArrow(run, docs.schema)

@@ -89,8 +89,10 @@ def rewrite(df: DataFrame, make: Callable, text_col: str) -> DataFrame:
 
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of ``n`` word hashes (uint64)."""
-    count = len(ids) - n + 1
-    out = np.zeros(max(count, 0), np.uint64)
+    count = max(len(ids) - n + 1, 0)
+    out = np.zeros(count, np.uint64)
+    if not count:
+        return out
     for k in range(n):
         out = (out ^ ids[k:k + count]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
