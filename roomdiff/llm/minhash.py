@@ -6,7 +6,8 @@ estimates the similarity and drops candidates that are far below the threshold.
 
 Two sets at the threshold of 0.8 share no band with probability (1 - 0.8**5)**50 < 3e-9; the estimate is cut ``SIGMAS`` standard errors
 below the threshold, under 1e-11. Groups of copies never become pairs: equal sets are one node, members of a band's bucket first meet
-only its lowest and highest member, and only nodes still in different components after that can meet each other.
+only the one among them that shares most buckets with others, the centre of its group, and only nodes still in different components
+after that can meet each other.
 
 Those would still be all pairs of a large group whose members are not quite similar enough. They are split by what is rare among them: a
 shingle that at most ``RARE`` of the nodes have. Two nodes either share a rare shingle, and meet there (at most ``RARE`` at a time), or their
@@ -121,23 +122,19 @@ def likely(percent: int) -> str:
     return f"{differ} <= {most_differ} and 100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles)"
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, w) of ids whose full shingle sets are similar enough."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("w")).distinct()
-    sets = written(full_sets(docs.join(ids, "id", "left_semi"), n).dropDuplicates(["id", "hashes"]), "sets")
-    both = (pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u")
-            .join(sets.select(F.col("id").alias("w"), F.col("hashes").alias("y")), "w")
-            .withColumn("same", F.size(F.array_intersect("x", "y"))))
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, w) of ids whose full shingle sets ``sets(id, hashes)`` are similar enough."""
+    both = (pairs.hint("merge").join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").hint("merge")
+            .join(sets.select(F.col("id").alias("w"), F.col("hashes").alias("y")), "w").withColumn("same", F.size(F.array_intersect("x", "y"))))
     return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("u", "w").distinct()
 
 
-def still_apart(apart: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def still_apart(apart: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, w) of ``apart(band, node, comp)``: nodes that share a band, lie in different components and may be similar enough."""
     packs = [f"s{k}" for k in range(LONGS)]
     open_nodes = apart.select("node", "comp").distinct()
-    sets = full_sets(docs.join(open_nodes.select(F.col("node").alias("id")), "id", "left_semi"), n)
-    held = written(sets.select(F.col("id").alias("node"), F.explode("hashes").alias("h")).distinct(), "held")
+    held = sets.join(open_nodes.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), F.explode("hashes").alias("h"))
+    held = written(held.distinct(), "held")
     rare = held.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
     rare_of = written(held.join(rare, "h").select("h", "node", "df"), "rare")
     side = (nodes.select("node", "n_shingles", "bands", *packs).join(open_nodes, "node")
@@ -175,25 +172,30 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     nodes = written(real.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
                                                  *(F.first(p).alias(p) for p in packs)), "nodes")
     buckets = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = written(buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "shared")
-    members = written(buckets.join(shared, "band").select("band", "node", "low", "high"), "members")
+    shared = written(buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    members = written(buckets.join(shared, "band").select("band", "node", "n"), "members")
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    centre = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("c")).select("band", F.col("c.node").alias("end"))
+    # The full sets of all that may be compared. The texts are met by a sorted join whatever the sizes, so that a large run does as a small one.
+    asked = members.select(F.col("node").alias("id")).distinct().hint("merge")
+    sets = written(full_sets(docs.join(asked, "id", "left_semi").dropDuplicates(["id", "text"]), n), "sets")
 
     sides = nodes.select("node", "n_shingles", *packs)
-    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
-    pairs = ends.select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("w")).distinct()
+    ends = members.join(centre, "band").filter("node <> end")
+    pairs = written(ends.select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("w")).distinct(), "pairs")
     near = (pairs.join(sides.alias("a"), F.col("u") == F.col("a.node")).join(sides.alias("b"), (F.col("w") == F.col("b.node")) & F.expr(likely(percent)))
             .select("u", "w").distinct())
     twice = (real.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).filter("a <> b").select("id")
              .join(real, "id").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select(F.greatest("id", "node").alias("u"), F.least("id", "node").alias("w")))
-    links = written(confirm(near, docs, n, percent).union(twice), "links")
+    links = written(confirm(near, sets, percent).union(twice), "links")
     found = connect(links, [])
 
     # What the first round left apart: nodes of one bucket in different components.
     placed = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     open_bands = placed.groupBy("band").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("band")
     apart = written(placed.join(open_bands, "band", "left_semi"), "apart")
-    rest = written(still_apart(apart, nodes, docs, n, percent).join(pairs, ["u", "w"], "left_anti"), "rest")
-    more = written(confirm(rest, docs, n, percent), "links")
+    rest = written(still_apart(apart, nodes, sets, percent).join(pairs, ["u", "w"], "left_anti"), "rest")
+    more = written(confirm(rest, sets, percent), "links")
     if not more.isEmpty():
         found = connect(links.union(more), [])
 
