@@ -91,7 +91,7 @@ def telling(features: list[np.ndarray], grades: np.ndarray, n_grades: int, dims:
 
 
 def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, dims: int = DIMENSIONS, l2: float = 2e-4,
-        least: int = 4, z: float = 3.5, steps: int = 100, rate: float = 0.1) -> Ordinal:
+        least: int = 4, z: float = 4.5, steps: int = 100, rate: float = 0.1) -> Ordinal:
     """Maximum likelihood by Adam with an L2 penalty. ``features``: the distinct features of each text. Only ``telling`` ones get weights, or
     the noise of rare words would add up in long texts. A grade nobody has keeps a threshold."""
     n = len(grades)
