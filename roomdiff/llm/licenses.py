@@ -1,6 +1,6 @@
 """License scans by sentence rules.
 
-Sentences are normalised and looked up among known licence sentences; what is known becomes a sequence of identifiers. Ordered rules
+Known licence sentences are looked up in the normalised sentences of a text; what is known becomes a sequence of identifiers. Ordered rules
 then match the sequence: the first rule that matches somewhere takes those identifiers away, and the rest is matched on.
 All of it is built from Spark's own functions, on each text by itself.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Openings of licence sentences after normalisation (lower case, letters and digits, single spaces), and their identifiers.
+# Licence sentences, or their openings, after normalisation (lower case, letters and digits, single spaces), and their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2 0": "ApacheGrant",
     "you may not use this file except in compliance with the license": "ApacheComply",
@@ -59,8 +59,10 @@ RULES = [
     (("AllRights",), "proprietary"),
 ]
 
-# A sentence ends at a line end or at . ; : ! ? before white space or the end of the text.
-ENDS = r"[.;:!?]+([ \t\n\r\f]|$)|\n"
+# A sentence ends at . ! ? before white space or the end of the text, but not after "v" ("v. 2.0"), and at a line without letters or digits,
+# which may hold comment signs. Other line ends, colons and semicolons do not end it: notices are wrapped, and known sentences go over them.
+ENDS = r"(?<!\b[vV])[.!?]+(?:[ \t\n\r\f]|$)|\n(?:[^\p{L}\p{N}\n]*(?:\n|$))+"
+NEGATIONS = ("not", "never", "no longer")       # a known sentence right after one of these is not said
 
 
 def normalised(sentence: Column) -> Column:
@@ -68,12 +70,13 @@ def normalised(sentence: Column) -> Column:
 
 
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The sequence of known sentences of a text, in its order. A sentence is known if it is one of ``sentences`` or starts with one and a blank."""
-    said = F.transform(F.split(text, ENDS), normalised)
+    """The sequence of known sentences of a text, in its order. One of ``sentences`` is known wherever it stands as whole words inside a
+    sentence of the text, unless one of ``NEGATIONS`` is right before it; of those that begin at one word the longest counts."""
     longest = sorted(sentences, key=lambda s: (-len(s), s))
-    candidates = F.filter(said, lambda s: s.rlike("^(" + "|".join(longest) + ")( |$)"))
+    pattern = "(?:^|(?<= ))" + "".join(rf"(?<!\b{n} )" for n in NEGATIONS) + "(" + "|".join(longest) + ")(?= |$)"
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    return F.transform(candidates, lambda s: F.element_at(known, F.regexp_extract(s, "^(" + "|".join(longest) + ")( |$)", 1)))
+    said = F.flatten(F.transform(F.split(text, ENDS), lambda s: F.regexp_extract_all(normalised(s), F.lit(pattern), F.lit(1))))
+    return F.transform(said, lambda s: F.element_at(known, s))
 
 
 def matched(sequence: Column, rules: list = RULES) -> tuple[Column, Column]:
