@@ -4,6 +4,7 @@ The pages of one host are laid over each other: a node of the tree is a path of
 how many pages show it, in which presentation styles (the sequence of its children) and, for nodes with text, in how many pages each text
 stands. Entropies of both give a node's importance; its composite importance adds that of its children, weighted by style. Nodes whose
 composite importance is low are the same from page to page; they are taken out of each page of the host, with all that is below them.
+Pages of a host whose nodes and texts are all the same are one page of the tree, however many rows or addresses have it.
 
 A tree only sees repetition, so menus or adverts that change from page to page would pass. Elements that say what they are (nav, footer,
 form, class names such as "advert" or "comments", hidden ones) are therefore noise on every host, and if a page has an article or a main
@@ -92,6 +93,7 @@ class Node:
     main: bool = False          # inside an article or main element
     low: bool = False           # below a branch of low importance
     safe: bool = False          # never a branch that goes
+    heading: bool = False       # a heading or inside one
     children: list = field(default_factory=list)
     around: list | None = None  # text before an inline element that is noise
 
@@ -99,7 +101,7 @@ class Node:
 def read(page: str, low: frozenset = frozenset()):
     """(blocks, nodes) of a page.
 
-    blocks: (text, path, noise, inside article or main, below a path in ``low``), in page order; white space is single and outer is cut.
+    blocks: (text, path, noise, inside article or main, below a path in ``low``, inside a heading), in page order; white space is single and outer is cut.
     nodes: (path, parent's path, depth, children's sequence, safe) of every element.
     """
     stack, blocks, nodes, parts = [Node("", 0)], [], [], []
@@ -109,7 +111,7 @@ def read(page: str, low: frozenset = frozenset()):
         parts.clear()
         if text:
             top = stack[-1]
-            blocks.append((text, top.path, top.noise, top.main, top.low))
+            blocks.append((text, top.path, top.noise, top.main, top.low, top.heading))
 
     def close(n):
         while len(stack) > n:
@@ -184,7 +186,7 @@ def read(page: str, low: frozenset = frozenset()):
             flush()
         path = _signed(hash64(f"{up.path}/{name}".encode()))
         node = Node(tag, path, noise or (up.noise and not (main and not up.firm and not up.main)), up.firm or (noise and (firm or up.main)), up.main or main,
-                    up.low or path in low, tag in HEADINGS or main or tag in ("html", "body"))
+                    up.low or path in low, tag in HEADINGS or main or tag in ("html", "body"), up.heading or tag in HEADINGS)
         if noise and tag not in BLOCK:
             node.around = parts[:]
             parts.clear()
@@ -209,27 +211,64 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+OBSERVED = {"host": pa.string(), "path": pa.int64(), "parent": pa.int64(), "depth": pa.int32(), "safe": pa.bool_(), "kind": pa.int32(), "what": pa.int64()}
+PAGE = 3                    # kind of a row that stands for a page: its print is the path, its key the parent
+
+
+def shown(raw: bytes | None) -> set:
+    """(path, parent, depth, safe, kind, what) of a page: its nodes' styles (kind 0), texts (kind 1) and the nodes themselves (kind 2)."""
+    blocks, nodes = read(raw.decode()) if raw else ([], [])
+    place = {path: (parent, depth, safe) for path, parent, depth, _, safe in nodes}
+    seen = {(path, *place[path], 0, style) for path, _, _, style, _ in nodes}
+    seen |= {(path, *at, 2, 0) for path, at in place.items()}
+    seen |= {(path, *place[path], 1, _signed(hash64(text.encode()))) for text, path, *_ in blocks if path in place}
+    return seen
+
+
+def _rows(counts: dict, schema: dict, last: str) -> pa.RecordBatch:
+    keys = list(counts)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in keys], t) for k, t in enumerate(schema.values())] + [pa.array(list(counts.values()), pa.int64())], names=[*schema, last])
+
+
 def observed(pages: DataFrame) -> DataFrame:
     """(host, path, parent, depth, safe, kind, what, pages): for each node of each host and each of its styles (kind 0) or texts (kind 1),
-    and for the node itself (kind 2), on how many pages. Counted within each slice of pages before anything is shuffled."""
+    and for the node itself (kind 2), on how many different pages. Counted within each slice of pages before anything is shuffled.
+
+    A page that a slice shows again is left out there. Pages found in several slices are read once more, and what they were counted for too
+    often is taken off; only their keys meet the pages, by a join.
+    """
+    keyed = pages.select("host", "html", F.xxhash64("html").alias("key"))
+
     def run(batches):
         for part in slices(batches, 2048):
-            counts: dict = {}
-            for host, raw in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
-                blocks, nodes = read(raw.decode()) if raw else ([], [])
-                place = {path: (parent, depth, safe) for path, parent, depth, _, safe in nodes}
-                seen = {(path, 0, style) for path, _, _, style, _ in nodes}
-                seen |= {(path, 2, 0) for path in place}
-                seen |= {(path, 1, _signed(hash64(text.encode()))) for text, path, *_ in blocks if path in place}
-                for path, kind, what in seen:
-                    key = (host, path, *place[path], kind, what)
-                    counts[key] = counts.get(key, 0) + 1
-            rows = list(counts)
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)] + [pa.array(list(counts.values()), pa.int64())],
-                                             names=["host", "path", "parent", "depth", "safe", "kind", "what", "pages"])
-    found = pages.select("host", "html").mapInArrow(run, "host string, path bigint, parent bigint, depth int, safe boolean, kind int, what bigint, pages bigint")
-    return found.groupBy("host", "path", "parent", "depth", "safe", "kind", "what").agg(F.sum("pages").alias("pages"))
+            counts, known = {}, set()
+            for host, raw, key in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist()):
+                seen = shown(raw)
+                print_ = _signed(hash64(repr(sorted(seen)).encode()))
+                if (host, print_) in known:
+                    continue
+                known.add((host, print_))
+                counts[host, print_, key, 0, False, PAGE, 0] = 1
+                for x in seen:
+                    counts[host, *x] = counts.get((host, *x), 0) + 1
+            yield _rows(counts, OBSERVED, "pages")
+
+    def again(batches):
+        for part in slices(batches, 2048):
+            counts, done = {}, set()
+            for host, raw, key, extra in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                if (host, key) not in done:
+                    done.add((host, key))
+                    counts.update({(host, *x, key): -extra for x in shown(raw)})
+            yield _rows(counts, OBSERVED | {"key": pa.int64()}, "pages")
+
+    fields = "host string, path bigint, parent bigint, depth int, safe boolean, kind int, what bigint"
+    found = written(keyed.mapInArrow(run, f"{fields}, pages bigint").groupBy(*OBSERVED).agg(F.sum("pages").alias("pages")), "observed_slices")
+    often = written(found.filter(F.col("kind") == PAGE).groupBy("host", "path").agg(F.sum("pages").alias("n"), F.min("parent").alias("key")).filter("n > 1")
+                    .select(F.col("host").alias("__host"), F.col("key").alias("__key"), (F.col("n") - 1).alias("extra")), "observed_often")
+    met = keyed.join(often, (F.col("host") == F.col("__host")) & (F.col("key") == F.col("__key"))).select("host", "html", "key", "extra")
+    off = met.mapInArrow(again, f"{fields}, key bigint, pages bigint").distinct().drop("key")
+    return found.filter(F.col("kind") != PAGE).unionByName(off).groupBy(*OBSERVED).agg(F.sum("pages").alias("pages"))
 
 
 def importance(seen: DataFrame) -> DataFrame:
@@ -288,18 +327,19 @@ def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, low: float = L
 
 
 def main_text(page: str, low: frozenset = frozenset()) -> str:
-    """The article's blocks. If the tree would leave nothing, what the elements say of themselves decides alone."""
+    """The article's blocks. If the tree would leave nothing, or nothing but headings, what the elements say of themselves decides alone."""
     blocks, _ = read(page, low)
     plain = [b for b in blocks if not b[2]]
     plain = [b for b in plain if b[3]] or plain
-    return "\n\n".join(b[0] for b in [b for b in plain if not b[4]] or plain)
+    left = [b for b in plain if not b[4]]
+    return "\n\n".join(b[0] for b in (left if any(not b[5] for b in left) else plain))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page: its article, blocks in page order with an empty line between them.
 
-    Null and empty pages have an empty text. Pages without a host share the empty one. Repeated rows get a result each and count as
-    pages of their host. Character references are decoded; white space inside a block is one space.
+    Null and empty pages have an empty text. Pages without a host share the empty one. Repeated rows get a result each and count once
+    among the pages of their host. Character references are decoded; white space inside a block is one space.
     """
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     seen = written(observed(plain), "observed")         # read several times below; the pages are parsed for it once

@@ -83,3 +83,24 @@ def test_given_pages(spark):
         body = re.search(r"<article>(.*)</article>", source[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b.replace("<b>", "").replace("</b>", ""))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def test_copies_with_a_heading_keep_their_body(spark):
+    page = "<article><h1>T</h1><p>A</p><p>B</p></article>"
+    rows = [("http://rows.example/", page)] * 3
+    rows += [(f"http://nine.example/{k}", "<article><h1>Long</h1>" + "".join(f"<p>Part {j}</p>" for j in range(30)) + "</article>") for k in range(9)]
+    rows += [("http://nine.example/own", "<article><h1>Own</h1><p>Short.</p></article>")]
+    rows += [("http://byline.example/", f"{page[:-10]}<div class='by'>By X</div></article>")] * 10 + [("http://byline.example/2", f"{page[:-10]}<div class='by'>By Y</div></article>")]
+    rows += [(f"http://headed.example/{k}", f"<article><h1>Day {k}</h1><p>A</p><p>B</p></article>") for k in range(8)]
+    got = {r.page_id: r.text for r in p.extract(frame(spark, rows)).collect()}
+    assert [got[k] for k in range(3)] == ["T\n\nA\n\nB"] * 3
+    assert [got[k] for k in range(3, 12)] == ["Long\n\n" + "\n\n".join(f"Part {j}" for j in range(30))] * 9 and got[12] == "Own\n\nShort."
+    assert [got[k] for k in range(13, 24)] == ["T\n\nA\n\nB\n\nBy X"] * 10 + ["T\n\nA\n\nB\n\nBy Y"]
+    assert [got[k] for k in range(24, 32)] == [f"Day {k}\n\nA\n\nB" for k in range(8)]
+
+
+def test_equal_pages_are_one_page_of_the_tree(spark):
+    once = site("a.example", 4, "Same") + site("b.example", 3, "Other")
+    often = frame(spark, once + once[:2] * 7 + once[4:5] * 30).repartition(9)
+    tree = [{tuple(r) for r in p.observed(df.withColumn("host", p.host_of("url"))).collect()} for df in (frame(spark, once), often)]
+    assert tree[0] == tree[1] and max(r[-1] for r in tree[0]) == 4
