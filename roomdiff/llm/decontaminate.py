@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from roomdiff.llm.text import Memo, as_bytes, hash64, per_text, rewrite, slices, window_hashes
 
 N = 10
-MOST_BYTES = 64 << 20           # of all test texts: beyond it the windows are not broadcast but met by a join
+MOST_BYTES = 16 << 20           # of the test windows as they are sent to tasks: beyond it they are not broadcast but met by a join
+PER_WINDOW = 24                 # bytes of a window beside the words of its item: hash, place, length, place of its items and at least one of them
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TABLE = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _SPACED = bytes(0x20 if (c in SEPARATORS and not 0x41 <= c < 0x5B) else _TABLE[c] for c in range(256))
@@ -32,53 +33,90 @@ def clean_words(raw: bytes | None) -> list[bytes]:
     return raw.translate(_SPACED).split() if raw else []
 
 
+@dataclass
+class Length:
+    """The different test windows of one length, by their hashes: where their words stand, and their items by number."""
+
+    hashes: np.ndarray          # sorted, each once
+    at: np.ndarray              # first byte of the words in the item's text
+    size: np.ndarray            # bytes of the words
+    first: np.ndarray           # where the window's items begin, one more than windows
+    items: np.ndarray
+
+
 @dataclass
 class Windows:
-    """Test windows by length: their hashes (sorted), words, and the items they occur in."""
+    """Test windows by length, as arrays over the words of all items; ``odd`` has windows whose hash is that of other words."""
 
-    lengths: list[int] = field(default_factory=list)
-    hashes: dict = field(default_factory=dict)
-    items: dict = field(default_factory=dict)       # words of a window -> its item ids
+    words: bytes = b""
+    names: pa.Array | None = None
+    lengths: dict = field(default_factory=dict)
+    odd: dict = field(default_factory=dict)         # words of a window -> numbers of its items
 
     @classmethod
     def of(cls, rows, n: int = N) -> Windows:
         """From (item id, text bytes); items without words are in no window. The windows of a null id count as hits and as no item."""
-        found: dict = {}
-        for item, raw in rows:
+        hashed, found, texts, names, start = Memo(hash64), {}, [], [], 0
+        for number, (item, raw) in enumerate(rows):
+            names.append(item)
             words = clean_words(raw)
             k = min(n, len(words))
-            for at in range(len(words) - k + 1 if k else 0):
-                found.setdefault(tuple(words[at:at + k]), set()).add(item)
-        out = cls(sorted({len(w) for w in found}))
-        for k in out.lengths:
-            known = [np.array([hash64(x) for x in w], np.uint64) for w in found if len(w) == k]
-            out.hashes[k] = np.unique(window_hashes_of(known, k))
-        out.items = {w: {i for i in ids if i is not None} for w, ids in found.items()}
+            if k:
+                text = b" ".join(words)
+                lasts = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)         # one past the blank after each word
+                firsts = np.concatenate([[0], lasts[:-1]])[:len(words) - k + 1]
+                hashes = window_hashes(np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words)), k)
+                number = -1 if item is None else number
+                found.setdefault(k, []).append((hashes, (start + firsts).astype(np.uint32), (lasts[k - 1:] - 1 - firsts).astype(np.uint32), np.full(len(hashes), number, np.int32)))
+                texts.append(text)
+                start += len(text) + 1
+        out = cls(b" ".join(texts), pa.array(names))
+        for k, parts in sorted(found.items()):
+            hashes, at, size, items = (np.concatenate(p) for p in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            hashes, at, size, items = hashes[order], at[order], size[order], items[order]
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+            same = np.ones(len(hashes), bool)
+            for j in np.flatnonzero(~new):
+                head, own = heads[group[j]], out.said(at[j], size[j])
+                if own != out.said(at[head], size[head]):
+                    same[j] = False
+                    out.odd.setdefault(own, set()).update({int(items[j])} - {-1})
+            pairs = np.unique(np.stack([group, items], axis=1)[same & (items >= 0)], axis=0)
+            first = np.searchsorted(pairs[:, 0], np.arange(len(heads) + 1)).astype(np.uint32)
+            out.lengths[k] = Length(hashes[heads], at[heads], size[heads], first, pairs[:, 1].astype(np.int32))
         return out
 
+    def said(self, at, size) -> bytes:
+        return self.words[int(at):int(at) + int(size)]
 
-def window_hashes_of(windows: list[np.ndarray], k: int) -> np.ndarray:
-    return np.array([window_hashes(w, k)[0] for w in windows], np.uint64)
+    def items_of(self, own: Length, place: int, words: bytes):
+        """Ids of the items that have the window ``words``, which has the hash at ``place``; None if there is no such window."""
+        if self.said(own.at[place], own.size[place]) == words:
+            numbers = own.items[own.first[place]:own.first[place + 1]].tolist()
+        elif (numbers := self.odd.get(words)) is None:
+            return None
+        return {self.names[i].as_py() for i in numbers}
 
 
 def scanner(windows: Windows):
     """Gives a function from UTF-8 text to (words, hit mask, item ids)."""
     hashed = Memo(hash64)
-    first = {k: windows.hashes[k] for k in windows.lengths}
 
     def scan(raw):
         words = clean_words(raw)
         hit, items = np.zeros(len(words), bool), set()
-        if not words or not first:
+        if not words or not windows.lengths:
             return words, hit, items
         ids = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
-        for k, known in first.items():
+        for k, known in windows.lengths.items():
             if len(words) < k:
                 continue
             got = window_hashes(ids, k)
-            place = np.minimum(np.searchsorted(known, got), len(known) - 1)
-            for at in np.flatnonzero(known[place] == got):
-                own = windows.items.get(tuple(words[at:at + k]))
+            place = np.minimum(np.searchsorted(known.hashes, got), len(known.hashes) - 1)
+            for at in np.flatnonzero(known.hashes[place] == got):
+                own = windows.items_of(known, place[at], b" ".join(words[at:at + k]))
                 if own is not None:
                     hit[at:at + k] = True
                     items |= own
@@ -101,9 +139,18 @@ def _result(found):
 SCHEMA = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
 
 
-def size_of(benchmark: DataFrame, text_col: str = "text") -> int:
-    """Bytes of all test texts."""
-    return benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+def size_of(benchmark: DataFrame, n: int = N, item_col: str = "item_id", text_col: str = "text") -> int:
+    """Bytes at most of all windows as they are sent: words, ids, and ``PER_WINDOW`` for each window. Counted in tasks, nothing is gathered."""
+    def run(batches):
+        for part in slices(batches):
+            total = 0
+            for name, raw in zip(as_bytes(part.column(0)), as_bytes(part.column(1))):
+                words = clean_words(raw)
+                k = min(n, len(words))
+                total += len(name or b"") + 9 + sum(map(len, words)) + len(words) + PER_WINDOW * (len(words) - k + 1 if k else 0)
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["size"])
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "size bigint").agg(F.sum("size")).first()[0] or 0
 
 
 def gather(benchmark: DataFrame, n: int = N, item_col: str = "item_id", text_col: str = "text") -> Windows:
@@ -117,9 +164,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, most_bytes: int = MO
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, items) for every row of ``docs``.
 
     A null or empty text has no words. Repeated rows get a result each. A null or empty benchmark finds nothing. Items of equal text are
-    all named. The windows are sent to every task if the test texts have at most ``most_bytes``; else they are met by a shuffled join.
+    all named. The windows are sent to every task if they have at most ``most_bytes`` in all; else they are met by a shuffled join.
     """
-    if size_of(benchmark, item_text_col) <= most_bytes:
+    if size_of(benchmark, n, item_col, item_text_col) <= most_bytes:
         windows = gather(benchmark, n, item_col, item_text_col)
 
         def make():
@@ -213,9 +260,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, documents: bool = False, n: in
     """``docs``, all columns, without what the test windows hit: the spans, or with ``documents`` the whole rows.
 
     When spans are removed, a row goes only if it had words and none are left. Rows without hits, null texts among them, stay as they are.
-    Above ``most_bytes`` of test texts the windows are met by a join, as in ``scan``.
+    Above ``most_bytes`` of test windows they are met by a join, as in ``scan``.
     """
-    if size_of(benchmark, item_text_col) <= most_bytes:
+    if size_of(benchmark, n, item_col, item_text_col) <= most_bytes:
         windows = gather(benchmark, n, item_col, item_text_col)
 
         def make():

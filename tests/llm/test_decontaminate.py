@@ -74,3 +74,27 @@ def test_cut_takes_out_just_the_hit_words(parts, data):
     hit = np.array(data.draw(st.lists(st.booleans(), min_size=n, max_size=n)), bool)
     kept = [w for w, h in zip(d.clean_words(raw), hit) if not h]
     assert b"".join(d.clean_words(d.cut(raw, hit))) == b"".join(kept)
+
+
+def test_windows_stay_small_when_sent(spark):
+    import pickle
+    import tracemalloc
+
+    items = [(k, prose(1000 + k, 400, 5000).encode()) for k in range(400)]
+    size = d.size_of(spark.createDataFrame([(i, t.decode()) for i, t in items], "item_id bigint, text string"))
+    tracemalloc.start()
+    windows = d.Windows.of(items)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(pickle.dumps(windows)) <= size <= 8 * sum(len(t) for _, t in items)
+    assert held < 2 * size and peak < 6 * size
+    assert d.MOST_BYTES <= 20 << 20
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(d, "hash64", lambda w: 1)
+    items = [(1, b"a b c"), (2, b"x y z"), (3, b"x y z"), (None, b"q r s"), (4, b"a b c")]
+    find = d.scanner(d.Windows.of(items, 2))
+    for text, want in ((b"a b", {1, 4}), (b"y z", {2, 3}), (b"r s", set()), (b"b x", None), (b"c a b y", {1, 4})):
+        _, hit, found = find(text)
+        assert (hit.any(), found) == (want is not None, want or set()), text
