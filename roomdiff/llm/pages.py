@@ -289,18 +289,25 @@ def importance(seen: DataFrame) -> DataFrame:
     return both.select(*keys, "m", "styles", inner.alias("inner"), content.alias("content"))
 
 
+def shared_nodes(tree: DataFrame) -> DataFrame:
+    """(host, parent, node, depth, safe, m, styles, inner, content): the nodes on two different pages or more, and for each of them that has
+    children on a single page one row without a node, their sum. What is below a node on a single page is left out: it has the importance 1
+    and nothing reads it."""
+    single = F.col("m") == 1
+    shared = tree.filter(~single).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    below = tree.filter(single).join(shared, (F.col("host") == F.col("__host")) & (F.col("parent") == F.col("__path")), "left_semi")
+    sums = (below.groupBy("host", "parent").agg(F.max("depth").alias("depth"), F.sum("m").alias("m"))
+            .select("host", "parent", F.lit(None).cast("bigint").alias("node"), "depth", F.lit(False).alias("safe"), "m", F.lit(1).cast("bigint").alias("styles"),
+                    F.lit(1.0).alias("inner"), F.lit(None).cast("double").alias("content")))
+    return tree.filter(~single).select("host", "parent", F.col("path").alias("node"), "depth", "safe", "m", "styles", "inner", "content").unionByName(sums)
+
+
 def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
     """(host, low): for each host the paths whose composite importance is under ``low`` on ``least_pages`` pages or more.
 
-    A group is the tree of one host's shared nodes, which grows with its templates, not with its pages; nodes on a single page have the
-    importance 1 and come as a sum for each parent.
+    A group is the tree of one host's ``shared_nodes``. It grows with the nodes that two different pages or more have, not with those of
+    single pages.
     """
-    single = F.col("m") == 1
-    grouped = (tree.withColumn("node", F.when(single, F.lit(None)).otherwise(F.col("path")))
-               .groupBy("host", "parent", "node").agg(F.max("depth").alias("depth"), F.max("safe").alias("safe"), F.sum("m").alias("m"), F.max("styles").alias("styles"),
-                                                      F.max("inner").alias("inner"), F.max("content").alias("content")))
-    useful = grouped.join(grouped.filter("node is not null").select("host").distinct(), "host", "left_semi")
-
     def solve(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: -r["depth"])
         above: dict = {}            # path -> [weight, weighted importance] of its children
@@ -323,7 +330,7 @@ def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, low: float = L
             return pa.table({"host": pa.array([], pa.string()), "low": pa.array([], pa.list_(pa.int64()))})
         return pa.table({"host": pa.array([key[0].as_py()]), "low": pa.array([sorted(found)], pa.list_(pa.int64()))})
 
-    return useful.groupBy("host").applyInArrow(solve, "host string, low array<bigint>")
+    return shared_nodes(tree).groupBy("host").applyInArrow(solve, "host string, low array<bigint>")
 
 
 def main_text(page: str, low: frozenset = frozenset()) -> str:
@@ -343,7 +350,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW,
     """
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     seen = written(observed(plain), "observed")         # read several times below; the pages are parsed for it once
-    branches = written(low_branches(importance(seen), least_pages, low), "branches")
+    branches = written(low_branches(written(importance(seen), "tree"), least_pages, low), "branches")
     salted = branches.select(F.col("host").alias("__host"), "low", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
     dealt = plain.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALT)).cast("int"))
     met = dealt.join(salted, (F.col("host") == F.col("__host")) & (F.col("salt") == F.col("__salt")), "left").select("id", "url", "html", "low")

@@ -104,3 +104,15 @@ def test_equal_pages_are_one_page_of_the_tree(spark):
     often = frame(spark, once + once[:2] * 7 + once[4:5] * 30).repartition(9)
     tree = [{tuple(r) for r in p.observed(df.withColumn("host", p.host_of("url"))).collect()} for df in (frame(spark, once), often)]
     assert tree[0] == tree[1] and max(r[-1] for r in tree[0]) == 4
+
+
+def test_own_class_names_do_not_grow_a_host(spark):
+    def sized(n):
+        own = "<article class='post-{}'><section><h2>T {}</h2><ul><li><p>a {}</p></li></ul></section></article>"
+        name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+        rows = [(f"http://own.example/{k}", f"<html><body><div class='top'>Our site</div>{own.format(*[name(k)] * 3)}</body></html>") for k in range(n)]
+        df = frame(spark, rows)
+        tree = p.importance(p.observed(df.withColumn("host", p.host_of("url"))))
+        assert all(r.text == f"T {name(r.page_id)}\n\na {name(r.page_id)}" for r in p.extract(df).collect())
+        return p.shared_nodes(tree).count()
+    assert sized(5) == sized(60) == 4
