@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def ratings(labels: DataFrame) -> DataFrame:
-    """Graded ratings from the two labels: 0 poor, 1 well written but toxic, 2 well written and clean."""
-    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    """Graded ratings from the quality label alone, toxic or not: 0 poor, 2 well written. The labels tell no grade between them."""
+    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 2).alias("grade"))
 
 
 @query("op1_quality_classifier")

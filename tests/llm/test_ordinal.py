@@ -62,3 +62,17 @@ def test_held_out_quality(spark):
     assert out.kept[(out.quality == 1) & (out.toxic == 0)].mean() > 0.98
     assert out.kept[(out.quality == 1) & (out.toxic == 1)].mean() > 0.6         # the middle grade
     assert out.kept[out.quality == 0].mean() < 0.2
+
+
+def test_held_out_quality_does_not_hang_on_toxicity(spark):
+    docs, fit_on, held = split(spark)
+    out = quality.rate(docs, quality.train(docs, ratings(fit_on))).join(held, "doc_id").toPandas()
+    by = {k: (len(x), round(x.kept.mean(), 4)) for k, x in out.groupby(["quality", "toxic"])}
+    assert out.kept[out.quality == 1].mean() > 0.98, by
+    assert out.kept[(out.quality == 1) & (out.toxic == 1)].mean() > 0.98, by
+    assert out.kept[out.quality == 0].mean() < 0.05, by
+
+
+def test_ratings_are_of_quality_only(spark):
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 1, 0), (4, 1, 1), (5, None, 1)], "doc_id bigint, quality int, toxic int")
+    assert {r.doc_id: r.grade for r in ratings(labels).collect()} == {1: 0, 2: 0, 3: 2, 4: 2, 5: None}
