@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomdiff.llm import decontaminate, licenses, lines, minhash, pages, pieces, quality, rules, secret_scan, toxicity
+from roomdiff.llm import decontaminate, fim, licenses, lines, minhash, pages, pieces, quality, rules, secret_scan, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -166,3 +166,20 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     found = lines.cleaned(table(spark, sf, "documents"))
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), "text")
+
+
+@query("op13_fill_in_middle", r"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS a, CAST('0x' || h[9:16] AS BIGINT) AS b, CAST('0x' || h[17:24] AS BIGINT) AS c,
+                 CAST('0x' || h[25:32] AS BIGINT) AS d FROM doc),
+form AS (SELECT doc_id, t, u, n, least(a % (n + 1), b % (n + 1)) AS i, greatest(a % (n + 1), b % (n + 1)) AS j,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c % 100 >= 100 THEN 'plain' WHEN d % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+part AS (SELECT doc_id, t, n, form, coalesce(array_to_string(u[1:i], ''), '') AS p, coalesce(array_to_string(u[i + 1:j], ''), '') AS m, coalesce(array_to_string(u[j + 1:], ''), '') AS s FROM form)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM part
+""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim.transform(table(spark, sf, "documents"))
+    back = fim.restore(made.withColumn("output_sha256", F.sha2("output", 256)))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("output", 256).alias("restored_sha256"))

@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE = 512                 # documents worked on at once inside an Arrow batch, to bound a task's memory
+SLICE_BYTES = 8 << 20        # bytes of text of these, where texts may be very long
 CACHE = 400_000             # words whose values a task remembers
 
 
@@ -56,6 +58,23 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, size)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``size`` rows and about ``most`` bytes of text; a longer row is a slice of its own."""
+    for batch in batches:
+        weight = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        at = total = 0
+        for k, w in enumerate(weight.tolist()):
+            if k > at and (k - at >= size or total + w > most):
+                yield batch.slice(at, k - at)
+                at, total = k, 0
+            total += w
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def per_text(df: DataFrame, make: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
     """``id_col`` and the columns of ``schema`` for each row. ``make()`` runs once in a task and gives a function from a list of
     UTF-8 texts (None for null) to the list of its Arrow columns."""
