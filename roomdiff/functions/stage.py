@@ -32,10 +32,15 @@ def stage_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the stage folder that nothing has been written to."""
+    return f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` as a Parquet table in the stage folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
