@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomdiff.llm import decontaminate, fim, licenses, lines, minhash, pages, pieces, quality, rules, secret_scan, toxicity
+from roomdiff.functions.stage import new_folder
+from roomdiff.llm import decontaminate, fim, licenses, lines, minhash, pages, pieces, quality, rules, secret_scan, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -183,3 +184,18 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     made = fim.transform(table(spark, sf, "documents"))
     back = fim.restore(made.withColumn("output_sha256", F.sha2("output", 256)))
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("output", 256).alias("restored_sha256"))
+
+
+@query("op11_warc", """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM page),
+top AS (SELECT n, digest, max(page_id) AS first FROM sized WHERE n >= 1000 GROUP BY n, digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM sized LEFT JOIN top USING (n, digest)
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(table(spark, sf, "pages"), folder)
+    found = warc.resolved(warc.read(spark, folder, keep=False))
+    return found.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
+                        F.col("refers").cast("bigint").alias("refers_to"))
