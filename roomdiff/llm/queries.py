@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomdiff.functions.stage import new_folder
-from roomdiff.llm import decontaminate, fim, licenses, lines, minhash, pages, pieces, quality, rules, secret_scan, toxicity, warc
+from roomdiff.llm import decontaminate, fim, licenses, lines, minhash, negatives, pages, pieces, quality, rules, secret_scan, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -199,3 +199,21 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     found = warc.resolved(warc.read(spark, folder, keep=False))
     return found.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
                         F.col("refers").cast("bigint").alias("refers_to"))
+
+
+@query("op12_hard_negatives", """
+WITH sound AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+score AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS s
+          FROM sound a, sound b WHERE a.vec_id % 100 = 0),
+positive AS (SELECT a, b, s FROM score WHERE same AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id,
+       p.s AS positive_score, n.s AS negative_score
+FROM positive p JOIN score n ON p.a = n.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 5
+""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, rows.filter("vec_id % 100 = 0"))
