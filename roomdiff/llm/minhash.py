@@ -9,9 +9,9 @@ below the threshold, under 1e-11. Groups of copies never become pairs: equal set
 only the one among them that shares most buckets with others, the centre of its group, and only nodes still in different components
 after that can meet each other.
 
-Those would still be all pairs of a large group whose members are not quite similar enough. They are split by what is rare among them: a
-shingle that at most ``RARE`` of the nodes have. Two nodes either share a rare shingle, and meet there (at most ``RARE`` at a time), or their
-common part lies in what is left of each set without its rare shingles, which is too little for most. Both ways together miss no link.
+Those would still be all pairs of a large group whose members are not quite similar enough. Such a group is split by how its members differ
+from what they have in common (``still_apart``): members with few differences are linked by arithmetic alone, all others must share some of
+their differences and meet only those that share them. A part that is still large is split again by what it has in common. No link is missed.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ WORDS = 5
 PERCENT = 80
 BANDS, ROWS, BITS = 50, 5, 2
 SIGMAS = 7.0
-RARE = 20
+FEW = 20                                    # members of a group that meet in pairs
+SHARE = 1000                                # pairs of one node that a task confirms
 LONGS = 8                                   # of 64 bits: room for 32 fields of 2 bits each
 _FIELDS = BANDS * ROWS
 _rng = np.random.default_rng(20240501)
@@ -123,38 +124,78 @@ def likely(percent: int) -> str:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, w) of ids whose full shingle sets ``sets(id, hashes)`` are similar enough."""
-    both = (pairs.hint("merge").join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").hint("merge")
+    """The pairs (u, w) of ids whose full shingle sets ``sets(id, hashes)`` are similar enough. The pairs of a node that has very many are dealt
+    out in shares of ``SHARE`` or so, with a copy of its set for each."""
+    many = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARE).select("u", F.expr(f"n div {SHARE} + 1").alias("parts"))
+    many = written(many, "many")
+    dealt = pairs.join(many, "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("w"), F.col("parts")), F.lit(0))).drop("parts")
+    copies = sets.withColumnRenamed("id", "u").join(many, "u", "left").select("u", F.col("hashes").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - F.lit(1).cast("bigint"))).alias("part"))
+    both = (dealt.hint("merge").join(copies, ["u", "part"]).hint("merge")
             .join(sets.select(F.col("id").alias("w"), F.col("hashes").alias("y")), "w").withColumn("same", F.size(F.array_intersect("x", "y"))))
     return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("u", "w").distinct()
 
 
+def centred(state: DataFrame) -> DataFrame:
+    """``state(g, node, r, comp, size, fixed, items)`` with each group's items taken relative to what more than half of its members hold: an item is
+    then a difference, of either sign. Differences that no other member has go from ``items`` to the count ``fixed``; the others are sorted
+    from the rarest to the commonest. What two members differ in stays the same."""
+    keys = ["g", "node", "r"]
+    n = state.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    held = state.select("g", F.explode("items").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("k")).join(n, "g").filter("2 * k > n")
+    common, none = held.groupBy("g").agg(F.collect_list("e").alias("common")), F.array().cast("array<bigint>")
+    rows = state.join(common, "g", "left").withColumn("common", F.coalesce("common", none))
+    rows = written(rows.withColumn("items", F.concat(F.array_except("items", "common"), F.array_except("common", "items"))).drop("common"), "differences")
+    each = rows.select(*keys, F.explode("items").alias("e"))
+    often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    lists = each.join(often, ["g", "e"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("kept"))
+    rows = rows.join(lists, keys, "left").withColumn("kept", F.coalesce(F.expr("transform(kept, x -> x.e)"), none))
+    return rows.select(*keys, "comp", "size", (F.col("fixed") + F.size("items") - F.size("kept")).alias("fixed"), F.col("kept").alias("items"))
+
+
 def still_apart(apart: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, w) of ``apart(band, node, comp)``: nodes that share a band, lie in different components and may be similar enough."""
-    packs = [f"s{k}" for k in range(LONGS)]
-    open_nodes = apart.select("node", "comp").distinct()
-    held = sets.join(open_nodes.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("id").alias("node"), F.explode("hashes").alias("h"))
-    held = written(held.distinct(), "held")
-    rare = held.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") <= RARE)
-    rare_of = written(held.join(rare, "h").select("h", "node", "df"), "rare")
-    side = (nodes.select("node", "n_shingles", "bands", *packs).join(open_nodes, "node")
-            .join(rare_of.groupBy("node").agg(F.count("*").alias("n_rare")), "node", "left")
-            .join(nodes.groupBy("node").agg(F.count("*").alias("n_sets")), "node"))
-    # An id with several texts has the shingles of all of them together: nothing can be said of one.
-    side = written(side.withColumn("n_rare", F.when(F.col("n_sets") == 1, F.coalesce("n_rare", F.lit(0))).otherwise(0)), "sides")
-    near = F.expr(likely(percent))
-    order = [F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("w")]
-
-    shared = rare_of.filter("df > 1").join(open_nodes, "node").select("h", "node", "comp")
-    met = shared.alias("a").join(shared.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.comp") < F.col("b.comp"))).select(*order).distinct()
-    by_rare = met.join(side.alias("a"), F.col("u") == F.col("a.node")).join(side.alias("b"), (F.col("w") == F.col("b.node")) & near).select("u", "w")
-
-    common = F.least(F.col("a.n_shingles") - F.col("a.n_rare"), F.col("b.n_shingles") - F.col("b.n_rare"))
-    room = (100 + percent) * common >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles"))
-    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")         # in one of the bands they share
-    rows = apart.select("band", "node").join(side, "node")
-    by_band = rows.alias("a").join(rows.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.comp") < F.col("b.comp")) & room & near & once).select(*order)
-    return by_rare.union(by_band).distinct()
+    """(u, w) that may be linked, among the nodes of ``apart(band, node, comp)``: bands connect them, but they lie in different components. Of each
+    link between components there is one here, or a chain of others that does the same.
+
+    Take any set K for a group, here what most of its members hold, and the differences D(u) = u xor K. As u xor w = D(u) xor D(w), two members
+    are linked if and only if C(u) + C(w) <= 2 (100 + p) |D(u) and D(w)| with C(u) = (100 + p) |D(u)| - (100 - p) |u|. So members with
+    C(u) + C(w) <= 0 are linked, and the one with the least C to all that are in such a pair: a star stands for them. All other linked pairs share
+    (C(u) + C(w)) / 2 (100 + p) differences or more, and a member meets others only at the first of its differences that it shares, so at none
+    that has too few behind it. Who shares a difference is a group; ``FEW`` members are paired, more are a group of their own with what they
+    have in common, which makes their differences fewer. Differences before the shared one count as not shared, so each pair is looked for once.
+    """
+    whole, off = 100 + percent, 100 - percent
+    hubs = apart.groupBy("band").agg(F.min("node").alias("w"))
+    band_of = connect(apart.join(hubs, "band").select(F.col("node").alias("u"), "w").distinct(), []).select("node", F.col("comp").alias("g"))
+    open_nodes = apart.select("node", "comp").distinct().join(band_of, "node")
+    state = sets.withColumnRenamed("id", "node").join(open_nodes, "node").select("g", "node", F.xxhash64("hashes").alias("r"), "comp", F.size("hashes").alias("size"),
+                                                                               F.lit(0).alias("fixed"), F.col("hashes").alias("items")).dropDuplicates(["g", "node", "r"])
+    found = None
+    while True:
+        state = written(centred(state), "state")
+        c = whole * (F.col("fixed") + F.size("items")) - off * F.col("size")
+        rows = state.withColumn("c", c)
+        least = rows.groupBy("g").agg(F.min(F.struct("c", "node")).alias("m"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("g", F.col("m.c").alias("mc"), F.col("m.node").alias("m"))
+        rows = written(rows.join(least, "g"), "members")
+        star = rows.filter("c + mc <= 0 and node <> m").select(F.greatest("node", "m").alias("u"), F.least("node", "m").alias("w"))
+        need = F.greatest(F.lit(1), F.ceil((F.col("c") + F.col("mc")) / (2 * whole)).cast("int"))
+        probes = rows.withColumn("room", F.size("items") - need + 1).filter("room > 0").select("g", "node", "r", "comp", F.posexplode(F.slice("items", F.lit(1), F.col("room"))).alias("at", "e"))
+        probes = written(probes, "probes")
+        met = probes.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("g", "e", "n")
+        met = written(met, "met")
+        few = probes.join(met.filter(F.col("n") <= FEW), ["g", "e"]).select("g", "e", "node", "comp")
+        close = few.alias("a").join(few.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.comp") < F.col("b.comp"))).select(
+            F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("w"))
+        got = written(star.union(close).distinct(), "pairs")
+        found = got if found is None else found.union(got)
+        many = probes.join(met.filter(F.col("n") > FEW).drop("n"), ["g", "e"]).drop("comp")
+        state = many.join(state, ["g", "node", "r"]).select(F.xxhash64("g", "e").alias("g"), "node", "r", "comp", "size", (F.col("fixed") + F.col("at")).alias("fixed"),
+                                                            F.expr("slice(items, at + 2, size(items))").alias("items"))
+        state = written(state, "parts")
+        if state.isEmpty():
+            break
+    sides = nodes.select("node", "n_shingles", *(f"s{k}" for k in range(LONGS)))
+    near = found.distinct().join(sides.alias("a"), F.col("u") == F.col("a.node")).join(sides.alias("b"), (F.col("w") == F.col("b.node")) & F.expr(likely(percent)))
+    return near.select("u", "w").distinct()
 
 
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

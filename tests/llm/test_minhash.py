@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from roomdiff.llm import minhash as m
 from tests.llm.helpers import EDGES, documents, rows, words
@@ -69,6 +70,52 @@ def test_five_word_shingles(spark):
     check(spark, EDGES + corpus(), 5)
 
 
+def changed(rng, base, low, high):
+    w = list(base)
+    for k in rng.sample(range(len(w)), rng.randint(low, high)):
+        w[k] = f"n{rng.randrange(10 ** 6)}"
+    return " ".join(w)
+
+
+def family(seed, n, low, high, length=80):
+    """Copies of one text, each with a few words changed: most pairs are near the threshold, many below."""
+    rng = random.Random(seed)
+    base = [f"b{seed}_{k}" for k in range(length)]
+    return [(k, changed(rng, base, low, high), "a") for k in range(n)]
+
+
+@pytest.mark.parametrize("low,high", [(3, 6), (2, 5), (4, 7)])
+def test_groups_just_under_the_threshold(spark, low, high):
+    check(spark, family(low, 300, low, high), 2)
+
+
+def test_families_in_one_group(spark):
+    """Two families that are alike but not enough, with links only inside and a few texts between them."""
+    rng = random.Random(9)
+    one = [f"a{k}" for k in range(80)]
+    two = [f"z{k}" if k % 9 == 0 else w for k, w in enumerate(one)]
+    plain = [(k, changed(rng, one if k % 2 else two, 3, 6), "a") for k in range(240)]
+    check(spark, plain, 2)
+    check(spark, plain + [(900 + k, changed(rng, one[:40 + k] + two[40 + k:], 0, 2), "a") for k in range(3)], 2)
+
+
+def test_a_node_of_very_many_pairs_is_shared_out(spark):
+    sets = spark.createDataFrame([(0, list(range(10)))] + [(k, list(range(10 if k % 2 else 7))) for k in range(1, 2600)], "id bigint, hashes array<bigint>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 2600)], "u bigint, w bigint")
+    assert m.confirm(pairs, sets, 80).count() == 1300
+
+
+def test_joined_rows_do_not_grow_with_the_square(spark, monkeypatch):
+    """Pairs to confirm for groups of 150 and 600."""
+    made = []
+    plain_confirm = m.confirm
+    monkeypatch.setattr(m, "confirm", lambda pairs, sets, percent: (made.append(pairs.count()), plain_confirm(pairs, sets, percent))[1])
+    for n in (150, 600):
+        m.components(documents(spark, family(3, n, 3, 6)), n=2).count()
+    first, second = made[1], made[3]
+    assert second < 9 * first
+
+
 def test_links_at_and_just_below_the_threshold(spark):
     base = [f"x{k}" for k in range(38)]         # 37 pairs
     plain = []
