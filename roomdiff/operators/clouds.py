@@ -9,6 +9,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,30 +48,110 @@ def nearest(source: DataFrame, target: DataFrame, keys: list[str], point: str, r
     return source.join(best, [*keys, point], "left")
 
 
-def neighbourhoods(target: DataFrame, keys: list[str], radius: Column) -> DataFrame:
-    """(keys, c0, c1, c2, near): for every cell of side ``radius``, the points of the 27 cells around. The target must be thinned to at most
-    one point per half-radius cell, which bounds a list at 216 points."""
-    thin = downsample(target, [*keys, "radius"], F.col("radius") / 2)
-    hops = F.array(*[F.struct(*[F.lit(v).alias(f"o{n}") for n, v in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=3)])
-    spread = thin.select(*keys, "radius", *XYZ, F.explode(hops).alias("o"))
-    cells = [(F.floor(F.col(c) / F.col("radius")) + F.col(f"o.o{n}")).alias(f"c{n}") for n, c in enumerate(XYZ)]
-    return spread.select(*keys, "radius", *cells, *XYZ).groupBy(*keys, "radius", "c0", "c1", "c2").agg(F.collect_list(F.struct(*XYZ)).alias("near"))
-
-
-def match_sums(moved: DataFrame, around: DataFrame, join_on: list[str], keys: list[str]) -> DataFrame:
-    """Sums a similarity fit needs, per key, over source points with a target within ``radius``. ``moved`` carries px, py, pz (as
-    captured), x, y, z (under the current estimate) and radius; a point meets one row of ``around`` and picks its nearest there."""
-    rows = moved.withColumns({f"c{n}": F.floor(F.col(c) / F.col("radius")) for n, c in enumerate(XYZ)}).join(around, [*join_on, "radius", "c0", "c1", "c2"], "left")
-    d2 = lambda p: (p["x"] - F.col("x")) ** 2 + (p["y"] - F.col("y")) ** 2 + (p["z"] - F.col("z")) ** 2
-    best = F.array_min(F.transform("near", lambda p: F.struct(d2(p).alias("d2"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))))
-    rows = rows.select(*keys, "radius", "px", "py", "pz", best.alias("b"))
-    hit = F.col("b.d2") < F.col("radius") ** 2
-    s, d = (lambda c: F.col(f"p{c}")), (lambda c: F.col(f"b.{c}"))
-    when = lambda e: F.sum(F.when(hit, e))
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count_if(hit).cast("double").alias("n"), when(F.col("b.d2")).alias("err"),
-        *[when(s(c)).alias(f"s{c}") for c in XYZ], *[when(d(c)).alias(f"d{c}") for c in XYZ],
-        *[when(d(a) * s(b)).alias(f"{a}{b}") for a in XYZ for b in XYZ], when(s("x") ** 2 + s("y") ** 2 + s("z") ** 2).alias("ss"))
+def nearest_within(source: np.ndarray, target: np.ndarray, cell: float, radius: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, place in ``target``) of each source point's nearest target within ``radius``; infinite and -1 where there is none. Exact; of
+    targets equally near the first one. A pyramid of cells: a point looks into the 27 cells around it, which hold all that is nearer than a
+    cell's side, and only points that found nothing so near are carried to cells twice as large. ``most`` bounds the pairs compared at once."""
+    far, at = np.full(len(source), np.inf), np.full(len(source), -1)
+    todo, size = np.arange(len(source)), cell
+    if not len(target):
+        return far, at
+    base = target.min(axis=0)
+    while len(todo):
+        cells = np.floor((target - base) / size).astype(np.int64)
+        wide = cells.max(axis=0) + 3
+        key = lambda c: ((c[:, 0] + 1) * wide[1] + c[:, 1] + 1) * wide[2] + c[:, 2] + 1
+        order = np.argsort(key(cells), kind="stable")
+        held = key(cells)[order]
+        own = np.floor((source[todo] - base) / size).astype(np.int64)
+        around = ((own >= -1) & (own <= wide - 2)).all(axis=1)              # others have no target in a neighbouring cell
+        who, own = todo[around], own[around]
+        for di in (-1, 0, 1):
+            for dj in (-1, 0, 1):
+                i, j = own[:, 0] + di, own[:, 1] + dj
+                ok = (i >= 0) & (i <= wide[0] - 3) & (j >= 0) & (j <= wide[1] - 3)
+                row = key(np.stack([i, j, np.zeros_like(i)], axis=1)) - 1
+                first = np.searchsorted(held, row + np.maximum(own[:, 2], 1))
+                n = np.where(ok, np.searchsorted(held, row + own[:, 2] + 2, side="right") - first, 0)
+                for part in np.split(np.arange(len(who)), np.searchsorted(np.cumsum(n), np.arange(most, n.sum() + 1, most))):
+                    _closer(source, target, order, who[part], first[part], n[part], far, at)
+        # What lies within a cell's side is among the 27 cells, so a point that found something so near has its nearest.
+        todo = todo[far[todo] > size * size] if size < radius else todo[:0]
+        size = min(2 * size, max(radius, cell))
+    out = far > radius * radius
+    far[out], at[out] = np.inf, -1
+    return far, at
+
+
+def _closer(source: np.ndarray, target: np.ndarray, order: np.ndarray, who: np.ndarray, first: np.ndarray, n: np.ndarray, far: np.ndarray, at: np.ndarray) -> None:
+    """Takes the nearest of ``n`` targets from ``first`` on in ``order`` for each of ``who``, where nearer than what it has."""
+    some = n > 0
+    who, first, n = who[some], first[some], n[some]
+    if not len(who):
+        return
+    starts = np.cumsum(n) - n
+    t = order[np.arange(n.sum()) - np.repeat(starts - first, n)]
+    d2 = ((target[t] - np.repeat(source[who], n, axis=0)) ** 2).sum(axis=1)
+    best = np.minimum.reduceat(d2, starts)
+    pick = np.minimum.reduceat(np.where(d2 == np.repeat(best, n), t, len(target)), starts)
+    nearer = (best < far[who]) | ((best == far[who]) & (pick < at[who]))
+    far[who[nearer]], at[who[nearer]] = best[nearer], pick[nearer]
+
+
+CUBE = 64                   # cells along the side of what one task holds
+BATCH = 16                  # moving clouds that share a task's targets
+
+
+def target_cubes(target: DataFrame, keys: list[str], batches: DataFrame) -> DataFrame:
+    """``target(keys, x, y, z, cell, radius)`` dealt out to cubes of ``CUBE`` cells, once for each of the batches in ``batches(keys, batches)``: a cube
+    holds what lies within the radius of it. With one point in a cell, a cube's points are bounded."""
+    rows = target.join(batches, keys).withColumn("side", F.col("cell") * CUBE)
+    for n, c in enumerate(XYZ):
+        low, high = (F.floor((F.col(c) + way * F.col("radius")) / F.col("side")) for way in (-1, 1))
+        rows = rows.withColumn(f"c{n}", F.explode(F.sequence(low, high)))
+    return rows.select(*keys, F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "c0", "c1", "c2", *XYZ)
+
+
+def match_sums(moved: DataFrame, cubes: DataFrame, join_on: list[str], keys: list[str]) -> DataFrame:
+    """Sums a similarity fit needs, per key, over source points with a target nearer than ``radius``. ``moved`` carries px, py, pz (as captured),
+    x, y, z (under the current estimate), cell, radius and batch, and ``cubes`` comes from ``target_cubes``. A task holds one cube's points,
+    finds every point's nearest target by a pyramid of cells and sends one row of sums for each key."""
+    at = [F.floor(F.col(c) / (F.col("cell") * CUBE)).alias(f"c{n}") for n, c in enumerate(XYZ)]
+    group = [*join_on, "batch", "c0", "c1", "c2"]
+    own = [k for k in keys if k not in join_on]
+    rows = moved.select(*join_on, "batch", *at, *own, *XYZ, *[f"p{c}" for c in XYZ], "cell", "radius")
+    fields = {f.name: f.dataType.simpleString() for f in moved.schema}
+    names = ["total", "n", "err", *[f"s{c}" for c in XYZ], *[f"d{c}" for c in XYZ], *[a + b for a in XYZ for b in XYZ], "ss"]
+    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", " + ", ".join(f"{n} {'bigint' if n == 'total' else 'double'}" for n in names)
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        take = lambda t, cols: np.stack([t.column(c).to_numpy() for c in cols], axis=1).astype(float)
+        target = take(right, XYZ)
+        target = target[np.lexsort(target.T)]
+        held = left.to_pandas()
+        d2, hit = nearest_within(held[list(XYZ)].to_numpy(float), target, float(held["cell"].iloc[0]) if len(held) else 1.0, float(held["radius"].iloc[0]) if len(held) else 1.0)
+        ok = d2 < held["radius"].to_numpy(float) ** 2
+        s, d = held[[f"p{c}" for c in XYZ]].to_numpy(float), np.zeros((len(held), 3))
+        d[ok] = target[hit[ok]]
+        one = ok.astype(float)[:, None]
+        parts = np.hstack([one, np.where(ok, d2, 0)[:, None], s * one, d, (d[:, :, None] * s[:, None, :]).reshape(-1, 9) * one, (s ** 2).sum(1)[:, None] * one])
+        sums = held[keys].assign(total=1, **dict(zip(names[1:], parts.T))).groupby(keys, sort=False, as_index=False).sum()
+        return pa.Table.from_pandas(sums[[*keys, *names]], schema=wanted, preserve_index=False)
+
+    wanted = pa.schema([*[(k, _arrow(fields[k])) for k in keys], *[(n, pa.int64() if n == "total" else pa.float64()) for n in names]])
+    parts = rows.groupBy(*group).cogroup(cubes.groupBy(*group)).applyInArrow(solve, schema)
+    return parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]
+
+
+def batched(clouds: DataFrame, join_on: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``clouds``, one row for each key, with ``batch``; (join_on, batches)): at most ``BATCH`` moving clouds meet in one task."""
+    w = Window.partitionBy(*join_on).orderBy(*[k for k in keys if k not in join_on])
+    rows = clouds.select(*keys).distinct().withColumn("batch", F.floor((F.row_number().over(w) - 1) / BATCH).cast("int"))
+    return rows, rows.groupBy(*join_on).agg((F.max("batch") + 1).alias("batches"))
 
 
 def pair_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,8 @@
 
 A capture is put into a unit room frame by its largest plane and its walls. What is left open is the symmetry of a box: eight
 starts, scored together. The best is refined with a shrinking capture radius. Loops are over iterations only; each iteration is
-one pass over thinned clouds of all the captures still moving, and writes one matrix per capture.
-
-Matching is coarse to fine in resolution as well: at radius r both clouds are thinned to about r/2, so a point meets a bounded list.
+one pass over the clouds of all the captures still moving, and writes one matrix per capture. At every radius a point meets its nearest
+of all target points (``clouds.nearest_within``); a task holds the targets of one cube and the points of a bounded number of captures.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ SOLID = 0.35
 PLANE_FRAC = 0.004           # plane thickness and thinning, as a fraction of the cloud's diagonal
 CANDIDATE_CELL = 0.008
 CANDIDATE_RADIUS = 0.015
+CANDIDATE_STEPS = 30
 MAX_WALLS, PEELS, FEWEST_POINTS, WALL_HITS, WALL_TILT = 8, 12, 300, 80, 0.3
 DISTINCT_POSE_DEG = 20.0
 REFINE_CELL, REFINE_START, REFINE_FLOOR, REFINE_SHRINK, REFINE_STEPS, REFINE_STILL, REFINE_FEWEST = 0.0015, 0.04, 0.003, 0.7, 40, 1e-5, 500
@@ -133,10 +133,9 @@ def box_symmetries() -> list[list[list[float]]]:
     return out
 
 
-def _level(points: DataFrame, keys: list[str], radius, carry: list[str]) -> DataFrame:
-    """The cloud thinned for one radius, in its own coordinates (px, py, pz)."""
-    thin = cl.downsample(points.withColumn("radius", radius), [*keys, *carry, "radius"], F.col("radius") / 2)
-    return thin.select(*keys, *carry, "radius", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+def _held(cloud: DataFrame, keys: list[str], cell) -> DataFrame:
+    """The cloud with one point in each cell, in its own coordinates (px, py, pz)."""
+    return cl.downsample(cloud, keys, cell).select(*keys, *[F.col(c).alias(f"p{c}") for c in "xyz"])
 
 
 def _moved(source: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,20 +143,21 @@ def _moved(source: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFram
     return source.join(estimates, keys).select("*", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
-def score_candidates(source: DataFrame, reference: DataFrame, steps: int = 30) -> DataFrame:
+def score_candidates(source: DataFrame, reference: DataFrame, steps: int = CANDIDATE_STEPS) -> DataFrame:
     """(set_id, state, cand, m, fitness, rmse): the eight starts after a short fit in the unit frame, capture radius 4t, 2t, t.
-    ``source(set_id, state, x, y, z)`` and ``reference(set_id, x, y, z)`` are in their unit frames."""
+    ``source(set_id, state, x, y, z)`` and ``reference(set_id, x, y, z)`` are in their unit frames, with one point in a cell."""
     keys = [*S, "cand"]
     starts = F.array(*[g.matrix(m) for m in box_symmetries()])
     est = written(source.select(*S).distinct().select(*S, F.posexplode(starts).alias("cand", "m")), "est")
+    batch, batches = (written(x, "batch") for x in cl.batched(est, ["set_id"], keys))
+    sized = lambda df, r: df.withColumn("cell", F.lit(CANDIDATE_CELL)).withColumn("radius", F.lit(float(r)))
+    src = source.select(*S, *[F.col(c).alias(f"p{c}") for c in "xyz"])
     for scale in (4, 2, 1):
-        r = max(CANDIDATE_RADIUS * scale, 2 * CANDIDATE_CELL)
-        at = F.lit(float(r))
-        src = written(_level(source, S, at, []), "level")
-        around = written(cl.neighbourhoods(reference.withColumn("radius", at), ["set_id"], F.col("radius")), "around")
+        r = CANDIDATE_RADIUS * scale
+        cubes = written(cl.target_cubes(sized(reference, r), ["set_id"], batches), "cubes")
         last = None
         for _ in range(steps):
-            sums = cl.match_sums(_moved(src, est, S), around, ["set_id"], keys)
+            sums = cl.match_sums(sized(_moved(src, est.join(batch, keys), S), r), cubes, ["set_id"], keys)
             fit = cl.fit_similarity(sums, [*keys, "n", "total", "err"])
             new = est.join(fit.withColumnRenamed("m", "f"), keys, "left").select(*keys, F.coalesce("f", "m").alias("m"), (F.col("n") / F.col("total")).alias("fitness"), F.sqrt(F.col("err") / F.col("n")).alias("rmse"))
             new = written(new, "est")
@@ -166,9 +166,8 @@ def score_candidates(source: DataFrame, reference: DataFrame, steps: int = 30) -
             est, last = new.select(*keys, "m"), new
             if moving.isEmpty():
                 break
-    # Scores are taken at the final estimate, on the full candidate resolution.
-    src = source.withColumn("radius", F.lit(CANDIDATE_RADIUS)).select(*S, "radius", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    sums = cl.match_sums(_moved(src, est, S), cl.neighbourhoods(reference.withColumn("radius", F.lit(CANDIDATE_RADIUS)), ["set_id"], F.col("radius")), ["set_id"], keys)
+    # Scores are taken at the final estimate; the cubes are those of the last radius.
+    sums = cl.match_sums(sized(_moved(src, est.join(batch, keys), S), CANDIDATE_RADIUS), cubes, ["set_id"], keys)
     return written(sums.join(est, keys).select(*keys, "m", (F.col("n") / F.col("total")).alias("fitness"), F.coalesce(F.sqrt(F.col("err") / F.col("n")), F.lit(0.0)).alias("rmse")), "scores")
 
 
@@ -182,24 +181,28 @@ def pick_candidate(scores: DataFrame) -> DataFrame:
     return rows.groupBy(*S).agg(F.first("best").alias("m"), F.first("top").alias("fitness"), F.coalesce(F.max("other"), F.lit(0.0)).alias("runner_up"))
 
 
-def refine(source: DataFrame, reference: DataFrame, starts: DataFrame, steps: int = REFINE_STEPS) -> DataFrame:
+def refine(source: DataFrame, reference: DataFrame, starts: DataFrame, steps: int = REFINE_STEPS, fewest: int = REFINE_FEWEST) -> DataFrame:
     """(set_id, state, m, inlier_frac, rms_frac_span): trimmed matching with a radius that shrinks from 4 % of the room's diagonal to
-    0.3 %, then holds until nothing moves. Captures that are still drop out. ``starts(set_id, state, m)``, raw -> reference raw."""
-    spans = written(cl.extents(reference, ["set_id"]).withColumnRenamed("diagonal", "span"), "span")
-    src = source.join(spans, "set_id")
-    ref = reference.join(spans, "set_id")
+    0.3 %, then holds until nothing moves. A capture that is still, or matches fewer than ``fewest`` points, drops out.
+    ``starts(set_id, state, m)``, raw -> reference raw. Both clouds have one point in a cell of .15 % of the diagonal, at every radius."""
+    spans = written(cl.extents(reference, ["set_id"]).withColumnRenamed("diagonal", "span").withColumn("cell", F.col("span") * REFINE_CELL), "span")
+    own = source.join(spans, "set_id")
+    src = written(_held(own, [*S, "span", "cell"], F.col("cell")), "source")
+    ref = written(cl.downsample(reference.join(spans, "set_id"), ["set_id", "span", "cell"], F.col("cell")), "target")
+    batch, batches = (written(x, "batch") for x in cl.batched(starts, ["set_id"], S))
     probe = written(source.groupBy(*S).agg(*[fn(c).alias(f"{n}{c}") for n, fn in (("lo", F.min), ("hi", F.max)) for c in "xyz"]), "probe")
     active = written(starts.select(*S, "m"), "est")
-    done = None
-    frac, level = REFINE_START, None
+    done, frac, cubes, level = None, REFINE_START, None, None
+
+    def sums(estimates: DataFrame, frac: float, cubes: DataFrame) -> DataFrame:
+        moved = _moved(src, estimates.join(batch, S), S).withColumn("radius", F.col("span") * frac)
+        return cl.match_sums(moved, cubes, ["set_id"], S)
+
+    cut = lambda frac: written(cl.target_cubes(ref.withColumn("radius", F.col("span") * frac), ["set_id"], batches), "cubes")
     for _ in range(steps):
         if level != frac:
-            at = F.greatest(F.col("span") * frac, F.col("span") * REFINE_CELL * 2)
-            near_src = written(_level(src, S, at, ["span"]), "level")
-            around = written(cl.neighbourhoods(ref.withColumn("radius", at), ["set_id"], F.col("radius")), "around")
-            level = frac
-        fit = cl.fit_similarity(cl.match_sums(_moved(near_src, active, S), around, ["set_id"], S), [*S, "n"])
-        enough = REFINE_FEWEST if frac <= REFINE_FLOOR else 30                        # coarse clouds hold few points
+            cubes, level = cut(frac), frac
+        fit = cl.fit_similarity(sums(active, frac, cubes), [*S, "n"])
         new = active.join(fit.select(*S, "n", F.col("m").alias("f")), S, "left").join(probe, S).join(spans, "set_id")
         corners = []
         for bits in range(8):
@@ -207,7 +210,7 @@ def refine(source: DataFrame, reference: DataFrame, starts: DataFrame, steps: in
             a, b = g.place(F.col("m"), *p), g.place(F.col("f"), *p)
             corners.append(F.sqrt(sum(((u - v) ** 2 for u, v in zip(a, b)), F.lit(0.0))))
         still = (F.greatest(*corners) < REFINE_STILL * F.col("span")) if frac <= REFINE_FLOOR else F.lit(False)
-        few = F.coalesce(F.col("n"), F.lit(0.0)) < enough
+        few = F.coalesce(F.col("n"), F.lit(0.0)) < fewest
         new = written(new.select(*S, F.when(few | F.col("f").isNull(), F.col("m")).otherwise(F.col("f")).alias("m"), (F.coalesce(still, F.lit(False)) | few).alias("end")), "est")
         ended = new.filter("end").select(*S, "m")
         done = ended if done is None else done.unionByName(ended)
@@ -216,10 +219,8 @@ def refine(source: DataFrame, reference: DataFrame, starts: DataFrame, steps: in
             break
         frac = max(REFINE_FLOOR, frac * REFINE_SHRINK)
     final = written(done.unionByName(active), "final")
-    at = F.col("span") * INLIER_FRAC
-    own = cl.downsample(src, [*S, "span"], F.col("span") * REFINE_CELL).withColumn("radius", at).select(*S, "radius", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    sums = cl.match_sums(_moved(own, final, S), cl.neighbourhoods(ref.withColumn("radius", at), ["set_id"], F.col("radius")), ["set_id"], S)
-    q = sums.join(spans, "set_id").select(*S, (F.col("n") / F.col("total")).alias("inlier_frac"), (F.sqrt(F.col("err") / F.col("n")) / F.col("span")).alias("rms_frac_span"))
+    q = sums(final, INLIER_FRAC, cut(INLIER_FRAC)).join(spans, "set_id").select(
+        *S, (F.col("n") / F.col("total")).alias("inlier_frac"), (F.sqrt(F.col("err") / F.col("n")) / F.col("span")).alias("rms_frac_span"))
     return final.join(q, S)
 
 
@@ -231,7 +232,7 @@ class Registered:
     violations: DataFrame
 
 
-def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: DataFrame | None = None, candidate_steps: int = 30) -> Registered:
+def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: DataFrame | None = None, candidate_steps: int = CANDIDATE_STEPS) -> Registered:
     """Every capture onto state 0 of its set. A capture that matches too few points, or whose best start does not clearly beat the next,
     is left out of ``transforms`` and listed in ``violations``."""
     points = written(clouds_of(splats), "cloud")

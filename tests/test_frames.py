@@ -72,3 +72,16 @@ def test_frame_of_a_single_capture(spark, up):
     assert (r2.yaw_deg, r2.centre) == (0.0, [1.0, 2.0])
     room = frame.auto_room(frame.under(df, spark.createDataFrame([("a", m.tolist())], "set_id string, m array<array<double>>"))).first().room
     assert room.lo[1] == 0.0 and room.hi[1] >= 2.6
+
+
+def test_the_pyramid_finds_every_nearest_point():
+    rng = np.random.default_rng(6)
+    for n, m, cell, radius in [(300, 500, 0.01, 0.2), (300, 5, 0.05, 0.04), (200, 2000, 0.003, 3.0), (50, 0, 0.1, 1.0), (0, 9, 0.1, 1.0), (200, 400, 0.05, 0.05)]:
+        a, b = rng.normal(0, 0.4, (n, 3)), rng.normal(0, 0.4, (m, 3))
+        b[: m // 3] = b[m // 3: 2 * (m // 3)]                       # ties: the first place wins
+        d2, at = clouds.nearest_within(a, b, cell, radius, most=777)
+        want = ((a[:, None] - b[None]) ** 2).sum(2) if m else np.full((n, 1), np.inf)
+        best = want.min(axis=1) if n else np.empty(0)
+        ok = best <= radius ** 2
+        assert np.allclose(d2[ok], best[ok]) and (at[~ok] == -1).all() and np.isinf(d2[~ok]).all()
+        assert (at[ok] == want.argmin(axis=1)[ok]).all() if m else True

@@ -30,7 +30,7 @@ def test_a_turned_capture_comes_into_the_first_ones_frame(spark):
         pts = (s * (room + rng.normal(0, 0.004, room.shape)) @ R.T + t)
         rows += [("a", state, *map(float, p)) for p in pts]
     df = spark.createDataFrame(rows, "set_id string, state int, x double, y double, z double").withColumn("opacity", F.lit(0.9))
-    got = reg.run(df, candidate_steps=5)
+    got = reg.run(df, candidate_steps=30)
     report = got.report.first()
     assert got.violations.collect() == []
     assert report.inlier_frac > 0.7 and abs(report.scale - 1 / 0.6) < 0.01 and report.candidate_margin > 0.05
