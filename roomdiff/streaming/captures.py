@@ -1,7 +1,7 @@
 """Captures arriving one state at a time: the tracker carried forward by a stream.
 
-Occupancy, labels and object cores only ever gain rows, so each batch writes its own folder of them; objects and live voxels are small
-and written whole per batch. A replayed batch starts from the batch before it and overwrites what it wrote, so nothing is
+Occupancy, labels and object cores only ever gain rows, so each batch writes its own folder of them (labels: its own numbers of the log);
+objects and live voxels are small and written whole per batch. A replayed batch starts from the batch before it and overwrites what it wrote, so nothing is
 counted twice. Rows of a state already processed go to ``late``; a state whose predecessor is missing waits in ``early``, and so does one
 of whose rows only a part has come, as counts for each voxel.
 """
@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from roomdiff.functions.stage import empty, written
 from roomdiff.operators import tracker as tk
 from roomdiff.operators import voxels as vx
+from roomdiff.operators.labels import LabelLog
 
 OCC = "set_id string, state int, vox bigint"
 COUNTS = "set_id string, state int, vox bigint, n bigint"
 PROGRESS = "set_id string, last int"
 SEEN = "set_id string, state int, rows bigint"
-GROWING = {"occ": OCC, "labels": tk.LABELS, "cores": tk.LIVE, "late": OCC}
+GROWING = {"occ": OCC, "cores": tk.LIVE, "late": OCC}
+APPENDS = 1 << 20           # numbers of the label log that a batch has for itself
 WHOLE = {"objects": tk.OBJECTS, "live": tk.LIVE, "progress": PROGRESS, "early": COUNTS, "seen": SEEN}
 
 
@@ -49,12 +51,17 @@ class CaptureTracker:
 
     def read(self, name: str, batch: int) -> DataFrame:
         """A table as it stood after ``batch`` (-1: before the first)."""
+        if name == "labels":
+            return self._labels(batch + 1).read()
         if batch < 0:
             return empty(self.spark, {**GROWING, **WHOLE}[name])
         if name in WHOLE:
             return self.spark.read.schema(WHOLE[name]).parquet(self._path(name, batch))
         return self.spark.read.schema(GROWING[name] + ", batch int").parquet(f"{self.folder}/{name}").filter(F.col("batch") <= batch).drop("batch")
 
+    def _labels(self, batch: int) -> LabelLog:
+        return LabelLog(self.spark, f"{self.folder}/labels", batch * APPENDS)
+
     def batch(self, rows: DataFrame, batch: int) -> None:
         p, before = self.params, batch - 1
         last = self.read("progress", before)
@@ -75,7 +82,8 @@ class CaptureTracker:
         arrived = written(arrived, "arrived")
         enough = waiting.filter(F.col("n") >= p.min_count).drop("n")
         progress = last
-        objects, live, labels = (self.read(n, before) for n in ("objects", "live", "labels"))
+        objects, live = (self.read(n, before) for n in ("objects", "live"))
+        labels = self._labels(batch)
         occ, cores = self.read("occ", before), empty(self.spark, tk.LIVE)
         done = empty(self.spark, "set_id string, state int")
         first, top = arrived.agg(F.min("state"), F.max("state")).first()
@@ -85,17 +93,15 @@ class CaptureTracker:
             if here.isEmpty():
                 continue
             now = enough.filter(F.col("state") == state).join(here, "set_id", "left_semi")
-            occ = written(occ.unionByName(now), "occ")
+            occ = occ.unionByName(written(now, "occ"))          # what stood before is not written again
             if state > 0:
-                objects, live, labels, fresh_cores = self._advance(state, objects, live, labels, occ, here)
+                objects, live, fresh_cores = self._advance(state, objects, live, labels, occ, here)
                 cores = cores.unionByName(fresh_cores)
             done = done.unionByName(here.withColumn("state", F.lit(state)))
             progress = written(progress.join(here, "set_id", "left_anti").unionByName(here.withColumn("last", F.lit(state))), "progress")
         done = written(done, "done")
         early = waiting.join(done, ["set_id", "state"], "left_anti")
-        old = self.read("labels", before)
         self._write("occ", batch, enough.join(done, ["set_id", "state"], "left_semi"))
-        self._write("labels", batch, labels.join(old, ["set_id", "state", "vox"], "left_anti"))
         self._write("cores", batch, cores)
         self._write("late", batch, late.drop("last", "n"))
         open_states = seen.join(progress, "set_id", "left").filter(F.col("state") > F.coalesce("last", F.lit(-1))).drop("last")
@@ -111,6 +117,6 @@ class CaptureTracker:
         changed = vx.changes(two, sizes, self.grids, p.floor_band_voxels, p.jitter_voxels, self.bits).filter(F.col("step") == state)
         split = written(tk.change_blobs(written(changed, "changed"), self.grids, self.bits), "split")
         blobs = written(tk.kept_blobs(split, tk.candidates(split, two, self.grids, sizes, p, self.bits)), "blobs")
-        objects, live, labels, cores = tk.track_step(state, objects, live, labels, blobs, occ, self.grids, here, p, self.bits)
-        labels = tk.add_state_labels(state, live, labels, occ, self.grids, here, p, self.bits)
-        return objects, live, labels, cores
+        objects, live, cores = tk.track_step(state, objects, live, labels, blobs, occ, self.grids, here, p, self.bits)
+        tk.add_state_labels(state, live, labels, occ, self.grids, here, p, self.bits)
+        return objects, live, cores
