@@ -152,6 +152,19 @@ def centred(state: DataFrame) -> DataFrame:
     return rows.select(*keys, "comp", "size", (F.col("fixed") + F.size("items") - F.size("kept")).alias("fixed"), F.col("kept").alias("items"))
 
 
+def within_reach(rows: DataFrame, unit: int) -> DataFrame:
+    """The members ``rows(g, node, comp, c, len, …)`` that may be linked with one of another component of their group, and ``need``, how many differences
+    such a pair shares at least. A pair needs (c + c') / unit shared differences, and neither can share more than it has: of the members of each
+    length the least c stands for all, and beside it the least of another component for those of its own."""
+    by = rows.groupBy("g", "comp", "len").agg(F.min("c").alias("c"))
+    best = by.groupBy("g", "len").agg(F.min(F.struct("c", "comp")).alias("b"))
+    other = by.join(best, ["g", "len"]).filter("comp <> b.comp").groupBy("g", "len").agg(F.min("c").alias("c2"))
+    best = best.join(other, ["g", "len"], "left").groupBy("g").agg(F.collect_list(F.struct("len", F.col("b.c").alias("c1"), F.col("b.comp").alias("comp1"), "c2")).alias("best"))
+    that = "if(x.comp1 = comp, x.c2, x.c1)"
+    enough = F.expr(f"array_min(transform(filter(best, x -> c + {that} <= {unit} * least(len, x.len)), x -> greatest(1, cast(ceil((c + {that}) / {unit}) as int))))")
+    return rows.join(best, "g").withColumn("need", enough).drop("best").filter("need is not null")
+
+
 def still_apart(apart: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, w) that may be linked, among the nodes of ``apart(band, node, comp)``: bands connect them, but they lie in different components. Of each
     link between components there is one here, or a chain of others that does the same.
@@ -172,24 +185,27 @@ def still_apart(apart: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     found = None
     while True:
         state = written(centred(state), "state")
-        c = whole * (F.col("fixed") + F.size("items")) - off * F.col("size")
-        rows = state.withColumn("c", c)
-        least = rows.groupBy("g").agg(F.min(F.struct("c", "node")).alias("m"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("g", F.col("m.c").alias("mc"), F.col("m.node").alias("m"))
-        rows = written(rows.join(least, "g"), "members")
-        star = rows.filter("c + mc <= 0 and node <> m").select(F.greatest("node", "m").alias("u"), F.least("node", "m").alias("w"))
-        need = F.greatest(F.lit(1), F.ceil((F.col("c") + F.col("mc")) / (2 * whole)).cast("int"))
-        probes = rows.withColumn("room", F.size("items") - need + 1).filter("room > 0").select("g", "node", "r", "comp", F.posexplode(F.slice("items", F.lit(1), F.col("room"))).alias("at", "e"))
+        rows = state.withColumn("len", F.size("items")).withColumn("c", whole * (F.col("fixed") + F.col("len")) - off * F.col("size"))
+        least = rows.groupBy("g").agg(F.min(F.struct("c", "node", "comp")).alias("m"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("g", "m")
+        rows = rows.join(least, "g").withColumn("starred", F.col("c") + F.col("m.c") <= 0)
+        # Components with a member in the star are one from here on.
+        joined = rows.groupBy("g", "comp").agg(F.max("starred").alias("joined")).filter("joined")
+        rows = written(rows.join(joined, ["g", "comp"], "left").withColumn("comp", F.when(F.col("joined"), F.col("m.comp")).otherwise(F.col("comp"))).drop("joined"), "members")
+        star = rows.filter("starred and node <> m.node").select(F.greatest("node", "m.node").alias("u"), F.least("node", "m.node").alias("w"))
+        rows = written(within_reach(rows.drop("m", "starred"), 2 * whole), "reach")
+        probes = rows.select("g", "node", "r", "comp", "c", "len", F.posexplode(F.slice("items", F.lit(1), F.col("len") - F.col("need") + 1)).alias("at", "e"))
         probes = written(probes, "probes")
         met = probes.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first < last").select("g", "e", "n")
         met = written(met, "met")
-        few = probes.join(met.filter(F.col("n") <= FEW), ["g", "e"]).select("g", "e", "node", "comp")
-        close = few.alias("a").join(few.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.comp") < F.col("b.comp"))).select(
+        few = probes.join(met.filter(F.col("n") <= FEW), ["g", "e"]).select("g", "e", "node", "comp", "c", (F.col("len") - F.col("at")).alias("left"))
+        close = few.alias("a").join(few.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.comp") < F.col("b.comp"))
+                                    & (F.col("a.c") + F.col("b.c") <= 2 * whole * F.least("a.left", "b.left"))).select(
             F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("w"))
         got = written(star.union(close).distinct(), "pairs")
         found = got if found is None else found.union(got)
-        many = probes.join(met.filter(F.col("n") > FEW).drop("n"), ["g", "e"]).drop("comp")
-        state = many.join(state, ["g", "node", "r"]).select(F.xxhash64("g", "e").alias("g"), "node", "r", "comp", "size", (F.col("fixed") + F.col("at")).alias("fixed"),
-                                                            F.expr("slice(items, at + 2, size(items))").alias("items"))
+        many = probes.join(met.filter(F.col("n") > FEW).drop("n"), ["g", "e"]).select("g", "e", "node", "r", "at")
+        state = many.join(rows, ["g", "node", "r"]).select(F.xxhash64("g", "e").alias("g"), "node", "r", "comp", "size", (F.col("fixed") + F.col("at")).alias("fixed"),
+                                                           F.expr("slice(items, at + 2, size(items))").alias("items"))
         state = written(state, "parts")
         if state.isEmpty():
             break
