@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomdiff.llm.text import Memo, as_bytes, hash64, per_text, rewrite, slices, window_hashes
+from roomdiff.llm.text import Memo, as_bytes, by_place, hash64, own, per_text, rewrite, slices, unused, window_hashes
 
 N = 10
 MOST_BYTES = 16 << 20           # of the test windows as they are sent to tasks: beyond it they are not broadcast but met by a join
@@ -269,10 +269,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, documents: bool = False, n: in
             find = scanner(windows)
             return lambda texts: _cleared(texts, [find(raw)[1] for raw in texts], documents)
         return rewrite(docs, make, text_col)
-    text = F.col(text_col).cast("string")
-    hits = hits_by_join(docs.select(F.col(id_col).alias("id"), text.alias("text")), benchmark, n, item_col, item_text_col)
-    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.xxhash64(text) == F.col("__hhash")), "left")
-    packed = joined.select(*[docs[c] for c in docs.columns], F.col("__hits"))
+    text = own(docs, text_col).cast("string")
+    hits = hits_by_join(docs.select(own(docs, id_col).alias("id"), text.alias("text")), benchmark, n, item_col, item_text_col)
+    joined = docs.join(hits, own(docs, id_col).eqNullSafe(hits["__hid"]) & (F.xxhash64(text) == hits["__hhash"]), "left")
+    packed = joined.select(*[own(docs, c) for c in docs.columns], hits["__hits"].alias(unused(docs, "hits")))
     names = docs.columns
     at, width = names.index(text_col), len(names)
 
@@ -282,6 +282,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, documents: bool = False, n: in
             masks = [_mask(len(clean_words(t)), h) for t, h in zip(raw, part.column(width).to_pylist())]
             texts, stay = _cleared(raw, masks, documents)
             columns = [part.column(k) if k != at else pa.array(texts, pa.string()).cast(part.column(k).type) for k in range(width)]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay))
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(width)]).filter(pa.array(stay))
 
-    return packed.mapInArrow(run, docs.schema)
+    return by_place(packed, run, docs)

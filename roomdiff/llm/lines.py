@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomdiff.functions.stage import written
+from roomdiff.llm.text import own, unused
 
 SITES = 10
 LG_K = 12           # sketches of 4096 registers: a standard error of 1.6 %
@@ -58,17 +59,20 @@ def without(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
 
 
-def cleaned(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """``docs``, all rows and columns, with boilerplate lines out of ``text_col``, and two more: ``__lines`` (lines that are not blank) and
-    ``__gone`` (how many of them went).
+def cleaned(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counts: bool = True) -> DataFrame:
+    """``docs``, all rows and columns, with boilerplate lines out of ``text_col``, and with ``counts`` two more: ``__lines`` (lines that are not
+    blank) and ``__gone`` (how many of them went), with longer names where ``docs`` has these.
 
     Null texts stay null; empty ones have no lines. Blank lines always stay. Rows without an id lose nothing and do not count as
     sites, nor do null sites. Rows that repeat an id are one document, each cleaned by itself. A text may end up empty; its row stays.
+    Further columns may have any names.
     """
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
-    gone = removals(plain, sites).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__at"))
-    text = F.col(text_col).cast("string")
-    joined = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    plain = docs.select(own(docs, id_col).alias("id"), own(docs, text_col).cast("string").alias("text"), own(docs, site_col).cast("string").alias("site"))
+    gone = removals(plain, sites).select("id", "text_hash", F.col("gone").alias("at"))
+    # All columns travel as one, so that no name of theirs can meet one of ours.
+    rows = docs.select(F.struct(*[own(docs, c).alias(c) for c in docs.columns]).alias("row"), own(docs, id_col).alias("id"), F.xxhash64(own(docs, text_col).cast("string")).alias("text_hash"))
+    text = F.col("row").getField(text_col).cast("string")
     n_lines = F.size(F.filter(F.split(text, "\n"), lambda x: trimmed(x) != ""))
-    out = joined.withColumn("__lines", F.when(text.isNull(), 0).otherwise(n_lines).cast("bigint")).withColumn("__gone", F.coalesce(F.size("__at"), F.lit(0)).cast("bigint"))
-    return out.withColumn(text_col, without(text, F.col("__at"))).select(*docs.columns, "__lines", "__gone")
+    more = [F.when(text.isNull(), 0).otherwise(n_lines).cast("bigint").alias(unused(docs, "__lines")), F.coalesce(F.size("at"), F.lit(0)).cast("bigint").alias(unused(docs, "__gone"))]
+    each = [(without(text, F.col("at")) if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.join(gone, ["id", "text_hash"], "left").select(*each, *(more if counts else []))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomdiff.functions.stage import written
-from roomdiff.llm.text import Memo, as_bytes, hash64, long_array, slices, split_words, window_hashes
+from roomdiff.llm.text import Memo, as_bytes, hash64, long_array, own, slices, split_words, unused, window_hashes
 from roomdiff.operators.components import connect
 
 WORDS = 5
@@ -222,7 +222,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     component_id and are kept. Rows that repeat an id are one document with several texts: a link of one is a link of all of them, and
     each row is returned. An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(own(docs, id_col).alias("id"), own(docs, text_col).cast("string").alias("text"))
     signed = written(signatures(docs, n, "id", "text"), "signatures")
     packs = [f"s{k}" for k in range(LONGS)]
     real = signed.filter("id is not null and d1 is not null")
@@ -265,11 +265,12 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, with all columns: the one with the smallest id, of rows that repeat it the one
     whose text has the smallest hash. Rows without an id all stay."""
-    gone = components(docs, n, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    again = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    if again.isEmpty():
+    key = own(docs, id_col)
+    gone = components(docs, n, percent, id_col, text_col).filter("not kept").select(F.col(f"`{id_col}`").alias("gone")).distinct()
+    left = docs.join(gone, key == gone["gone"], "left_anti")
+    if docs.filter(key.isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
         return left
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    ranked = left.filter(F.col(id_col).isNotNull()).withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank")
-    return ranked.unionByName(left.filter(F.col(id_col).isNull()))
+    rank = unused(docs, "rank")
+    first = Window.partitionBy(key).orderBy(F.xxhash64(own(docs, text_col)))
+    ranked = left.filter(key.isNotNull()).withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
+    return ranked.unionByName(left.filter(key.isNull()))

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SLICE = 512                 # documents worked on at once inside an Arrow batch, to bound a task's memory
 SLICE_BYTES = 8 << 20        # bytes of text of these, where texts may be very long
@@ -52,6 +53,19 @@ def split_words(raw: bytes | None) -> list[bytes]:
     return raw.lower().split() if raw else []
 
 
+def own(df: DataFrame, name: str):
+    """A column of ``df`` by its very name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):
@@ -90,6 +104,12 @@ def per_text(df: DataFrame, make: Callable, schema: str, id_col: str, text_col:
     return out.withColumnRenamed("id", id_col)
 
 
+def by_place(df: DataFrame, run: Callable, like: DataFrame) -> DataFrame:
+    """``df.mapInArrow(run)`` with the columns of ``like``: inside, columns are known by their places, so they may have any names."""
+    schema = StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(like.schema.fields)])
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema).toDF(*like.columns)
+
+
 def rewrite(df: DataFrame, make: Callable, text_col: str) -> DataFrame:
     """``df`` with all its columns; ``make()`` runs once in a task and gives a function from UTF-8 texts to (texts or None, mask or None):
     the new text column and the rows that stay."""
@@ -103,7 +123,7 @@ def rewrite(df: DataFrame, make: Callable, text_col: str) -> DataFrame:
                 part = part.set_column(at, part.schema.field(at), pa.array(texts, pa.string()).cast(part.schema.field(at).type))
             yield part if stay is None else part.filter(pa.array(stay))
 
-    return df.mapInArrow(run, df.schema)
+    return by_place(df, run, df)
 
 
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
