@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on ten or more sites go from all documents but the first that has them. No document goes."""
-    return lines.cleaned(docs).select(*docs.columns)
+    return lines.cleaned(docs, counts=False)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
