@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roomdiff.functions import voxel as v
 from roomdiff.functions.stage import written
-from roomdiff.operators.voxels import BLOCK_BITS, _local
+from roomdiff.operators.voxels import BLOCK_BITS, _corner, _local, grow_all, grown_cube, packed
 
 FORWARD = [o for o in v.AROUND if v.step(o) > 0]      # one of each pair of opposite neighbours
 
@@ -69,30 +69,43 @@ def connect(edges: DataFrame, keys: list[str]) -> DataFrame:
     return ends.unionByName(cur.select(*keys, F.col("w").alias("node"), F.col("w").alias("comp")).distinct())
 
 
-def components(voxels: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """``voxels`` (distinct keys and vox) with ``comp``: the first voxel, in raster order, of its 26-connected component.
+def components(voxels: DataFrame, bits: int = BLOCK_BITS, grown_in: DataFrame | None = None) -> DataFrame:
+    """``voxels`` (distinct keys and vox) with ``comp``: the first voxel, in raster order, of its 26-connected component. With ``grown_in``, the grids
+    of the sets, voxels are first dilated by their 26 neighbours inside their grid, in the same pass.
 
     Components are found inside cubes of 2**bits voxels (a bounded group), then only the voxels on cube faces are joined to find
     which local components touch, and that far smaller graph is contracted.
     """
     keys = [c for c in voxels.columns if c != "vox"]
-    side = 1 << bits
+    side, grows = 1 << bits, grown_in is not None
+    if not grows:
+        rows = voxels.withColumn("cube", v.block(F.col("vox"), bits))
+    else:
+        shape = [F.col("shape")[n].alias(f"n{n}") for n in range(3)]
+        rows = voxels.select(*keys, "vox", F.explode(v.blocks_within(F.col("vox"), bits, 1)).alias("cube")).join(grown_in.select("set_id", *shape), "set_id")
+        rows = rows.select(*keys, "vox", "cube", "n0", "n1", "n2")
 
     def solve(key, table):
-        vox = np.sort(table.column("vox").to_numpy())
-        cube = key[-1].as_py()
-        base = np.array([((cube >> s) & v.MASK) << bits for s in (2 * v.BITS, v.BITS, 0)])
-        at = _local(vox, base)
-        grid = np.zeros((side, side, side), bool)
-        grid[at] = True
+        held = table.column("vox").to_numpy()
+        corner = _corner(key[-1].as_py(), bits)
+        if not grows:
+            grid = np.zeros((side, side, side), bool)
+            grid[_local(held, corner)] = True
+        else:
+            grid = grown_cube(held, corner, bits, 1, grow_all)
+            for n in range(3):
+                at = np.arange(side) + corner[n] - v.MARGIN
+                outside = (at < 0) | (at >= table.column(f"n{n}")[0].as_py())
+                grid[tuple(outside if m == n else slice(None) for m in range(3))] = False
+        cells = np.argwhere(grid)
+        vox = packed(cells, corner)
         first = np.empty(grid.size, np.int64)
-        flat = np.ravel_multi_index(at, grid.shape)
-        first[flat] = vox
+        first[np.flatnonzero(grid)] = vox
         out = [pa.array([k.as_py()] * len(vox), type=k.type) for k in key[:-1]]
-        return pa.Table.from_arrays(out + [pa.array(vox), pa.array(first[_label_cube(grid)])], names=[*keys, "vox", "local"])
+        return pa.Table.from_arrays(out + [pa.array(vox), pa.array(first[_label_cube(grid)] if len(vox) else vox)], names=[*keys, "vox", "local"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voxels.select(*keys).schema) + ", vox bigint, local bigint"
-    local = written(voxels.withColumn("cube", v.block(F.col("vox"), bits)).groupBy(*keys, "cube").applyInArrow(solve, schema), "local")
+    local = written(rows.groupBy(*keys, "cube").applyInArrow(solve, schema), "local")
     rim = None
     for c in v.shifted(F.col("vox")):
         on = c.bitwiseAND(side - 1).isin(0, side - 1)
