@@ -8,6 +8,7 @@ from checks import mapped as m
 from checks.registry import query
 from roomdiff.functions import geometry as g
 from roomdiff.functions import voxel as v
+from roomdiff.operators import frame as fr
 from roomdiff.operators import tracker as tk
 from roomdiff.plans import diff, register
 
@@ -110,6 +111,23 @@ def left_out_sets(spark, sf):
     return diff.left_out(states.groupBy("set_id").agg(F.lit(3).alias("n_states")), known, refused)
 
 
+# ---- the turn of a room --------------------------------------------------------------------------------------------
+
+# Parts as tall points on the walls of rooms 6 by 4, one room for each residue by five, each turned by its own angle. The SQL tries every angle.
+WALLS = """wall AS (SELECT CAST(p_partkey % 5 AS STRING) AS set_id, radians(p_partkey % 5 * 14.25 + 7.5) AS t, p_partkey % 4 AS side, (p_partkey * 7919 % 1009) / 1009 AS along, (p_partkey * 31 % 97) / 97 * 0.02 AS off FROM part),
+flat AS (SELECT set_id, t, CASE side WHEN 0 THEN along * 6 WHEN 1 THEN along * 6 WHEN 2 THEN off ELSE 6 + off END AS a, CASE side WHEN 0 THEN off WHEN 1 THEN 4 + off ELSE along * 4 END AS b FROM wall),
+turned AS (SELECT set_id, cos(t) * a + sin(t) * b AS x, 1.5 AS y, cos(t) * b - sin(t) * a AS z FROM flat)"""
+
+
+@query("room_yaw", "WITH " + WALLS + """, swept AS (SELECT set_id, turn, sin(radians(turn * 0.25)) * x + cos(radians(turn * 0.25)) * z AS v FROM turned, range(360) r(turn)),
+span AS (SELECT set_id, turn, min(v) AS lo, max(v) AS hi, greatest(1, floor((max(v) - min(v)) / 0.03)) AS bins FROM swept GROUP BY ALL),
+bin AS (SELECT set_id, turn, least(bins - 1, floor((v - lo) / (hi - lo) * bins)) AS bin, count(*) AS n FROM swept JOIN span USING (set_id, turn) GROUP BY ALL),
+top AS (SELECT set_id, turn, max(n) AS n FROM bin GROUP BY ALL)
+SELECT set_id, turn * 0.25 AS yaw_deg FROM top QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY n DESC, turn) = 1""")
+def room_yaw(spark, sf):
+    return fr.find_yaw(m.sql(spark, sf, WALLS, "SELECT set_id, x, CAST(y AS DOUBLE) AS y, z FROM turned", "part"))
+
+
 # ---- registration --------------------------------------------------------------------------------------------------
 
 # Parts as points, at least .6 apart in the plane, in rooms of 40 by 25; two captures of each set are turned, scaled and moved. A fifth of the points of a

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,17 +71,64 @@ def level(points: DataFrame, floors: DataFrame, band: float = 0.04) -> DataFrame
     return n.select("set_id", _padded(rows).alias("m"), F.degrees(F.acos(s.clip(ny, F.lit(-1.0), F.lit(1.0)))).alias("tilt_deg"))
 
 
-def find_yaw(points: DataFrame, step: float = 0.25) -> DataFrame:
-    """(set_id, yaw_deg): the turn in 0..90° that stacks the tall points into the thinnest slab across z, the smallest on ties."""
+def _swept(table: pa.Table, turns: np.ndarray) -> np.ndarray:
+    """Points x turns: where each point lies across z after each turn."""
+    x, z = (table.column(c).to_numpy()[:, None] for c in ("x", "z"))
+    return np.sin(turns) * x + np.cos(turns) * z
+
+
+def find_yaw(points: DataFrame, step: float = 0.25, chunk: int = 1 << 16) -> DataFrame:
+    """(set_id, yaw_deg): the turn in 0..90° that stacks the tall points into the thinnest slab across z, the smallest on ties.
+
+    A task turns the points of an Arrow batch, or of ``chunk`` points of a set, through all angles at once: the first pass sends each angle's
+    extent, the second its histogram, and these are merged by set and angle. No point becomes a row for each angle."""
     y = F.col("y")
     n_tall = points.groupBy("set_id").agg(F.count_if((y > TALL_M[0]) & (y < TALL_M[1])).alias("n_tall"))
     tall = points.join(n_tall, "set_id").filter(F.when(F.col("n_tall") >= ENOUGH, (y > TALL_M[0]) & (y < TALL_M[1])).otherwise(y > SHORT_M))
-    turns = F.array(*[F.lit(n) for n in range(round(90 / step))])
-    long = tall.select("set_id", "x", "z", F.explode(turns).alias("turn")).withColumn("t", F.radians(F.col("turn") * step))
-    long = long.select("set_id", "turn", (F.sin("t") * F.col("x") + F.cos("t") * F.col("z")).alias("value"))
-    bins = lambda lo, hi: F.greatest(F.lit(1), F.floor((hi - lo) / WALL_BIN_M).cast("int"))
-    counts = histogram(long, ["set_id", "turn"], bins).groupBy("set_id", "turn").agg(F.max("n").alias("n"))
-    return stats.top_bin(counts, K, "n", [F.asc("turn")]).select("set_id", (F.col("turn") * step).alias("yaw_deg"))
+    tall = written(tall.select("set_id", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z")), "tall")
+    turns = np.radians(np.arange(round(90 / step)) * step)
+
+    def extents(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for key in pc.unique(table.column("set_id")):
+                part = table.filter(pc.equal(table.column("set_id"), key))
+                low = high = None
+                for at in range(0, part.num_rows, 4096):
+                    swept = _swept(part.slice(at, 4096), turns)
+                    low = swept.min(axis=0) if low is None else np.minimum(low, swept.min(axis=0))
+                    high = swept.max(axis=0) if high is None else np.maximum(high, swept.max(axis=0))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(turns), pa.string()), pa.array(np.arange(len(turns), dtype=np.int32)), pa.array(low), pa.array(high)],
+                                                 names=["set_id", "turn", "lo", "hi"])
+
+    span = tall.mapInArrow(extents, "set_id string, turn int, lo double, hi double").groupBy("set_id", "turn").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    span = span.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("turn", "lo", "hi"))).alias("spans"))
+    parts = tall.groupBy("set_id").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("parts"))
+    span = written(span.join(parts, "set_id"), "span")
+    dealt = tall.join(span.select("set_id", "parts"), "set_id").withColumn("part", F.pmod(F.xxhash64("x", "z"), F.col("parts"))).drop("parts")
+
+    def histograms(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows:
+            spans = right.column("spans")[0].as_py()
+            low, high = (np.array([e[c] for e in spans]) for c in ("lo", "hi"))
+            bins = np.maximum(1, np.floor((high - low) / WALL_BIN_M)).astype(np.int64)
+            first = np.cumsum(bins) - bins
+            counts = np.zeros(int(bins.sum()), np.int64)
+            wide = np.where(high > low, high - low, 1.0)
+            for at in range(0, left.num_rows, 4096):
+                place = np.floor((_swept(left.slice(at, 4096), turns) - low) / wide * bins).astype(np.int64)
+                counts += np.bincount((np.clip(place, 0, bins - 1) + first).ravel(), minlength=len(counts))
+            some = np.flatnonzero(counts)
+            turn = np.searchsorted(first, some, side="right") - 1
+            out = [[right.column("set_id")[0].as_py()] * len(some), turn, some - first[turn], counts[some]]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out or [[]] * 4, kinds)], names=["set_id", "turn", "bin", "n"])
+
+    each = span.select("set_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "spans")
+    counts = dealt.groupBy("set_id", "part").cogroup(each.groupBy("set_id", "part")).applyInArrow(histograms, "set_id string, turn int, bin bigint, n bigint")
+    most = counts.groupBy("set_id", "turn", "bin").agg(F.sum("n").alias("n")).groupBy("set_id", "turn").agg(F.max("n").alias("n"))
+    return stats.top_bin(most, K, "n", [F.asc("turn")]).select("set_id", (F.col("turn") * step).alias("yaw_deg"))
 
 
 def under(points: DataFrame, matrices: DataFrame) -> DataFrame:
