@@ -115,6 +115,15 @@ def draft_replay(spark, sf):
     return dr.replay(opened)
 
 
+@query("next_picks", """WITH e AS (SELECT CAST(user_id % 25 AS STRING) AS set_id, CAST(floor(user_id / 25) AS BIGINT) AS draft, event_id AS seq, CASE WHEN event_type = 'view' THEN event_id END AS pick FROM events)
+SELECT set_id, draft, seq, min(pick) OVER (PARTITION BY set_id, draft ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_pick FROM e""")
+def next_picks(spark, sf):
+    """For each event of a draft, when the hand takes up its next one; chunks are small here so that the answer often lies in a later one."""
+    rows = m.table(spark, sf, "events").select((F.col("user_id") % 25).cast("string").alias("set_id"), F.floor(F.col("user_id") / 25).alias("draft"), F.col("event_id").alias("seq"),
+                                               F.when(F.col("event_type") == "view", "pick").otherwise("place").alias("verb"))
+    return dr.with_next_pick(rows, 1 << 8).select("set_id", "draft", "seq", "next_pick")
+
+
 @query("store_scan", P + """, b AS (SELECT set_id, draft, any_value(base) AS base, count(*) AS n FROM put GROUP BY set_id, draft) SELECT set_id, draft AS id, 'Draft ' || draft AS name, CASE WHEN draft % 2 = 0 THEN base END AS base, n - n // 3 AS n,
   1 AS tries, max(draft) OVER (PARTITION BY set_id) AS seq FROM b""")
 def store_scan(spark, sf):

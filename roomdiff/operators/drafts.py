@@ -140,6 +140,17 @@ def measure(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("attempts", F.when(n > 0, more).otherwise(F.col("attempts").cast("array<struct<n:int,text:string>>")))
 
 
+def with_next_pick(events: DataFrame, chunk: int = 1 << 14) -> DataFrame:
+    """``events`` with the seq of the next pick of their draft. Looked for from the end inside chunks of seq, then among the first picks of later
+    chunks, so that a draft is spread over tasks and a row costs one step."""
+    rows = events.withColumn("chunk", F.floor(F.col("seq") / chunk))
+    pick, after = F.min(F.when(F.col("verb") == "pick", F.col("seq"))), (Window.unboundedPreceding, -1)
+    here = rows.withColumn("here", pick.over(Window.partitionBy("set_id", "draft", "chunk").orderBy(F.desc("seq")).rowsBetween(*after)))
+    firsts = rows.groupBy("set_id", "draft", "chunk").agg(pick.alias("pick"))
+    later = firsts.withColumn("later", F.min("pick").over(Window.partitionBy("set_id", "draft").orderBy(F.desc("chunk")).rowsBetween(*after))).drop("pick")
+    return here.join(later, ["set_id", "draft", "chunk"]).withColumn("next_pick", F.coalesce("here", "later")).drop("chunk", "here", "later")
+
+
 def replay(events: DataFrame) -> DataFrame:
     """``events(set_id, draft, seq, verb, key, id, x, z)`` with verb place, pick or drop -> the placements left down.
 
@@ -147,8 +158,7 @@ def replay(events: DataFrame) -> DataFrame:
     key decides. A key still in hand that was never put down is let go when the draft's next one is picked. A copy first placed when ``MAX_COPIES`` others of its object are already down is refused, with everything
     that later happens to it.
     """
-    next_pick = F.min(F.when(F.col("verb") == "pick", F.col("seq"))).over(Window.partitionBy("set_id", "draft").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
-    life = events.withColumn("next_pick", next_pick).groupBy("set_id", "draft", "id", "key").agg(
+    life = with_next_pick(events).groupBy("set_id", "draft", "id", "key").agg(
         F.max_by(F.struct("verb", "x", "z", "seq"), "seq").alias("last"), F.min("seq").alias("first"), F.min_by("next_pick", "seq").alias("next_pick"),
         F.min(F.when(F.col("verb") == "place", F.col("seq"))).alias("placed"), F.min(F.when(F.col("verb") == "drop", F.col("seq"))).alias("dropped"))
     let_go = F.when((F.col("next_pick") < F.col("placed")) | F.col("placed").isNull(), F.col("next_pick"))
