@@ -155,17 +155,21 @@ def score_candidates(source: DataFrame, reference: DataFrame, steps: int = CANDI
     for scale in (4, 2, 1):
         r = CANDIDATE_RADIUS * scale
         cubes = written(cl.target_cubes(sized(reference, r), ["set_id"], batches), "cubes")
-        last = None
+        # Starts whose score no longer moves drop out, so that a step has only those that still do.
+        active = est.select(*keys, "m", *(F.lit(None).cast("double").alias(c) for c in ("fitness", "rmse")))
+        done = None
         for _ in range(steps):
-            sums = cl.match_sums(sized(_moved(src, est.join(batch, keys), S), r), cubes, ["set_id"], keys)
-            fit = cl.fit_similarity(sums, [*keys, "n", "total", "err"])
-            new = est.join(fit.withColumnRenamed("m", "f"), keys, "left").select(*keys, F.coalesce("f", "m").alias("m"), (F.col("n") / F.col("total")).alias("fitness"), F.sqrt(F.col("err") / F.col("n")).alias("rmse"))
+            fit = cl.fit_similarity(cl.match_sums(sized(_moved(src, active.select(*keys, "m").join(batch, keys), S), r), cubes, ["set_id"], keys), [*keys, "n", "total", "err"])
+            fit = fit.select(*keys, F.col("m").alias("f"), (F.col("n") / F.col("total")).alias("f1"), F.sqrt(F.col("err") / F.col("n")).alias("r1"))
+            still = (F.abs(F.col("f1") - F.col("fitness")) <= 1e-6) & (F.abs(F.col("r1") - F.col("rmse")) <= 1e-6)
+            new = active.join(fit, keys, "left").select(*keys, F.coalesce("f", "m").alias("m"), F.col("f1").alias("fitness"), F.col("r1").alias("rmse"),
+                                                        (F.coalesce(still, F.lit(False)) | F.col("f").isNull()).alias("still"))
             new = written(new, "est")
-            moving = new if last is None else new.join(last.select(*keys, F.col("fitness").alias("f0"), F.col("rmse").alias("r0")), keys).filter(
-                (F.abs(F.col("fitness") - F.col("f0")) > 1e-6) | (F.abs(F.col("rmse") - F.col("r0")) > 1e-6))
-            est, last = new.select(*keys, "m"), new
-            if moving.isEmpty():
+            ended, active = new.filter("still").select(*keys, "m"), new.filter("not still").drop("still")
+            done = ended if done is None else done.unionByName(ended)
+            if active.isEmpty():
                 break
+        est = written(done.unionByName(active.select(*keys, "m")), "est")
     # Scores are taken at the final estimate; the cubes are those of the last radius.
     sums = cl.match_sums(sized(_moved(src, est.join(batch, keys), S), CANDIDATE_RADIUS), cubes, ["set_id"], keys)
     return written(sums.join(est, keys).select(*keys, "m", (F.col("n") / F.col("total")).alias("fitness"), F.coalesce(F.sqrt(F.col("err") / F.col("n")), F.lit(0.0)).alias("rmse")), "scores")
