@@ -8,12 +8,15 @@ Pages of a host whose nodes and texts are all the same are one page of the tree,
 
 A tree only sees repetition, so menus or adverts that change from page to page would pass. Elements that say what they are (nav, footer,
 form, class names such as "advert" or "comments", hidden ones) are therefore noise on every host, and if a page has an article or a main
-element only what is in it is content.
+element only what is in it is content. A class name says what an element is by its last word ("left-sidebar", "related-posts", but not
+"related-work" or "page-with-sidebar"); one that holds such a word elsewhere counts only for an element that is mostly links and has less than half
+of the page's text. If all of an article, or of a page without one, would be noise, it is judged again without class names and forms.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -47,6 +50,11 @@ NOISE_WORDS = frozenset(("nav navbar navigation menu menubar topbar sidebar side
                          "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
                          "signup login comment comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations breadcrumb "
                          "breadcrumbs pagination pager toolbar widget widgets skip paywall disclaimer copyright toc adsbygoogle adbox adslot adunit outbrain taboola").split())
+# Words that may follow the one that says what an element is, and words of names that tell of what an element holds.
+PARTS_OF = frozenset(("a area bar block body bottom box btn button buttons card cards center col column container content entry feed fixed form group head heading holder icon icons "
+                      "img inline inner item items label left link links list main media meta message new outer overlay panel post posts article articles right row section slot "
+                      "stories story sticky strip text this title to top unit us wide wrap wrapper zone").split())
+HOLDS = frozenset("with has no without layout grid columns template".split())
 READERS = frozenset("comment comments commentlist disqus respond replies discussion related recommended recommendations".split())     # may hold articles that are not the page's
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = r"<(/?)([A-Za-z][^\s/>]*+)"
@@ -64,22 +72,39 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def says_noise(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
-    """(the element names itself as something other than the article, also if it holds an article or main element)."""
-    if tag in NOISE_TAGS:
-        return True, tag != "form"
+def named_for(name: str) -> tuple[str | None, bool]:
+    """(the noise word that a class name or id ends in, it has a noise word elsewhere)."""
+    words = [w.lower() for w in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
+    if not NOISE_WORDS.intersection(words):
+        return None, False
+    if words[0] in HOLDS or "with" in words:
+        return None, True
+    last = len(words) - 1
+    while last and words[last] in PARTS_OF and words[last] not in NOISE_WORDS:
+        last -= 1
+    return (words[last], False) if words[last] in NOISE_WORDS else (None, True)
+
+
+def says_noise(tag: str, attrs: dict[str, str], lenient: bool = False) -> tuple[bool, bool, bool]:
+    """(the element names itself as something other than the article, also if it holds an article or main element, its class names only hint at it).
+    ``lenient`` looks at neither class names nor forms."""
+    if tag in NOISE_TAGS and not (lenient and tag in ("form", "fieldset")):
+        return True, tag != "form", False
     if not attrs:
-        return False, False
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in NOISE_ROLES or HIDDEN.search(attrs.get("style", "")):
-        return True, True
-    if tag in ("html", "body", "article", "main"):
-        return False, False
-    words: set = set()
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        if not re.match(r"(no|has|with|without)[-_]", name, re.I):
-            words.update(w.lower() for w in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name)))
-    own_header = "header" in words and tag != "header" and not words & {"article", "entry", "post", "content", "story"}
-    return bool(words & NOISE_WORDS) or own_header, bool(words & READERS)
+        return False, False, False
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attrs.get("style", "")):
+        return True, True, False
+    role = attrs.get("role", "").lower()
+    if role in NOISE_ROLES and not (lenient and role == "form"):
+        return True, True, False
+    if lenient or tag in ("html", "body", "article", "main"):
+        return False, False, False
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    found = [named_for(name) for name in names]
+    ends = {word for word, _ in found if word}
+    words = {w.lower() for name in names for w in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))}
+    own_header = "header" in words and tag != "header" and not words & ({"article", "entry", "post", "content", "story"} | HOLDS)
+    return bool(ends) or own_header, bool(ends & READERS), any(hint for _, hint in found)
 
 
 @dataclass
@@ -96,15 +121,18 @@ class Node:
     heading: bool = False       # a heading or inside one
     children: list = field(default_factory=list)
     around: list | None = None  # text before an inline element that is noise
+    hint: tuple | None = None   # blocks and characters of links before an element whose class names hint at noise
 
 
-def read(page: str, low: frozenset = frozenset()):
+def read(page: str, low: frozenset = frozenset(), lenient: bool = False):
     """(blocks, nodes) of a page.
 
     blocks: (text, path, noise, inside article or main, below a path in ``low``, inside a heading), in page order; white space is single and outer is cut.
     nodes: (path, parent's path, depth, children's sequence, safe) of every element.
+    ``lenient``: class names and forms are no noise.
     """
-    stack, blocks, nodes, parts = [Node("", 0)], [], [], []
+    stack, blocks, nodes, parts, hints = [Node("", 0)], [], [], [], []
+    anchors = linked = 0        # open links, and characters in links so far
 
     def flush():
         text = " ".join("".join(parts).split())
@@ -114,10 +142,15 @@ def read(page: str, low: frozenset = frozenset()):
             blocks.append((text, top.path, top.noise, top.main, top.low, top.heading))
 
     def close(n):
+        nonlocal anchors
         while len(stack) > n:
             node = stack[-1]
             if node.tag in BLOCK or node.around is not None:
                 flush()
+            if node.hint is not None:
+                first, before = node.hint
+                hints.append((first, len(blocks), linked - before, node.main))
+            anchors -= node.tag == "a"
             stack.pop()
             parts.extend(node.around or ())
             nodes.append((node.path, stack[-1].path, len(stack), _sequence(node.children), node.safe))
@@ -143,6 +176,8 @@ def read(page: str, low: frozenset = frozenset()):
     while at < len(page):
         m = TOKEN.search(page, at)
         parts.append(html.unescape(page[at:m.start() if m else len(page)]))
+        if anchors:
+            linked += len(" ".join(parts[-1].split()))
         if m is None:
             break
         at = m.end()
@@ -176,7 +211,7 @@ def read(page: str, low: frozenset = frozenset()):
             continue
         attrs = attributes(rest) if rest.strip() else {}
         up = stack[-1]
-        noise, firm = says_noise(tag, attrs)
+        noise, firm, hint = says_noise(tag, attrs, lenient)
         main = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         if tag == "header" and not up.main:
             noise = firm = True
@@ -190,9 +225,18 @@ def read(page: str, low: frozenset = frozenset()):
         if noise and tag not in BLOCK:
             node.around = parts[:]
             parts.clear()
+        if hint and not node.noise and tag in BLOCK:
+            node.hint = len(blocks), linked
+        anchors += tag == "a"
         stack.append(node)
     flush()
     close(1)
+    if hints:
+        upto = [0, *itertools.accumulate(0 if b[2] else len(b[0]) for b in blocks)]
+        for first, end, links, inside in hints:
+            own = upto[end] - upto[first]
+            if 2 * own < upto[-1] and 2 * links > own:
+                blocks[first:end] = [(b[0], b[1], b[2] or inside or not b[3], *b[3:]) for b in blocks[first:end]]
     return blocks, nodes
 
 
@@ -334,10 +378,18 @@ def low_branches(tree: DataFrame, least_pages: int = LEAST_PAGES, low: float = L
 
 
 def main_text(page: str, low: frozenset = frozenset()) -> str:
-    """The article's blocks. If the tree would leave nothing, or nothing but headings, what the elements say of themselves decides alone."""
-    blocks, _ = read(page, low)
-    plain = [b for b in blocks if not b[2]]
-    plain = [b for b in plain if b[3]] or plain
+    """The article's blocks. If the tree would leave nothing, or nothing but headings, what the elements say of themselves decides alone; if that
+    leaves nothing of an article or main element, or of a page, class names and forms are passed over."""
+    def clear(lenient):
+        blocks, _ = read(page, low, lenient)
+        plain = [b for b in blocks if not b[2]]
+        return plain, [b for b in plain if b[3]], any(b[3] for b in blocks)
+
+    plain, inside, has_main = clear(False)
+    if not inside and (has_main or not plain):
+        all_plain, inside, _ = clear(True)
+        plain = plain or all_plain
+    plain = inside or plain
     left = [b for b in plain if not b[4]]
     return "\n\n".join(b[0] for b in (left if any(not b[5] for b in left) else plain))
 

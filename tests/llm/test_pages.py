@@ -15,6 +15,15 @@ GOLDEN = [
     ("<script>var a='<p>no</p>'</script><style>p{}</style><p>x<!-- <p>no</p> --></p><textarea><p>no</textarea>", "x"), ("<p>a < b, c <3</p>", "a < b, c <3"),
     ("<div role='navigation'>n</div><div aria-hidden='true'>h</div><div style='display: none'>h</div><div hidden>h</div><p>x</p>", "x"),
     ("<p title='a>b'>q</p><p title=it's>r</p>", "q\n\nr"), ("<p>x</p><a href='unfinished", "x"), ("<header>site</header><article><header><h1>T</h1></header><p>x</p></article>", "T\n\nx"),
+    ("<div class='page-with-sidebar'><p>body</p><div class='left-sidebar'>s</div></div>", "body"), ("<form><p>in a form <input></p></form>", "in a form"),
+    ("<article><h1>T</h1><p>x</p><div id='related-work'><p>Others did this.</p></div></article>", "T\n\nx\n\nOthers did this."),
+    ("<main><div class='notice-board'><p>Notes hang here.</p></div><p>y</p></main>", "Notes hang here.\n\ny"), ("<article><form><p>all of it</p></form></article><p>other</p>", "all of it"),
+    ("<div class='layout-sidebar-right'><p>x</p></div>", "x"), ("<div class='discussion'><p>The whole page</p></div>", "The whole page"), ("<div class='widget-page'><p>x</p></div>", "x"),
+    ("<article><p>x</p><div class='related-posts'><a href=1>one</a></div><div class='adSlot'>buy</div></article>", "x"), ("<div id=acme-sidebar>s</div><p>x</p>", "x"),
+    ("<p>Quite a long text of the page.</p><div class='promo-of-ours'><a href=1>one two</a></div>", "Quite a long text of the page."),
+    ("<p>Quite a long text of the page.</p><div class='promo-of-ours'>not links</div>", "Quite a long text of the page.\n\nnot links"),
+    ("<p>x</p><div class='promo-of-ours'><a href=1>more than half of the text</a></div>", "x\n\nmore than half of the text"),
+    ("<div class='menu-of-all'><a>menu</a><article><p>kept, though inside</p></article></div>", "kept, though inside"), ("<nav>only</nav>", ""), ("<form><nav>n</nav></form>", ""),
     ("<div class='cookie-notice'>c</div><div class='newsletter'>n</div><p>x</p>", "x"), ("<P>UPPER</P><SCRIPT>no</SCRIPT>", "UPPER"),
 ]
 
