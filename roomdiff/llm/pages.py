@@ -15,6 +15,7 @@ of the page's text. If all of an article, or of a page without one, would be noi
 
 from __future__ import annotations
 
+import collections
 import html
 import itertools
 import re
@@ -132,7 +133,8 @@ def read(page: str, low: frozenset = frozenset(), lenient: bool = False):
     ``lenient``: class names and forms are no noise.
     """
     stack, blocks, nodes, parts, hints = [Node("", 0)], [], [], [], []
-    anchors = linked = 0        # open links, and characters in links so far
+    linked = 0                  # characters in links so far
+    opened = collections.Counter()
 
     def flush():
         text = " ".join("".join(parts).split())
@@ -142,7 +144,6 @@ def read(page: str, low: frozenset = frozenset(), lenient: bool = False):
             blocks.append((text, top.path, top.noise, top.main, top.low, top.heading))
 
     def close(n):
-        nonlocal anchors
         while len(stack) > n:
             node = stack[-1]
             if node.tag in BLOCK or node.around is not None:
@@ -150,12 +151,14 @@ def read(page: str, low: frozenset = frozenset(), lenient: bool = False):
             if node.hint is not None:
                 first, before = node.hint
                 hints.append((first, len(blocks), linked - before, node.main))
-            anchors -= node.tag == "a"
+            opened[node.tag] -= 1
             stack.pop()
             parts.extend(node.around or ())
             nodes.append((node.path, stack[-1].path, len(stack), _sequence(node.children), node.safe))
 
     def nearest(tags, stops=frozenset()):
+        if not any(opened[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 return i
@@ -165,6 +168,8 @@ def read(page: str, low: frozenset = frozenset(), lenient: bool = False):
 
     def outermost(tags, stops):
         first = 0
+        if not any(opened[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in stops:
                 break
@@ -176,7 +181,7 @@ def read(page: str, low: frozenset = frozenset(), lenient: bool = False):
     while at < len(page):
         m = TOKEN.search(page, at)
         parts.append(html.unescape(page[at:m.start() if m else len(page)]))
-        if anchors:
+        if opened["a"]:
             linked += len(" ".join(parts[-1].split()))
         if m is None:
             break
@@ -227,7 +232,7 @@ def read(page: str, low: frozenset = frozenset(), lenient: bool = False):
             parts.clear()
         if hint and not node.noise and tag in BLOCK:
             node.hint = len(blocks), linked
-        anchors += tag == "a"
+        opened[tag] += 1
         stack.append(node)
     flush()
     close(1)
