@@ -143,6 +143,31 @@ def rejection_counts(spark, sf):
     return tk.rejection_counts(_cands(spark, sf))
 
 
+# Sets with values of their own in one run: opacity, jitter, coverage, smallest size and wall margin go with the set's number.
+N = "CAST({}set_id AS INTEGER)"
+TUNED = (BLOBS.replace("opacity > 0.2", f"opacity > 0.1 + 0.15 * ({N.format('')} % 3)")
+         .replace("AND o.k = s.k + dk)", f"AND o.k = s.k + dk AND di * di + dj * dj + dk * dk <= power(1 + {N.format('s.')} % 2, 2))")
+         .replace("AND o.k = core.k + dk GROUP", f"AND o.k = core.k + dk AND di * di + dj * dj + dk * dk <= power(3 - {N.format('core.')} % 2, 2) GROUP")
+         .replace("stat.size >= 6", f"stat.size >= 4 + {N.format('stat.')}").replace("size < 6", f"size < 4 + {N.format('stat.')}")
+         .replace("max_height > 101 THEN 'ceiling' END", f"""max_height > 101 THEN 'ceiling' WHEN {N.format('stat.')} > 0 AND (cx < 1.37 * {N.format('stat.')} OR cx > 25 - 1.37 * {N.format('stat.')}
+    OR cy < 1.37 * {N.format('stat.')} OR cy > high - 1.37 * {N.format('stat.')}) THEN 'wall' END""")
+         .replace("LEFT JOIN seen ON seen.c = stat.c", "LEFT JOIN seen ON seen.c = stat.c JOIN (SELECT set_id AS room, max(y) AS high FROM splats GROUP BY set_id) ON room = stat.set_id"))
+
+
+@query("tuned_candidates", TUNED + " SELECT set_id, step, kind, coalesce(reason, 'kept') AS reason, count(*) AS n, sum(size) AS voxels, sum(covered) AS covered FROM cand GROUP BY ALL")
+def tuned_candidates(spark, sf):
+    n = F.col("set_id").cast("int").cast("double")
+    values = {"opacity_solid": 0.1 + 0.15 * (n % 3), "jitter_voxels": 1 + n % 2, "coverage_voxels": 3 - n % 2, "min_voxels": 4 + n, "wall_margin_m": 1.37 * n}
+    own = m.splat_sizes(spark, sf).select("set_id", F.create_map(*[x for k, c in values.items() for x in (F.lit(k), c)]).alias("params"))
+    table = m._once(spark, sf, "tuning", lambda: tk.tuning_table(m.splat_sizes(spark, sf), own, P))
+    p, grids, sizes = tk.per_set(table), m.splat_grids(spark, sf).join(table, "set_id"), m.splat_sizes(spark, sf)
+    occ = m._once(spark, sf, "tuned_occ", lambda: vx.occupancy(m.splats(spark, sf), grids, p.opacity_solid, p.min_count))
+    changed = m._once(spark, sf, "tuned_changed", lambda: vx.changes(occ, sizes, grids, p.floor_band_voxels, p.jitter_voxels, BITS))
+    split = m._once(spark, sf, "tuned_split", lambda: tk.change_blobs(changed, grids))
+    return tk.candidates(split, occ, grids, sizes, p).groupBy("set_id", "step", "kind", F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(
+        F.count("*").alias("n"), F.sum("size").alias("voxels"), F.sum("covered").alias("covered"))
+
+
 @query("change_objects")
 def change_objects(spark, sf):
     blobs = m._once(spark, sf, "blobs", lambda: tk.kept_blobs(_split(spark, sf), _cands(spark, sf)))

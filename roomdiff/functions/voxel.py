@@ -57,7 +57,8 @@ def block(vox: Column, bits: int, shift: tuple[int, int, int] = (0, 0, 0)) -> Co
     return axes[0] + axes[1] + axes[2]
 
 
-def blocks_within(vox: Column, bits: int, reach: int) -> Column:
-    """Keys of every cube that has a voxel within ``reach`` of this one along each axis (reach below the cube's side)."""
-    ends = (-reach, reach) if 2 * reach < 1 << bits else (-reach, 0, reach)
+def blocks_within(vox: Column, bits: int, reach: int | Column, most: int | None = None) -> Column:
+    """Keys of every cube that has a voxel within ``reach`` of this one along each axis (reach below the cube's side). Of a column ``most`` is
+    the largest."""
+    ends = (-reach, reach) if 2 * (reach if most is None else most) < 1 << bits else (-reach, 0, reach)
     return F.array_distinct(F.array(*[block(vox, bits, shift) for shift in itertools.product(ends, repeat=3)]))

@@ -44,8 +44,12 @@ def transform(splats: DataFrame, transforms: DataFrame) -> DataFrame:
     return splats.join(per, ["set_id", "state"]).select(*[moved[c].alias(c) if c in moved else F.col(c) for c in splats.columns])
 
 
-def bake(splats: DataFrame, transforms: DataFrame, prune_opacity: float = 0.05) -> DataFrame:
-    """Faint splats dropped before anything is computed, the rest aligned."""
+def bake(splats: DataFrame, transforms: DataFrame, prune_opacity: float = 0.05, tuning: DataFrame | None = None) -> DataFrame:
+    """Faint splats dropped before anything is computed, the rest aligned. ``tuning(set_id, params MAP<STRING, DOUBLE>)`` replaces
+    ``prune_opacity`` for the sets whose ``params`` name it."""
     from roomdiff.operators.voxels import prune
 
-    return transform(prune(splats, prune_opacity), transforms)
+    if tuning is None:
+        return transform(prune(splats, prune_opacity), transforms)
+    own = splats.join(tuning.select("set_id", F.col("params")["prune_opacity"].alias("_own")), "set_id", "left")
+    return transform(prune(own, F.coalesce("_own", F.lit(prune_opacity))).select(*splats.columns), transforms)

@@ -1,12 +1,14 @@
 """Splats to voxels and operations on voxel sets.
 
 A voxel set is a table of keys and ``vox`` (see ``functions.voxel``). ``grids`` has one row per set: voxel, origin, shape, canon,
-calibration_m, span, ceiling_vox, room_lo, room_hi.
+calibration_m, span, ceiling_vox, room_lo, room_hi, and tuning where sets have values of their own: then a number may be given as a column of
+``tuning`` and a reach as ``Reach``.
 """
 
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,26 @@ from roomdiff.functions import voxel as v
 BLOCK_BITS = 5          # cubes of 32³ voxels: the most one task ever holds at a time is one cube and its rim
 
 
+class Reach(NamedTuple):
+    """A reach for each set: ``table(set_id, reach)``, and the largest of them."""
+
+    table: DataFrame
+    most: int
+
+
+def most_of(reach: int | Reach) -> int:
+    return reach.most if isinstance(reach, Reach) else reach
+
+
+def with_reach(df: DataFrame, reach: int | Reach) -> DataFrame:
+    return df.join(reach.table, "set_id") if isinstance(reach, Reach) else df.withColumn("reach", F.lit(reach))
+
+
+def with_tuning(df: DataFrame, grids: DataFrame) -> DataFrame:
+    """Adds the ``tuning`` of each row's set, if the grids have it."""
+    return df.join(grids.select("set_id", "tuning"), "set_id") if "tuning" in grids.columns else df
+
+
 # ---- grids and occupancy -------------------------------------------------------------------------------------------
 
 def with_voxel(splats: DataFrame, grids: DataFrame) -> DataFrame:
@@ -41,10 +63,11 @@ def prune(splats: DataFrame, min_opacity: float | Column) -> DataFrame:
     return splats.filter((p <= 0) | (F.col("opacity") >= p))
 
 
-def occupancy(splats: DataFrame, grids: DataFrame, opacity_solid: float = 0.2, min_count: int = 2) -> DataFrame:
+def occupancy(splats: DataFrame, grids: DataFrame, opacity_solid: float | Column = 0.2, min_count: int | Column = 2) -> DataFrame:
     """(set_id, state, vox, n): voxels holding at least ``min_count`` solid splats."""
-    held = with_voxel(solid(splats.select("set_id", "state", "x", "y", "z", "opacity"), opacity_solid), grids).filter("vox is not null")
-    return held.groupBy("set_id", "state", "vox").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    rows = solid(with_tuning(splats.select("set_id", "state", "x", "y", "z", "opacity"), grids), opacity_solid).drop("tuning")
+    held = with_voxel(rows, grids).filter("vox is not null").groupBy("set_id", "state", "vox").agg(F.count("*").alias("n"))
+    return with_tuning(held, grids).filter(F.col("n") >= min_count).drop("tuning")
 
 
 def room_geometry(voxels: DataFrame, grids: DataFrame) -> DataFrame:
@@ -57,8 +80,9 @@ def room_geometry(voxels: DataFrame, grids: DataFrame) -> DataFrame:
     return rows.select(*voxels.columns, cx.alias("cx"), cy.alias("cy"), cz.alias("cz"), (cz * F.col("_span") / F.col("_s")).alias("height_vox"))
 
 
-def above_floor(voxels: DataFrame, grids: DataFrame, band: float) -> DataFrame:
-    return room_geometry(voxels, grids).filter(F.col("height_vox") > band).select(*voxels.columns)
+def above_floor(voxels: DataFrame, grids: DataFrame, band: float | Column) -> DataFrame:
+    rows = room_geometry(voxels, grids)
+    return (with_tuning(rows, grids) if isinstance(band, Column) else rows).filter(F.col("height_vox") > band).select(*voxels.columns)
 
 
 def clip_to_grid(voxels: DataFrame, grids: DataFrame) -> DataFrame:
@@ -79,10 +103,16 @@ def dilate(voxels: DataFrame, grids: DataFrame) -> DataFrame:
     return clip_to_grid(_spread(voxels, [(0, 0, 0)] + v.AROUND), grids)
 
 
-def dilate_faces(voxels: DataFrame, grids: DataFrame, times: int) -> DataFrame:
+def dilate_faces(voxels: DataFrame, grids: DataFrame, times: int | Reach) -> DataFrame:
     """``times`` dilations by the six face neighbours at once: all voxels within that many steps."""
-    ball = [o for o in itertools.product(range(-times, times + 1), repeat=3) if sum(map(abs, o)) <= times]
-    return clip_to_grid(_spread(voxels, ball), grids)
+    most = most_of(times)
+    ball = [o for o in itertools.product(range(-most, most + 1), repeat=3) if sum(map(abs, o)) <= most]
+    if not isinstance(times, Reach):
+        return clip_to_grid(_spread(voxels, ball), grids)
+    moves = F.array(*[F.struct(F.lit(v.step(o)).cast("long").alias("by"), F.lit(sum(map(abs, o))).alias("steps")) for o in ball])
+    own = F.transform(F.filter(moves, lambda o: o["steps"] <= F.col("reach")), lambda o: o["by"] + F.col("vox"))
+    keys = [c for c in voxels.columns if c != "vox"]
+    return clip_to_grid(with_reach(voxels, times).select(*keys, F.explode(own).alias("vox")).distinct(), grids)
 
 
 def _squared_distances(mask: np.ndarray, reach: int) -> np.ndarray:
@@ -104,22 +134,25 @@ def _local(vox: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(((vox >> s) & v.MASK) - b for s, b in zip((2 * v.BITS, v.BITS, 0), base))
 
 
-def distances(targets: DataFrame, mask: DataFrame, reach: int, bits: int = BLOCK_BITS) -> DataFrame:
+def distances(targets: DataFrame, mask: DataFrame, reach: int | Reach, bits: int = BLOCK_BITS) -> DataFrame:
     """``targets`` (distinct keys and vox) with ``d2``: squared distance in voxels to the nearest voxel of ``mask`` under the same
     keys, or null beyond ``reach``. No mask row for a key means infinitely far, so null.
 
     Both sides are cut into cubes of 2**bits voxels; a mask voxel also goes to the cubes its reach touches. One task handles
     one cube at a time, whose size is fixed, and only cubes that hold targets are shuffled.
     """
-    bits = max(bits, reach.bit_length())        # a cube's side is larger than the reach
+    most = most_of(reach)
+    bits = max(bits, most.bit_length())         # a cube's side is larger than the reach
     keys = [c for c in targets.columns if c != "vox"]
     t = targets.select(*keys, "vox", v.block(F.col("vox"), bits).alias("cube"), F.lit(True).alias("ask"))
     cubes = t.select(*keys, "cube").distinct()
-    m = (mask.select(*keys, "vox", F.explode(v.blocks_within(F.col("vox"), bits, reach)).alias("cube"))
+    near_by = v.blocks_within(F.col("vox"), bits, F.col("reach") if isinstance(reach, Reach) else reach, most)
+    m = (with_reach(mask.select(*keys, "vox"), reach).select(*keys, "vox", F.explode(near_by).alias("cube"))
          .join(cubes, [*keys, "cube"], "left_semi").select(*keys, "vox", "cube", F.lit(False).alias("ask")))
-    side = (1 << bits) + 2 * reach
 
     def solve(key, table):
+        reach = key[-2].as_py()
+        side = (1 << bits) + 2 * reach
         vox = table.column("vox").to_numpy()
         ask = table.column("ask").to_numpy(zero_copy_only=False)
         cube = key[-1].as_py()
@@ -127,26 +160,26 @@ def distances(targets: DataFrame, mask: DataFrame, reach: int, bits: int = BLOCK
         grid = np.zeros((side, side, side), bool)
         grid[_local(vox[~ask], base)] = True
         d2 = _squared_distances(grid, reach)[_local(vox[ask], base)]
-        out = [pa.array([k.as_py()] * int(ask.sum()), type=k.type) for k in key[:-1]]
+        out = [pa.array([k.as_py()] * int(ask.sum()), type=k.type) for k in key[:-2]]
         return pa.Table.from_arrays(out + [pa.array(vox[ask]), pa.array(d2, mask=d2 > reach * reach)], names=[*keys, "vox", "d2"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in targets.select(*keys).schema) + ", vox bigint, d2 int"
-    return t.unionByName(m).groupBy(*keys, "cube").applyInArrow(solve, schema)
+    return with_reach(t.unionByName(m), reach).groupBy(*keys, "reach", "cube").applyInArrow(solve, schema)
 
 
-def near(targets: DataFrame, mask: DataFrame, reach: int, bits: int = BLOCK_BITS) -> DataFrame:
+def near(targets: DataFrame, mask: DataFrame, reach: int | Reach, bits: int = BLOCK_BITS) -> DataFrame:
     """Targets within ``reach`` of the mask."""
     return distances(targets, mask, reach, bits).filter("d2 is not null").drop("d2")
 
 
-def far(targets: DataFrame, mask: DataFrame, reach: int, bits: int = BLOCK_BITS) -> DataFrame:
+def far(targets: DataFrame, mask: DataFrame, reach: int | Reach, bits: int = BLOCK_BITS) -> DataFrame:
     """Targets farther than ``reach`` from the mask."""
     return distances(targets, mask, reach, bits).filter("d2 is null").drop("d2")
 
 
 # ---- change --------------------------------------------------------------------------------------------------------
 
-def changes(occ: DataFrame, sizes: DataFrame, grids: DataFrame, band: float = 2, jitter: int = 2, bits: int = BLOCK_BITS) -> DataFrame:
+def changes(occ: DataFrame, sizes: DataFrame, grids: DataFrame, band: float | Column = 2, jitter: int | Reach = 2, bits: int = BLOCK_BITS) -> DataFrame:
     """(set_id, step, kind, vox) for every state against the one before it, ``step`` being the later state: added voxels stand
     above the floor band farther than ``jitter`` from what stood there before; removed voxels the other way round."""
     up = above_floor(occ.select("set_id", "state", "vox"), grids, band)

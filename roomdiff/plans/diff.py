@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
-import functools
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,11 +33,12 @@ def room_points(splats: DataFrame, canons: DataFrame) -> DataFrame:
 
 
 def grid_spec(room0: DataFrame, canons: DataFrame, p: tk.DiffParams = tk.DiffParams()) -> DataFrame:
-    """One grid per set from the room points of its first state. ``canons(set_id, canon, calibration_m)``."""
+    """One grid per set from the room points of its first state. ``canons(set_id, canon, calibration_m)``, with ``tuning`` where sets have their own."""
     tails = {c: [0.01, 0.99] for c in "xyz"} | {"qx": [0.02, 0.98], "qy": [0.02, 0.98], "qz": [0.98]}
     names = {(c, q): f"{c}{n}" for c in "xyz" for n, q in enumerate((0.01, 0.99))} | {
         ("qx", 0.02): "wx0", ("qx", 0.98): "wx1", ("qy", 0.02): "wy0", ("qy", 0.98): "wy1", ("qz", 0.98): "ceiling"}
-    row = stats.wide(stats.percentiles(room0, ["set_id"], tails), ["set_id"], names).join(canons.select("set_id", "canon", "calibration_m"), "set_id")
+    own = [c for c in canons.columns if c == "tuning"]
+    row = stats.wide(stats.percentiles(room0, ["set_id"], tails), ["set_id"], names).join(canons.select("set_id", "canon", "calibration_m", *own), "set_id")
     span = g.room_span(F.col("canon"))
     row = row.withColumn("span", span).withColumn("voxel", F.col("span") * p.voxel_frac)
     pad = lambda c: (F.col(f"{c}1") - F.col(f"{c}0")) * 0.08
@@ -50,7 +48,7 @@ def grid_spec(room0: DataFrame, canons: DataFrame, p: tk.DiffParams = tk.DiffPar
     return row.select(
         "set_id", "voxel", F.array(*lo).alias("origin"), F.array(*cells).alias("shape"), "canon", "calibration_m", "span",
         (F.col("ceiling") * F.col("span") / F.col("voxel")).alias("ceiling_vox"), F.array("wx0", "wy0").alias("room_lo"), F.array("wx1", "wy1").alias("room_hi"),
-        g.box([F.col("wx0"), F.col("wy0"), zero], [F.col("wx1"), F.col("wy1"), F.col("ceiling")]).alias("room_canon"))
+        g.box([F.col("wx0"), F.col("wy0"), zero], [F.col("wx1"), F.col("wy1"), F.col("ceiling")]).alias("room_canon"), *own)
 
 
 @dataclass
@@ -89,24 +87,10 @@ def run(splats: DataFrame, transforms: DataFrame, canons: DataFrame, sizes: Data
 
 def run_tuned(splats: DataFrame, transforms: DataFrame, canons: DataFrame, sizes: DataFrame, tuning: DataFrame, p: tk.DiffParams = tk.DiffParams(),
               refused: DataFrame | None = None) -> DiffTables:
-    """``run`` with each set's own values: ``tuning(set_id, params MAP<STRING, DOUBLE>)`` replaces those of ``p`` it names. Sets with equal values
-    go through one run together, so there are as many runs as different tunings, not sets; a set without a row has ``p``."""
-    keyed = sizes.select("set_id").join(tuning.select("set_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("params")))).alias("own")), "set_id", "left")
-    keyed = written(keyed.withColumn("own", F.coalesce("own", F.lit("{}"))), "tuning")
-    if keyed.isEmpty():
-        return run(splats, transforms, canons, sizes, p, refused)
-    runs = []
-    for row in keyed.select("own").distinct().orderBy("own").collect():
-        mine = keyed.filter(F.col("own") == row.own).select("set_id")
-        only = lambda df: df.join(mine, "set_id", "left_semi")
-        runs.append(run(only(splats), only(transforms), only(canons), only(sizes), tuned(p, json.loads(row.own)), None if refused is None else only(refused)))
-    return DiffTables(**{f.name: functools.reduce(DataFrame.unionByName, [getattr(r, f.name) for r in runs]) for f in dataclasses.fields(DiffTables)})
-
-
-def tuned(p: tk.DiffParams, own: dict[str, float]) -> tk.DiffParams:
-    """``p`` with the values of ``own``; names it does not have belong to other steps and are passed over."""
-    kinds = {f.name: type(getattr(p, f.name)) for f in dataclasses.fields(p)}
-    return dataclasses.replace(p, **{k: kinds[k](v) for k, v in own.items() if k in kinds})
+    """``run`` with each set's own values: ``tuning(set_id, params MAP<STRING, DOUBLE>)``, a row for a set, replaces those of ``p`` it names; a set
+    without a row has ``p``. The values travel as columns with the sets' grids, so all sets go through one run, however many tunings there are."""
+    table = written(tk.tuning_table(sizes, tuning, p), "tuning")
+    return run(splats, transforms, canons.join(table, "set_id"), sizes, tk.per_set(table), refused)
 
 
 def _run_whole(aligned: DataFrame, canons: DataFrame, sizes: DataFrame, p: tk.DiffParams) -> DiffTables:

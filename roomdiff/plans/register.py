@@ -236,9 +236,21 @@ class Registered:
     violations: DataFrame
 
 
-def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: DataFrame | None = None, candidate_steps: int = CANDIDATE_STEPS) -> Registered:
+def judged(report: DataFrame, params: RegisterParams = RegisterParams(), tuning: DataFrame | None = None) -> DataFrame:
+    """Adds ``few`` and ``unclear``: too few points matched, or the best start not clear of the next. ``report(set_id, inlier_frac, margin)``;
+    ``tuning(set_id, params MAP<STRING, DOUBLE>)`` replaces the limits of ``params`` for the sets it names."""
+    given = lambda n: F.lit(getattr(params, n))
+    if tuning is None:
+        return report.withColumn("few", F.col("inlier_frac") < given("min_inlier_frac")).withColumn("unclear", F.col("margin") < given("min_candidate_margin"))
+    limit = lambda n: F.coalesce(F.col("_own")[n], given(n))
+    rows = report.join(tuning.select("set_id", F.col("params").alias("_own")), "set_id", "left")
+    return rows.withColumn("few", F.col("inlier_frac") < limit("min_inlier_frac")).withColumn("unclear", F.col("margin") < limit("min_candidate_margin")).drop("_own")
+
+
+def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: DataFrame | None = None, candidate_steps: int = CANDIDATE_STEPS,
+        tuning: DataFrame | None = None) -> Registered:
     """Every capture onto state 0 of its set. A capture that matches too few points, or whose best start does not clearly beat the next,
-    is left out of ``transforms`` and listed in ``violations``."""
+    is left out of ``transforms`` and listed in ``violations``. ``tuning`` as for ``judged``."""
     points = written(clouds_of(splats), "cloud")
     canon = canonicalize(points)
     ups = written(resolve_up(points, canon, modes), "ups")
@@ -249,10 +261,11 @@ def run(splats: DataFrame, params: RegisterParams = RegisterParams(), modes: Dat
     starts = best.join(canon.select(*S, F.col("m").alias("cs")), S).join(c0, "set_id").select(*S, g.multiply(g.inverse(F.col("c0")), g.multiply(F.col("m"), F.col("cs"))).alias("m"))
     got = written(refine(points.filter("state > 0"), points.filter("state = 0").select("set_id", "x", "y", "z"), written(starts, "starts")), "refined")
     r = lambda c, n: F.bround(c, n)
-    report = written(got.join(best.drop("m"), S).join(canon.select(*S, "wall_planes"), S).select(
-        *S, r(F.col("fitness"), 3).alias("candidate_fitness"), r(F.col("runner_up"), 3).alias("runner_up_fitness"), r(F.col("fitness") - F.col("runner_up"), 3).alias("candidate_margin"),
+    matched = got.join(best.drop("m"), S).withColumn("margin", F.col("fitness") - F.col("runner_up"))
+    report = written(judged(matched, params, tuning).join(canon.select(*S, "wall_planes"), S).select(
+        *S, r(F.col("fitness"), 3).alias("candidate_fitness"), r(F.col("runner_up"), 3).alias("runner_up_fitness"), r(F.col("margin"), 3).alias("candidate_margin"),
         r(F.col("inlier_frac"), 3).alias("inlier_frac"), r(F.col("rms_frac_span"), 5).alias("rms_frac_span"), r(g.uniform_scale(F.col("m")), 4).alias("scale"), "wall_planes",
-        (F.col("inlier_frac") < params.min_inlier_frac).alias("few"), (F.col("fitness") - F.col("runner_up") < params.min_candidate_margin).alias("unclear"), "m"), "report")
+        "few", "unclear", "m"), "report")
     where = F.concat(F.lit("c"), F.col("state").cast("string"))
     why = F.when(F.col("few"), F.concat(F.lit("registration rejected, inlier fraction "), F.col("inlier_frac").cast("string"))).otherwise(
         F.concat(F.lit("registration ambiguous, margin "), F.col("candidate_margin").cast("string")))

@@ -156,3 +156,9 @@ def refuse(violations: DataFrame, show: int = 20) -> None:
     rows = violations.limit(show).collect()
     if rows:
         raise ValueError("; ".join(f"{r.set_id}: {r.path} {r.message}" for r in rows))
+
+
+def as_tuning(section: DataFrame) -> DataFrame:
+    """A section of ``params`` as (set_id, params MAP<STRING, DOUBLE>), the form in which jobs take values per set; text values are left out."""
+    numbers = [f.name for f in section.schema if f.name != "set_id" and f.dataType.typeName() != "string"]
+    return section.select("set_id", F.create_map(*[x for n in numbers for x in (F.lit(n), F.col(n).cast("double"))]).alias("params"))

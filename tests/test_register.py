@@ -63,3 +63,23 @@ def test_the_floor_is_fitted_to_all_that_lies_on_it(spark):
     m = np.array(reg.canonicalize(df).first().m)
     up = m[2, :3] / np.linalg.norm(m[2, :3])
     assert np.degrees(np.arccos(min(1.0, abs(up @ R[:, 2])))) < 0.1
+
+
+def test_limits_of_each_set(spark):
+    report = spark.createDataFrame([(s, 1, 0.5, 0.1) for s in "abc"], "set_id string, state int, inlier_frac double, margin double")
+    own = spark.createDataFrame([("a", {"min_inlier_frac": 0.6}), ("b", {"min_candidate_margin": 0.2, "other": 1.0})], "set_id string, params map<string,double>")
+    got = {r.set_id: (r.few, r.unclear) for r in reg.judged(report, tuning=own).collect()}
+    assert got == {"a": (True, False), "b": (False, True), "c": (False, False)}
+    assert not any(r.few or r.unclear for r in reg.judged(report).collect())
+
+
+def test_bake_prunes_by_each_set(spark):
+    from roomdiff.operators import splats as sp
+
+    eye = [[float(r == c) for c in range(4)] for r in range(4)]
+    rows = [(s, 0, 0.0, 0.0, 0.0, o, [0.0] * 3, [1.0, 0.0, 0.0, 0.0], []) for s in "ab" for o in (0.01, 0.1, 0.3)]
+    df = spark.createDataFrame(rows, "set_id string, state int, x double, y double, z double, opacity double, scale array<float>, rot array<float>, f_rest array<float>")
+    t = spark.createDataFrame([(s, 0, eye) for s in "ab"], "set_id string, state int, m array<array<double>>")
+    own = spark.createDataFrame([("a", {"prune_opacity": 0.2})], "set_id string, params map<string,double>")
+    got = sp.bake(df, t, tuning=own)
+    assert sorted((r.set_id, r.opacity) for r in got.collect()) == [("a", 0.3), ("b", 0.1), ("b", 0.3)] and got.columns == df.columns

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roomdiff.functions import voxel as v
 from roomdiff.operators import tracker as tk
 from roomdiff.plans import diff as job
+from roomdiff.sources import configs
 
 SHAPE = (20, 20, 10)
 P = tk.DiffParams(min_voxels=4, jitter_voxels=1, coverage_voxels=4, label_dilate_voxels=1, floor_band_voxels=1, ceiling_band_voxels=0)
@@ -125,6 +126,36 @@ def test_sets_with_a_refused_or_missing_capture_are_left_out(spark):
     assert [g.set_id for g in grids] == ["whole"] and abs(grids[0].voxel / grids[0].span - 0.1) < 1e-9
 
 
-def test_own_values_replace_those_of_the_run():
-    own = job.tuned(P, {"min_voxels": 9.0, "wall_margin_m": 0.6, "other": 1.0})
-    assert (own.min_voxels, own.wall_margin_m, own.jitter_voxels) == (9, 0.6, 1) and isinstance(own.min_voxels, int)
+def test_own_values_replace_those_of_the_run(spark):
+    sets = spark.createDataFrame([("a",), ("b",)], "set_id string")
+    own = spark.createDataFrame([("a", {"min_voxels": 9.0, "wall_margin_m": 0.6, "other": 1.0, "floor_frac": None}), ("z", {"min_count": 7.0})], "set_id string, params map<string,double>")
+    got = {r.set_id: r.tuning for r in tk.tuning_table(sets, own, P).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"].min_voxels, got["a"].wall_margin_m, got["a"].jitter_voxels, got["a"].floor_frac) == (9, 0.6, 1, 0.8)
+    assert got["b"].asDict() == {n: getattr(P, n) for n in got["b"].asDict()}
+    section = spark.createDataFrame([("a", "flip", 3, 0.5)], "set_id string, up string, min_count int, floor_frac double")
+    a = tk.tuning_table(sets, configs.as_tuning(section), P).filter("set_id = 'a'").first().tuning
+    assert (a.min_count, a.floor_frac, a.min_voxels) == (3, 0.5, 4)
+    p = tk.per_set(tk.tuning_table(sets, own, P))
+    assert p.coverage_voxels.most == 4 and {r.reach for r in p.jitter_voxels.table.collect()} == {1}
+
+
+def test_sets_of_different_tuning_go_through_one_run(spark):
+    """Each set gives what a run of its own with its values gives."""
+    import dataclasses
+
+    cast = {"near": rooms()["tale"][:3], "wide": rooms()["noisy"][:3]}
+    values = {"near": {}, "wide": {"min_voxels": 9.0, "jitter_voxels": 2.0, "coverage_voxels": 3.0, "label_dilate_voxels": 2.0, "floor_band_voxels": 0.0}}
+    occ, grids, sizes = tables(spark, cast)
+    table = tk.tuning_table(sizes, spark.createDataFrame(list(values.items()), "set_id string, params map<string,double>"), P).cache()
+    got = job.run_on_voxels(occ, grids.join(table, "set_id"), sizes, tk.per_set(table), bits=3)
+    objects = got.objects.collect()
+    i, j, k = v.unpack(F.col("vox"))
+    labels = got.labels.select("set_id", "state", F.array(i, j, k), "object_id").collect()
+    for name, states in cast.items():
+        want = Room(SHAPE, states, dataclasses.replace(P, **{n: int(x) for n, x in values[name].items()}))
+        rows = sorted((r for r in objects if r.set_id == name), key=lambda r: r.id)
+        assert [{c: r[c] for c in ("id", "added_in", "removed_in", "present", "voxels", "moved_from", "moved_to")} for r in rows] == want.objects
+        for n, lab in enumerate(want.labels):
+            assert {tuple(r[2]): r[3] for r in labels if r[0] == name and r[1] == n} == lab, (name, n)
+    assert len({r.set_id for r in objects}) == 2
