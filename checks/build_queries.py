@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks import mapped as m
@@ -10,6 +12,7 @@ from checks.scene_queries import W
 from checks.voxel_queries import LABELS, _boxes, _labels, ijk
 from roomdiff.functions import geometry as g
 from roomdiff.functions import scalar as sc
+from roomdiff.functions.stage import new_folder
 from roomdiff.operators import clouds as cl
 from roomdiff.operators import frame as fr
 from roomdiff.operators import quality as ql
@@ -304,3 +307,40 @@ SELECT session, s // 1000 AS started, e // 1000 AS ended, ticks FROM z WHERE abs
 def zoom_sessions(spark, sf):
     a = m.actions(spark, sf).select("session", "ts", F.lit("dolly").alias("verb"), F.col("value").alias("d0"), (F.col("value") + 1).alias("d1"))
     return ss.zoom_sessions(a).select("session", F.unix_millis("started").alias("started"), F.unix_millis("ts").alias("ended"), "ticks")
+
+
+# ---- capture files -------------------------------------------------------------------------------------------------
+
+PLY = ["x", "y", "z", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3", "f_dc_0", "f_dc_1", "f_dc_2"]
+
+
+def _files(spark, sf):
+    """The folder of capture files written from lineitem, one for each set and year; (set_id, state, n) of what was written is kept."""
+    rows = m.sql(spark, sf, "s AS (SELECT CAST(l_suppkey % 5 AS STRING) AS set_id, year(l_shipdate) - 1992 AS state, CAST(l_partkey AS FLOAT) AS x, CAST(l_suppkey AS FLOAT) AS y, CAST(l_linenumber AS FLOAT) AS z, CAST(l_quantity - 25 AS FLOAT) AS opacity FROM lineitem)",
+                 "SELECT * FROM s", "lineitem")
+    folder = new_folder(spark, "captures")
+
+    def write(key, table):
+        set_id, state = key[0].as_py(), key[1].as_py()
+        body = np.zeros((table.num_rows, len(PLY)), "<f4")
+        for n, c in enumerate(PLY[:4]):
+            body[:, n] = table.column(c).to_numpy()
+        head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(body)}\n" + "".join(f"property float {n}\n" for n in PLY) + "end_header\n"
+        system, where = cap._file_system(folder)
+        system.create_dir(f"{where}/{set_id}/raw", recursive=True)
+        with system.open_output_stream(f"{where}/{set_id}/raw/c{state}.ply") as out:
+            out.write(head.encode())
+            out.write(body.tobytes())
+        return pa.table({"n": [table.num_rows]})
+
+    m._once(spark, sf, "capture_files", lambda: rows.groupBy("set_id", "state").applyInArrow(write, "n bigint").withColumn("folder", F.lit(folder)))
+    return m._once(spark, sf, "capture_files", lambda: None).first().folder
+
+
+@query("capture_scan", """SELECT CAST(l_suppkey % 5 AS STRING) AS set_id, CAST(year(l_shipdate) - 1992 AS INTEGER) AS state, count(*) AS n, CAST(sum(l_partkey) AS DOUBLE) AS x, CAST(sum(l_suppkey) AS DOUBLE) AS y, CAST(sum(l_linenumber) AS DOUBLE) AS z,
+  count(*) FILTER (l_quantity - 25 >= 0) AS solid, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS ids, count(*) * 4 AS turns FROM lineitem WHERE year(l_shipdate) >= 1993 AND l_suppkey % 5 IN (0, 1, 3) GROUP BY ALL""")
+def capture_scan(spark, sf):
+    files = cap.list_captures(spark, _files(spark, sf)).filter("state >= 1 and set_id in ('0', '1', '3')")
+    rows = cap.read_captures(spark, files, range_bytes=1 << 16, columns=["set_id", "state", "splat_id", "x", "y", "z", "opacity", "rot"])
+    return rows.groupBy("set_id", "state").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyz"], F.count_if(F.col("opacity") >= 0.5).alias("solid"), F.sum("splat_id").alias("ids"), F.sum(F.size("rot")).cast("bigint").alias("turns"))

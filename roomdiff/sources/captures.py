@@ -1,17 +1,22 @@
 """Gaussian-splat capture files as a Spark data source, and the slim table made from them.
 
-    spark.dataSource.register(captures.SplatCapture)
-    spark.read.format("splat_capture").option("files", json) ...
-
-``read_captures(spark, files)`` wraps this. A file is a text header — magic, format, one ``vertex`` element, float properties — and
-rows of little-endian float32. A header is read once per file; bodies are read in ranges of whole rows, many to a file.
+    files = captures.list_captures(spark, "hdfs://…/sets").filter("state >= 1")
+    captures.read_captures(spark, files, columns=["set_id", "state", "x", "y", "z"])
+
+A file is a text header — magic, format, one ``vertex`` element, float properties — and rows of little-endian float32. The driver only knows
+names and sizes, as Spark's own file listing gives them; a partition is a range of bytes, and its task reads the header and then the rows that
+start inside the range. Paths may be local or addresses of any file system that Arrow opens. Files are chosen by filtering their list, before
+anything is opened; only the columns asked for are built. (Spark keeps what a reader's ``pushFilters`` chose for later uses of the same DataFrame,
+also without the filter, so filters are not pushed into the reader.)
 """
 
 from __future__ import annotations
 
 import glob
+import io
 import json
 import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +35,7 @@ SCHEMA = ("set_id string, state int, splat_id bigint, x double, y double, z doub
           "scale array<float>, rot array<float>, f_dc array<float>, f_rest array<float>")
 RANGE_BYTES = 64 << 20
 BATCH_ROWS = 1 << 16
+HEADER_BYTES = 1 << 20          # a header ends within these
 
 
 class CaptureError(ValueError):
@@ -43,10 +49,44 @@ class Header:
     offset: int
 
 
-def read_header(path: str) -> Header:
+def _file_system(path: str):
+    """(file system, path in it) of a local path or an address."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]+://", path) else (fs.LocalFileSystem(), path)
+
+
+def open_capture(path: str) -> pa.NativeFile:
+    system, where = _file_system(path)
+    return system.open_input_file(where)
+
+
+def file_size(path: str) -> int:
+    system, where = _file_system(path)
+    info = system.get_file_info(where)
+    if not info.is_file:
+        raise CaptureError(f"{path}: no such file")
+    return info.size
+
+
+def _head(path: str) -> bytes:
+    """The first bytes of a file, to the end of its header if that is within ``HEADER_BYTES``."""
+    with open_capture(path) as fh:
+        size, n = fh.size(), 4096
+        while True:
+            head = fh.read_at(min(n, size), 0)
+            if n >= min(size, HEADER_BYTES) or re.search(rb"\nend_header[^\n]*\n", head):
+                return head
+            n *= 4
+
+
+def read_header(path: str, size: int | None = None) -> Header:
     """The header of one capture, with every rule about it checked, the body's size included."""
     names, rows, layout = [], None, None
-    with open(path, "rb") as fh:
+    size = file_size(path) if size is None else size
+    with io.BytesIO(_head(path)) as fh:
         if fh.readline().strip() != b"ply":
             raise CaptureError(f"{path}: not a ply file")
         while True:
@@ -73,7 +113,7 @@ def read_header(path: str) -> Header:
         raise CaptureError(f"{path}: header has no 'element vertex'")
     if not names:
         raise CaptureError(f"{path}: header has no properties")
-    body, want = os.path.getsize(path) - offset, rows * len(names) * 4
+    body, want = size - offset, rows * len(names) * 4
     if body != want:
         raise CaptureError(f"{path}: body is {body} bytes, the header promises {want}")
     for name in REQUIRED:
@@ -85,53 +125,52 @@ def read_header(path: str) -> Header:
 
 
 @dataclass
-class RowRange(InputPartition):
+class ByteRange(InputPartition):
     path: str
     set_id: str
     state: int
-    names: list[str]
-    offset: int
+    size: int
     first: int
-    rows: int
+    last: int
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, names: list[str]):
         self.files = json.loads(options["files"])
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        self.names = names
 
     def partitions(self):
-        parts = []
-        for f in self.files:
-            h = read_header(f["path"])
-            step = max(1, self.range_bytes // (4 * len(h.names)))
-            parts += [RowRange(f["path"], f["set_id"], f["state"], h.names, h.offset, a, min(step, h.rows - a)) for a in range(0, h.rows, step)]
-        return parts
-
-    def read(self, part: RowRange):
-        stride = 4 * len(part.names)
-        col = {n: i for i, n in enumerate(part.names)}
-        rest = sorted((n for n in part.names if n.startswith("f_rest_")), key=lambda n: int(n.rsplit("_", 1)[1]))
-        with open(part.path, "rb") as fh:
-            fh.seek(part.offset + part.first * stride)
-            for a in range(0, part.rows, BATCH_ROWS):
-                n = min(BATCH_ROWS, part.rows - a)
-                block = np.frombuffer(fh.read(n * stride), "<f4").reshape(n, len(part.names))
+        """Ranges of bytes; an empty or cut file still has one, so that its header is looked at."""
+        return [ByteRange(f["path"], f["set_id"], f["state"], f["size"], a, min(a + self.range_bytes, f["size"]))
+                for f in self.files for a in range(0, max(1, f["size"]), self.range_bytes)]
+
+    def read(self, part: ByteRange | None):
+        if part is None:            # what Spark passes when there are no files
+            return
+        head = read_header(part.path, part.size)
+        stride, col = 4 * len(head.names), {n: i for i, n in enumerate(head.names)}
+        first, end = (min(head.rows, max(0, -((head.offset - at) // stride))) for at in (part.first, part.last))      # rows that start in the range
+        rest = sorted((n for n in head.names if n.startswith("f_rest_")), key=lambda n: int(n.rsplit("_", 1)[1]))
+        with open_capture(part.path) as fh:
+            for a in range(first, end, BATCH_ROWS):
+                n = min(BATCH_ROWS, end - a)
+                block = np.frombuffer(fh.read_at(n * stride, head.offset + a * stride), "<f4").reshape(n, len(head.names))
 
                 def lists(wanted):
                     have = [col[c] for c in wanted if c in col]
                     flat = pa.array(np.ascontiguousarray(block[:, have]).ravel(), pa.float32())
                     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(have)), flat)
 
-                logit = block[:, col["opacity"]]
-                with np.errstate(over="ignore"):
-                    solid = 1.0 / (1.0 + np.exp(-logit.astype(np.float64)))
-                ids = np.arange(part.first + a, part.first + a + n, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.set_id] * n), pa.array(np.full(n, part.state, np.int32)), pa.array(ids),
-                     *[pa.array(block[:, col[c]].astype(np.float64)) for c in "xyz"], pa.array(np.ascontiguousarray(logit)), pa.array(solid),
-                     lists(REQUIRED[4:7]), lists(REQUIRED[7:]), lists(COLOUR), lists(rest)],
-                    names=["set_id", "state", "splat_id", "x", "y", "z", "opacity_logit", "opacity", "scale", "rot", "f_dc", "f_rest"])
+                def solid():
+                    with np.errstate(over="ignore"):
+                        return 1.0 / (1.0 + np.exp(-block[:, col["opacity"]].astype(np.float64)))
+
+                make = {"set_id": lambda: pa.array([part.set_id] * n), "state": lambda: pa.array(np.full(n, part.state, np.int32)),
+                        "splat_id": lambda: pa.array(np.arange(a, a + n, dtype=np.int64)), "opacity_logit": lambda: pa.array(np.ascontiguousarray(block[:, col["opacity"]])),
+                        "opacity": lambda: pa.array(solid()), "scale": lambda: lists(REQUIRED[4:7]), "rot": lambda: lists(REQUIRED[7:]), "f_dc": lambda: lists(COLOUR),
+                        "f_rest": lambda: lists(rest), **{c: lambda c=c: pa.array(block[:, col[c]].astype(np.float64)) for c in "xyz"}}
+                yield pa.RecordBatch.from_arrays([make[c]() for c in self.names], names=self.names)
 
 
 class SplatCapture(DataSource):
@@ -143,18 +182,35 @@ class SplatCapture(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return CaptureReader(self.options)
+        return CaptureReader(self.options, schema.names)
 
 
-def read_captures(spark: SparkSession, files: list[tuple[str, int, str]], range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``files`` are (set_id, state, path). A file that breaks a rule fails the read with its name and the rule."""
+def read_captures(spark: SparkSession, files: list[tuple[str, int, str]] | DataFrame, range_bytes: int = RANGE_BYTES, columns: list[str] | None = None) -> DataFrame:
+    """``files`` are (set_id, state, path), as a list or as the table that ``list_captures`` gives; ``columns`` the ones wanted. A file that breaks
+    a rule fails the read with its name and the rule."""
     spark.dataSource.register(SplatCapture)
-    listed = json.dumps([{"set_id": a, "state": b, "path": c} for a, b, c in files])
-    return spark.read.format("splat_capture").option("files", listed).option("rangeBytes", str(range_bytes)).load()
+    if isinstance(files, DataFrame):
+        found = [(r.set_id, r.state, r.path, r.length) for r in files.select("set_id", "state", "path", "length").collect()]       # names and sizes, a row for a file
+    else:
+        found = [(a, b, c, file_size(c)) for a, b, c in files]
+    listed = json.dumps([dict(zip(("set_id", "state", "path", "size"), f)) for f in found])
+    types = dict(f.split() for f in SCHEMA.split(", "))
+    schema = ", ".join(f"{c} {types[c]}" for c in columns or types)
+    return spark.read.format("splat_capture").schema(schema).option("files", listed).option("rangeBytes", str(range_bytes)).load()
+
+
+LAYOUT = r"([^/]+)/raw/c([0-9]+)[.]ply$"
+
+
+def list_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """(set_id, state, path, length) of the captures laid out as ``<folder>/<set>/raw/c<state>.ply``, on any file system Spark lists."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "c*.ply").load(folder)
+    part = lambda n: F.regexp_extract("path", LAYOUT, n)
+    return files.filter(F.col("path").rlike(LAYOUT)).select(part(1).alias("set_id"), part(2).cast("int").alias("state"), "path", "length")
 
 
 def find_captures(folder: str) -> list[tuple[str, int, str]]:
-    """Captures laid out as ``<folder>/<set>/raw/c<state>.ply``."""
+    """Captures laid out as ``<folder>/<set>/raw/c<state>.ply`` in a local folder."""
     found = []
     for path in sorted(glob.glob(f"{folder}/*/raw/c*.ply")):
         state = os.path.basename(path)[1:-4]

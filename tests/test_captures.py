@@ -41,6 +41,39 @@ def test_each_broken_file_is_named(spark, tmp_path, rows, broken, message):
         cap.read_captures(spark, [("a", 0, path)]).count()
 
 
+def test_lists_and_prunes_files(spark, tmp_path, rows):
+    for name, n in (("a", 0), ("a", 1), ("b", 0)):
+        (tmp_path / name / "raw").mkdir(parents=True, exist_ok=True)
+        write(tmp_path / name / "raw" / f"c{n}.ply", rows[: 10 + n])
+    (tmp_path / "b" / "raw" / "c1.ply").write_bytes(b"broken")
+    (tmp_path / "b" / "c2.ply").write_bytes(b"elsewhere")
+    files = cap.list_captures(spark, tmp_path.as_uri())
+    assert {(r.set_id, r.state) for r in files.collect()} == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+    wanted = ["set_id", "state", "splat_id", "rot", "opacity"]
+    good = cap.read_captures(spark, files.filter("state < 1"), columns=wanted)         # the broken file is never opened
+    assert good.columns == wanted and good.count() == 20 and good.rdd.getNumPartitions() == 2
+    assert cap.read_captures(spark, files.filter("set_id = 'a' and state in (1, 5)")).count() == 11
+    every = cap.read_captures(spark, files.filter("set_id = 'a'"))
+    assert (every.filter("state = 0").count(), every.count()) == (10, 21)              # a filter does not stay with the reader
+    assert cap.read_captures(spark, files.filter("false")).count() == 0
+    with pytest.raises(Exception, match="c1.ply: not a ply"):
+        cap.read_captures(spark, files).count()
+    empty = cap.read_captures(spark, [("a", 0, write(tmp_path / "none.ply", rows[:0]))])
+    assert empty.count() == 0 and len(empty.columns) == 12
+
+
+def test_header_longer_than_a_read(tmp_path, rows):
+    names = NAMES + [f"extra_{i}" for i in range(900)]
+    path = write(tmp_path / "long.ply", np.zeros((3, len(names)), "f4"), names)
+    head = cap.read_header(path)
+    assert (head.rows, len(head.names)) == (3, len(names)) and head.offset > 4096
+    (tmp_path / "cut.ply").write_bytes(b"ply\nformat ascii 1.0\n")
+    with pytest.raises(cap.CaptureError, match="no end_header"):
+        cap.read_header(str(tmp_path / "cut.ply"))
+    with pytest.raises(cap.CaptureError, match="no such file"):
+        cap.read_header(str(tmp_path / "missing.ply"))
+
+
 def test_slim_drops_faint_and_broken_rows(spark, tmp_path, rows):
     rows = rows.copy()
     rows[:, NAMES.index("opacity")] = 1.0
