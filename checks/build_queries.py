@@ -344,3 +344,59 @@ def capture_scan(spark, sf):
     rows = cap.read_captures(spark, files, range_bytes=1 << 16, columns=["set_id", "state", "splat_id", "x", "y", "z", "opacity", "rot"])
     return rows.groupBy("set_id", "state").agg(
         F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyz"], F.count_if(F.col("opacity") >= 0.5).alias("solid"), F.sum("splat_id").alias("ids"), F.sum(F.size("rot")).cast("bigint").alias("turns"))
+
+
+# ---- acceptance against truth --------------------------------------------------------------------------------------
+
+# A nation is a room of known size whose captures are turned about z, scaled and shifted; what was registered and published is off by a scale q and a shift e.
+ROOM = """room AS (SELECT CAST(n_nationkey AS STRING) AS set_id, n_nationkey AS n, 4.0 + n_nationkey % 3 AS wide, 3.0 + n_nationkey % 2 * 0.5 AS deep, 2.5 + n_nationkey % 4 * 0.1 AS high,
+  n_nationkey % 5 * 0.002 AS q, n_nationkey % 7 * 0.004 - 0.012 AS e FROM nation),
+capture AS (SELECT room.*, s.state, 0.3 + 0.2 * s.state + n % 6 * 0.1 AS turn, 1.5 - 0.25 * s.state + n % 2 AS scale, n * 0.5 - s.state AS dx, 2.0 + s.state AS dy, n % 3 * 0.7 AS dz
+  FROM room, (SELECT 0 AS state UNION ALL SELECT 1 UNION ALL SELECT 2) s)"""
+CORNER = """, sx AS (SELECT -0.5 AS a UNION ALL SELECT 0.5), sz AS (SELECT 0 AS c UNION ALL SELECT 1), corner AS (SELECT set_id, x.a * wide AS x, y.a * deep AS y, c * high AS z FROM room, sx x, sx y, sz)"""
+
+
+def _rooms(spark, sf):
+    """(rooms, captures with their true matrix m)."""
+    double = lambda df: df.select(*[F.col(c) if c in ("set_id", "n", "state") else F.col(c).cast("double").alias(c) for c in df.columns])
+    c, s, k = F.cos("turn") * F.col("scale"), F.sin("turn") * F.col("scale"), F.col("scale")
+    true = g.matrix([[c, -s, 0, F.col("dx")], [s, c, 0, F.col("dy")], [0, 0, k, F.col("dz")], [0, 0, 0, 1]])
+    captures = m._once(spark, sf, "nation_captures", lambda: double(m.sql(spark, sf, ROOM, "SELECT * FROM capture", "nation")).select("*", true.alias("m")))
+    captures = m._once(spark, sf, "nation_back", lambda: captures.select("*", g.inverse(F.col("m")).alias("back")))
+    return double(m.sql(spark, sf, ROOM, "SELECT * FROM room", "nation")), captures
+
+
+@query("corner_errors", "WITH " + ROOM + CORNER + """, ref AS (SELECT corner.set_id, k.scale, cos(turn) * k.scale * x - sin(turn) * k.scale * y + dx AS x, sin(turn) * k.scale * x + cos(turn) * k.scale * y + dy AS y, k.scale * z + dz AS z FROM corner JOIN capture k ON k.set_id = corner.set_id AND state = 0),
+off AS (SELECT k.set_id, k.state, avg(sqrt(power(q * x + e * k.state, 2) + power(q * y, 2) + power(q * z, 2)) / ref.scale * 1000) AS error_mm FROM ref JOIN capture k ON k.set_id = ref.set_id AND k.state > 0 GROUP BY k.set_id, k.state)
+SELECT set_id, CAST(state AS INTEGER) AS state, round(error_mm, 4) AS error_mm, error_mm < 15 AS ok FROM off""")
+def corner_errors(spark, sf):
+    rooms, captures = _rooms(spark, sf)
+    first = captures.filter("state = 0").select("set_id", F.col("m").alias("m0"))
+    grow = 1 + F.col("q")
+    wrong = g.matrix([[grow, 0, 0, F.col("e") * F.col("state")], [0, grow, 0, 0], [0, 0, grow, 0], [0, 0, 0, 1]])
+    onto = m._once(spark, sf, "nation_onto", lambda: captures.filter("state > 0").join(first, "set_id").select("set_id", "state", "q", "e", g.multiply(F.col("m0"), F.col("back")).alias("m")))
+    found = m._once(spark, sf, "nation_found", lambda: onto.select("set_id", "state", g.multiply(wrong, F.col("m")).alias("m")))
+    got = ql.corner_errors(ql.room_corners(rooms), captures.select("set_id", "state", "m"), found)
+    return got.select("set_id", "state", F.round("error_mm", 4).alias("error_mm"), "ok")
+
+
+@query("world_frame", "WITH " + ROOM + """, off AS (SELECT set_id, high, abs(e * 10) AS floor_off, abs(high * q * 10 + e * 10) AS ceiling_off, q * 20 AS room_off FROM room)
+SELECT set_id, round(floor_off, 6) AS floor_off, round(ceiling_off, 6) AS ceiling_off, round(room_off, 6) AS room_off, floor_off < 0.05 * high AND ceiling_off < 0.05 * high AND room_off < 0.06 AS ok FROM off""")
+def world_frame(spark, sf):
+    rooms, captures = _rooms(spark, sf)
+    to_world = g.matrix([[1, 0, 0, 0], [0, 0, 1 + F.col("q") * 10, F.col("e") * 10], [0, -1, 0, 0], [0, 0, 0, 1]])
+    zero, grow = F.lit(0.0), 1 + F.col("q") * 20
+    room = g.box([zero, zero, zero], [F.col("wide") * grow, F.col("high") * grow, F.col("deep") * grow])
+    published = m._once(spark, sf, "nation_published", lambda: captures.filter("state = 0").select("set_id", g.multiply(to_world, F.col("back")).alias("world_from_ref"), room.alias("room")))
+    got = ql.world_frame(ql.room_corners(rooms), captures.select("set_id", "state", "m"), rooms.select("set_id", "wide", "deep", "high"), published)
+    return got.select("set_id", *[F.round(c, 6).alias(c) for c in ("floor_off", "ceiling_off", "room_off")], "ok")
+
+
+@query("boxes_outside", "WITH " + ROOM + """, b AS (SELECT CAST(p_partkey % 25 AS STRING) AS set_id, p_partkey AS id, p_size / 10 - 1.0 AS lo, p_size / 10 - 1.0 + p_partkey % 4 * 0.25 AS hi FROM part)
+SELECT b.set_id, b.id, round(lo, 6) AS lo, round(hi, 6) AS hi FROM b JOIN room ON room.set_id = b.set_id WHERE hi <= 0 OR lo >= high""")
+def boxes_outside(spark, sf):
+    rooms, _ = _rooms(spark, sf)
+    low, zero, one = F.col("p_size") / 10 - 1.0, F.lit(0.0), F.lit(1.0)
+    objects = m.table(spark, sf, "part").select((F.col("p_partkey") % 25).cast("string").alias("set_id"), F.col("p_partkey").alias("id"),
+                                                g.box([zero, low, zero], [one, low + F.col("p_partkey") % 4 * 0.25, one]).alias("bbox"))
+    return ql.boxes_outside(objects, rooms).select("set_id", "id", F.round(F.col("bbox.lo")[1], 6).alias("lo"), F.round(F.col("bbox.hi")[1], 6).alias("hi"))
