@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roomdiff.functions import voxel as v
 from roomdiff.operators import tracker as tk
+from roomdiff.operators.labels import LabelLog
 from roomdiff.plans import diff as job
 from roomdiff.sources import configs
 
@@ -69,6 +70,27 @@ def test_tracking_and_labels_match_the_direct_loop(spark):
     assert any(r.added_in == 0 for r in tale.values())
 
 
+def test_late_objects_that_want_the_same_voxels_go_by_turn(spark):
+    """Two late objects reach the same open voxels of an earlier state: together, in rounds, they get what they get one after the other."""
+    before = FLOOR | cube(4, 5, 1, 10, 3, 3)
+    occ, grids, _ = tables(spark, {"a": [before, FLOOR]})
+    spots = {1: cube(4, 5, 1, 3, 3, 3), 2: cube(10, 5, 1, 4, 3, 3)}
+    cells = spark.createDataFrame([("a", n, *c) for n, cs in spots.items() for c in cs], "set_id string, id bigint, i int, j int, k int")
+    cells = cells.select("set_id", "id", v.pack(F.col("i"), F.col("j"), F.col("k")).alias("vox"))
+    now_occ = occ.filter("state = 1").select("set_id", "vox")
+
+    def labelled(*groups):
+        log = LabelLog(spark)
+        for ids in groups:
+            late = spark.createDataFrame([("a", n, n, 0, 1) for n in ids], "set_id string, id bigint, turn int, added_in int, step int")
+            tk.backfill(late, cells.filter(F.col("id").isin(*ids)), occ, now_occ, log, grids, P, bits=3)
+        return {(r.state, r.vox): r.object_id for r in log.read().collect()}
+
+    together = labelled([1, 2])
+    assert together == labelled([1], [2])
+    assert sorted(set(together.values())) == [1, 2] and list(together.values()).count(2) == 12      # the second keeps its lowest layer
+
+
 def test_moves_match_greedy_pairing(spark):
     rng = np.random.default_rng(11)
     closed, opened, want = [], [], set()
