@@ -92,27 +92,50 @@ def clip_to_grid(voxels: DataFrame, grids: DataFrame) -> DataFrame:
 
 # ---- neighbourhoods ------------------------------------------------------------------------------------------------
 
-def _spread(voxels: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    moves = F.array(*[F.lit(v.step(o)).cast("long") for o in offsets])
+WORD = 6                # 64 voxels along the last axis travel as the bits of one LONG
+
+
+def _spread(voxels: DataFrame, columns: list[tuple[int, int, int]], reach: int | Reach) -> DataFrame:
+    """The distinct voxels of ``voxels`` moved along the first two axes by every (di, dj, steps) of ``columns``, and for each of these along the
+    last axis by up to ``reach`` - steps; nothing where that is below zero.
+
+    Voxels that follow one another along the last axis are first gathered as bits of words, so a voxel's moves along it are shifts of
+    its word, what leaves a word goes to the next one, and the moves across are one row for a word, not for a voxel. Words of the
+    same place are merged before the shuffle. The reach must be less than the length of a word.
+    """
+    most = most_of(reach)
+    if not 0 <= most < 1 << WORD:
+        raise ValueError(f"a reach must lie in 0..{(1 << WORD) - 1}, not {most}")
     keys = [c for c in voxels.columns if c != "vox"]
-    return voxels.select(*keys, F.explode(F.transform(moves, lambda m: m + F.col("vox"))).alias("vox")).distinct()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("vox").bitwiseAND((1 << WORD) - 1).cast("int"))
+    words = voxels.groupBy(*keys, F.shiftright("vox", WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bits, nothing = F.col("bits"), F.lit(0).cast("long")
+    here, up, down = [bits], [nothing], [nothing]
+    for r in range(1, most + 1):
+        here.append(here[-1].bitwiseOR(F.shiftleft("bits", r)).bitwiseOR(F.shiftrightunsigned("bits", r)))
+        up.append(up[-1].bitwiseOR(F.shiftrightunsigned("bits", (1 << WORD) - r)))
+        down.append(down[-1].bitwiseOR(F.shiftleft("bits", (1 << WORD) - r)))
+    along = [F.struct((F.col("word") + by).alias("word"), F.array(*masks).alias("masks")) for by, masks in ((0, here), (1, up), (-1, down))]
+    rows = with_reach(words, reach).select(*keys, "reach", F.explode(F.array(*along)).alias("at")).filter(F.element_at("at.masks", -1) != 0)
+    across = F.array(*[F.struct(F.lit(v.step((di, dj, 0)) >> WORD).cast("long").alias("by"), F.lit(steps).alias("steps")) for di, dj, steps in columns])
+    rows = rows.select(*keys, "reach", "at", F.explode(across).alias("move")).filter("reach >= move.steps")
+    mask = F.element_at("at.masks", (F.col("reach") - F.col("move.steps") + 1).cast("int"))
+    rows = rows.select(*keys, (F.col("at.word") + F.col("move.by")).alias("word"), mask.alias("bits")).filter("bits <> 0")
+    merged = rows.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+    each = merged.select(*keys, "word", "bits", F.explode(F.array(*[F.lit(n) for n in range(1 << WORD)])).alias("n")).filter(F.getbit("bits", F.col("n")) == 1)
+    return each.select(*keys, (F.shiftleft("word", WORD) + F.col("n")).alias("vox"))
 
 
 def dilate(voxels: DataFrame, grids: DataFrame) -> DataFrame:
     """Every voxel and its 26 neighbours, kept inside the grid."""
-    return clip_to_grid(_spread(voxels, [(0, 0, 0)] + v.AROUND), grids)
+    return clip_to_grid(_spread(voxels, [(di, dj, 0) for di, dj in itertools.product((-1, 0, 1), repeat=2)], 1), grids)
 
 
 def dilate_faces(voxels: DataFrame, grids: DataFrame, times: int | Reach) -> DataFrame:
     """``times`` dilations by the six face neighbours at once: all voxels within that many steps."""
     most = most_of(times)
-    ball = [o for o in itertools.product(range(-most, most + 1), repeat=3) if sum(map(abs, o)) <= most]
-    if not isinstance(times, Reach):
-        return clip_to_grid(_spread(voxels, ball), grids)
-    moves = F.array(*[F.struct(F.lit(v.step(o)).cast("long").alias("by"), F.lit(sum(map(abs, o))).alias("steps")) for o in ball])
-    own = F.transform(F.filter(moves, lambda o: o["steps"] <= F.col("reach")), lambda o: o["by"] + F.col("vox"))
-    keys = [c for c in voxels.columns if c != "vox"]
-    return clip_to_grid(with_reach(voxels, times).select(*keys, F.explode(own).alias("vox")).distinct(), grids)
+    disc = [(di, dj, abs(di) + abs(dj)) for di, dj in itertools.product(range(-most, most + 1), repeat=2) if abs(di) + abs(dj) <= most]
+    return clip_to_grid(_spread(voxels, disc, times), grids)
 
 
 def _squared_distances(mask: np.ndarray, reach: int) -> np.ndarray:

@@ -76,3 +76,29 @@ def test_keys_sort_in_raster_order_and_never_borrow(spark):
     df = as_df(spark, [(0, 0, 0), (0, 1, 0), (1, 0, 0)], set_id="a")
     i, j, k = v.unpack(F.col("vox") + v.step((0, 0, -1)))
     assert [tuple(r) for r in df.orderBy("vox").select(i, j, k).collect()] == [(0, 0, -1), (0, 1, -1), (1, 0, -1)]
+
+
+@pytest.mark.parametrize("reach", [0, 1, 2, 3])
+def test_dilations_match_brute_force(spark, reach):
+    """Grids longer than a word along the last axis, voxels on word ends and grid faces, repeated rows, one set with a reach of its own."""
+    rng = np.random.default_rng(reach)
+    shape = (9, 8, 150)
+    cells = {"a": np.argwhere(rng.random(shape) < 0.01).tolist() + [[0, 0, 0], [8, 7, 149], [4, 4, 63], [4, 4, 64], [4, 4, 127], [4, 4, 128], [4, 4, 128]],
+             "b": np.argwhere(rng.random(shape) < 0.02).tolist()}
+    df = as_df(spark, cells["a"], set_id="a").unionByName(as_df(spark, cells["b"], set_id="b")).repartition(4)
+    grids = spark.createDataFrame([("a", list(shape)), ("b", list(shape))], "set_id string, shape array<int>")
+    inside = lambda p: all(0 <= c < n for c, n in zip(p, shape))
+
+    def moved(sets, offsets):
+        return sorted((s, *p) for s in sets for p in {tuple(a + b for a, b in zip(c, o)) for c in cells[s] for o in offsets[s]} if inside(p))
+
+    def rows(got):
+        return sorted((r[0], *r[1]) for r in got.select("set_id", F.array(*v.unpack(F.col("vox")))).collect())
+
+    ball = lambda most: [o for o in np.ndindex(*[2 * most + 1] * 3) if sum(abs(x - most) for x in o) <= most]
+    around = lambda most: [tuple(x - most for x in o) for o in ball(most)]
+    assert rows(vx.dilate_faces(df, grids, reach)) == moved("ab", {s: around(reach) for s in "ab"})
+    own = vx.Reach(spark.createDataFrame([("a", reach), ("b", 1)], "set_id string, reach int"), max(reach, 1))
+    assert rows(vx.dilate_faces(df, grids, own)) == moved("ab", {"a": around(reach), "b": around(1)})
+    if reach == 1:
+        assert rows(vx.dilate(df, grids)) == moved("ab", {s: [(0, 0, 0)] + v.AROUND for s in "ab"})
