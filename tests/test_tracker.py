@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from brute import Room
 from pyspark.sql import functions as F
 
@@ -181,3 +182,17 @@ def test_sets_of_different_tuning_go_through_one_run(spark):
         for n, lab in enumerate(want.labels):
             assert {tuple(r[2]): r[3] for r in labels if r[0] == name and r[1] == n} == lab, (name, n)
     assert len({r.set_id for r in objects}) == 2
+
+
+def test_blob_statistics_with_layers_and_without(spark):
+    """Medians against numpy: one height for a whole layer, all different in a layer, middle ranks on both sides of a layer's end, negative ones."""
+    rng = np.random.default_rng(5)
+    blobs = {1: rng.normal(0, 2, 501).tolist(), 2: [1.5, 2.5], 3: [0.25], 4: [7.0] * 40 + [8.0] * 40, 5: (3 + rng.random(300)).tolist(), 6: [-0.5, -0.25, 4.0, 4.5], 7: [2.0, 2.0, 2.25, 2.75, 9.0]}
+    rows = [(c, h, float(n), float(-n)) for c, hs in blobs.items() for n, h in enumerate(hs)]
+    got = tk.blob_stats(spark.createDataFrame(rows, "comp int, height_vox double, cx double, cy double").repartition(5), ["comp"], 1).collect()
+    assert len(got) == len(blobs)
+    for r in got:
+        h = np.array(blobs[r.comp])
+        assert (r.size, r.near_floor, r.max_height) == (len(h), int((abs(h) <= 1).sum()), h.max())
+        assert r.median_height == pytest.approx(np.median(h), abs=1e-12)
+        assert (r.cx, r.cy) == (pytest.approx((len(h) - 1) / 2), pytest.approx(-(len(h) - 1) / 2))
