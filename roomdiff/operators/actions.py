@@ -19,11 +19,22 @@ ID_CHUNK = 1 << 16       # ids one task compares at a time
 
 
 def append(log: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``fresh(session, ts, verb, detail, snap)`` numbered on from each session's last id."""
-    top = log.groupBy("session").agg(F.max("id").alias("top"))
-    w = Window.partitionBy("session").orderBy("ts", "verb")
-    rows = fresh.withColumn("n", F.row_number().over(w)).join(top, "session", "left")
-    return rows.withColumn("id", F.coalesce("top", F.lit(0)) + F.col("n")).select(*log.columns)
+    """``fresh(session, ts, verb, detail, snap)`` numbered on from each session's last id, in the order of time, verb and detail."""
+    return number(fresh, log.groupBy("session").agg(F.max("id").alias("top"))).select(*log.columns)
+
+
+def number(fresh: DataFrame, tops: DataFrame) -> DataFrame:
+    """``fresh`` with ``id``, counted on from ``tops(session, top)`` or from 1. Rows are sorted inside the hours of a session, and its hours are strung together by
+    their counts, so a session with most of the rows is not sorted in one task. Rows without a time come first."""
+    hour = F.coalesce(F.date_trunc("hour", "ts"), F.to_timestamp(F.lit("0001-01-01 00:00:00"))).alias("_hour")
+    rows = fresh.select("*", hour)
+    held = rows.groupBy(F.col("session").alias("_session"), F.col("_hour").alias("_of")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_session").orderBy("_of").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    held = held.withColumn("_before", before)
+    tops = tops.select(F.col("session").alias("_whose"), F.col("top").alias("_top"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("session", "_hour").orderBy("ts", "verb", "detail")))
+    rows = rows.join(held, rows["session"].eqNullSafe(held["_session"]) & (rows["_hour"] == held["_of"])).join(tops, rows["session"].eqNullSafe(tops["_whose"]), "left")
+    return rows.select(*[F.col(c) for c in fresh.columns], (F.coalesce("_top", F.lit(0)) + F.col("_before") + F.col("_nth")).cast("long").alias("id"))
 
 
 def runs(df: DataFrame, keys: list[str], order: str, chunk: Column, value: str, joined: Column | None = None) -> DataFrame:

@@ -1,16 +1,16 @@
-"""Zoom sessions and standing alerts over streams; each works the same on a batch."""
+"""Zoom sessions, the action log and standing alerts over streams; each works the same on a batch."""
 
 from __future__ import annotations
 
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roomdiff.functions.scalar import fixed
-from roomdiff.operators.actions import DOLLY_SETTLE_MS, MOTION_EPS_M, dolly_sessions
+from roomdiff.operators.actions import DOLLY_SETTLE_MS, MOTION_EPS_M, dolly_sessions, number
 
 
 ZOOM = "session string, started_us bigint, ended_us bigint, d0 double, d1 double, ticks bigint"
@@ -56,9 +56,37 @@ def zoom_sessions(moves: DataFrame, late: str = "10 seconds") -> DataFrame:
         "session", F.timestamp_micros("started_us").alias("started"), F.timestamp_micros("ended_us").alias("ts"), "d0", "d1", "ticks", text.alias("detail"))
 
 
-def append_actions(actions: DataFrame, path: str, checkpoint: str):
-    """The action log as a stream into a Parquet table."""
-    return actions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+class ActionLog:
+    """The action log as a stream's sink: ``rows`` with a partition for each batch, and ``heads``, the last id of each session that a batch touched.
+
+    A batch is numbered on from the heads of the batches before it and overwrites its own partitions, so a batch that runs again after a
+    failure, half written or whole, leaves what it would have left the first time. Each batch writes in the order of its own rows.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str = "session string, ts timestamp, verb string, detail string, snap string"):
+        self.spark, self.rows, self.heads, self.schema = spark, f"{folder}/rows", f"{folder}/heads", schema
+
+    def start(self, fresh: DataFrame, checkpoint: str, **trigger):
+        """Takes up the stream ``fresh(session, ts, verb, detail, snap)``."""
+        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        return fresh.select(*names).writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.take).trigger(**(trigger or {"availableNow": True})).start()
+
+    def take(self, batch: DataFrame, n: int) -> None:
+        """Appends the rows of batch ``n``."""
+        own = lambda df, path: (df.withColumn("batch", F.lit(n).cast("long")).write.partitionBy("batch").mode("overwrite")
+                                .option("partitionOverwriteMode", "dynamic").parquet(path))
+        spark = batch.sparkSession
+        if n == 0:
+            own(spark.createDataFrame([], "session string, top long"), self.heads)        # so that there is a folder to read
+        heads = spark.read.schema("session string, top long, batch long").parquet(self.heads).filter(F.col("batch") < n)
+        own(number(batch, heads.groupBy("session").agg(F.max("top").alias("top"))), self.rows)
+        mine = spark.read.schema("session string, id long, batch long").parquet(self.rows).filter(F.col("batch") == n)
+        own(mine.groupBy("session").agg(F.max("id").alias("top")), self.heads)
+
+    def read(self) -> DataFrame:
+        """(session, id, ts, verb, detail, snap) of all batches."""
+        rows = self.spark.read.schema(f"{self.schema}, id long, batch long").parquet(self.rows)
+        return rows.select("session", "id", *[c for c in rows.columns if c not in ("session", "id", "batch")])
 
 
 ALERT = "set_id string, root bigint, state int, before string, now string"

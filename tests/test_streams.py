@@ -104,3 +104,41 @@ def test_standing_alerts_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("alerts").collect())) == want
+
+
+def test_action_log_replayed_after_a_failure_equals_the_batch(spark, tmp_path):
+    """The stream ends in the middle of a batch (rows written, heads not) and starts again; a batch taken a second time changes nothing."""
+    start = dt.datetime(2026, 1, 1, 10)
+    cast = [(f"s{k % 3}" if k % 7 else None, start + dt.timedelta(minutes=7 * k), ("pan", "orbit")[k % 2], f"d{k}", None if k % 5 else "x") for k in range(60)]
+    cast.append(("s0", None, "pan", "no time", None))
+    log = sessions.ActionLog(spark, str(tmp_path / "log"))
+    df = spark.createDataFrame(cast, log.schema)
+    inbox, check, parts = str(tmp_path / "in"), str(tmp_path / "check"), (cast[:20] + cast[60:], cast[20:45], cast[45:60])
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(inbox)
+        if n == 1:
+            whole = log.take
+
+            def broken(batch, m):
+                whole(batch.limit(11), m)             # half of the batch is there when it fails
+                raise RuntimeError("lost")
+
+            log.take = broken
+            q = log.start(spark.readStream.schema(df.schema).parquet(inbox), check)
+            try:
+                q.awaitTermination()
+                raise AssertionError("should have ended")
+            except Exception as e:
+                assert "lost" in str(e)
+            log = sessions.ActionLog(spark, str(tmp_path / "log"))
+        log.start(spark.readStream.schema(df.schema).parquet(inbox), check).awaitTermination()
+    log.take(spark.createDataFrame(parts[1], df.schema), 1)
+    want, ids = [], {}
+    for part in parts:
+        for s, t, verb, d, snap in sorted(part, key=lambda r: (r[1] is not None, r[1] or start)):
+            ids[s] = ids.get(s, 0) + 1
+            want.append((s, ids[s], t, verb, d, snap))
+    got = [tuple(r) for r in log.read().select("session", "id", "ts", "verb", "detail", "snap").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    once = act.append(spark.createDataFrame([], "session string, id long, ts timestamp, verb string, detail string, snap string"), df.filter("ts is not null"))
+    assert {(r.session, r.id, r.detail) for r in once.collect()} == {(s, i, d) for s, i, _, _, d, _ in want if s != "s0"} | {("s0", i - 1, d) for s, i, t, _, d, _ in want if s == "s0" and t}
