@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from checks import mapped as m
 from checks.registry import query
 from checks.scene_queries import CHAIN
+from roomdiff.functions.stage import new_folder
 from roomdiff.operators import actions as act
 from roomdiff.operators import drafts as dr
 from roomdiff.operators import scene
+from roomdiff.streaming import sessions
 
 P = "WITH " + m.WORN + ", " + m.PUT
 WP = "WITH RECURSIVE " + CHAIN.rstrip() + ", " + m.PUT
@@ -218,3 +220,15 @@ def action_append(spark, sf):
     log = _snapped(spark, sf)
     more = act.append(log, log.drop("id"))
     return more.groupBy("session").agg(F.max("id").alias("id"), F.count_distinct("id").alias("n"))
+
+
+@query("action_stream", LOG + """ SELECT session, row_number() OVER (PARTITION BY session ORDER BY id % 3 <> 0, us, verb, detail) AS id, verb, detail FROM log""")
+def action_stream(spark, sf):
+    """The log as a stream in two runs: a third of the events first, then the others, numbered on from where each session stood."""
+    a = _snapped(spark, sf).select("session", "id", "ts", "verb", "detail", F.lit(None).cast("string").alias("snap"))
+    inbox, check = new_folder(spark, "inbox"), new_folder(spark, "check")
+    log = sessions.ActionLog(spark, new_folder(spark, "log"))
+    for part in ("id % 3 = 0", "id % 3 <> 0"):
+        a.filter(part).drop("id").write.mode("append").parquet(inbox)
+        log.start(spark.readStream.schema(a.drop("id").schema).parquet(inbox), check).awaitTermination()
+    return log.read().select("session", "id", "verb", "detail")
