@@ -146,8 +146,8 @@ def centred(state: DataFrame) -> DataFrame:
     rows = state.join(common, "g", "left").withColumn("common", F.coalesce("common", none))
     rows = written(rows.withColumn("items", F.concat(F.array_except("items", "common"), F.array_except("common", "items"))).drop("common"), "differences")
     each = rows.select(*keys, F.explode("items").alias("e"))
-    often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    lists = each.join(often, ["g", "e"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("kept"))
+    often = each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("g", "e"))).filter("k > 1")
+    lists = often.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("kept"))
     rows = rows.join(lists, keys, "left").withColumn("kept", F.coalesce(F.expr("transform(kept, x -> x.e)"), none))
     return rows.select(*keys, "comp", "size", (F.col("fixed") + F.size("items") - F.size("kept")).alias("fixed"), F.col("kept").alias("items"))
 

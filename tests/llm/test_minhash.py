@@ -155,3 +155,13 @@ def test_estimate_is_unbiased():
         match = 1 - differ / 250
         errors.append((match - 0.25) / 0.75 - 240 / 360)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_differences_are_counted_without_a_join(spark):
+    """What members of a group differ in, from the rarest to the commonest; the counting makes one row for each, no join."""
+    sets = {1: [1, 2, 3, 10], 2: [1, 2, 3, 10, 11], 3: [1, 2, 3, 11, 12], 4: [1, 2, 13], 5: [1, 2, 3]}
+    state = spark.createDataFrame([("g", n, n, n, len(s), 0, s) for n, s in sets.items()], "g string, node bigint, r bigint, comp bigint, size int, fixed int, items array<bigint>")
+    got = m.centred(state)
+    assert {r.node: (r.fixed, r["items"]) for r in got.collect()} == {1: (0, [10]), 2: (0, [10, 11]), 3: (1, [11]), 4: (2, []), 5: (0, [])}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and " e#" in line.replace("(", " ") for line in plan.splitlines())
