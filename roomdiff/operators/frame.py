@@ -17,6 +17,7 @@ SOLID = 0.35
 FLOOR_BIN_M, WALL_BIN_M = 0.01, 0.03
 TALL_M, SHORT_M, ENOUGH = (1.25, 1.9), 0.3, 500
 ROOM_PAD_M, CEILING_MIN_M = 0.25, 2.6
+COARSE = 1 << 14            # bins that a turn of the walls is first counted in
 # Fixed rotations taking each raw axis onto +y.
 UP = {"+y": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "-y": [[1, 0, 0], [0, -1, 0], [0, 0, -1]], "+z": [[1, 0, 0], [0, 0, 1], [0, -1, 0]],
       "-z": [[1, 0, 0], [0, 0, -1], [0, 1, 0]], "+x": [[0, 1, 0], [1, 0, 0], [0, 0, -1]], "-x": [[0, -1, 0], [-1, 0, 0], [0, 0, -1]]}
@@ -71,17 +72,30 @@ def level(points: DataFrame, floors: DataFrame, band: float = 0.04) -> DataFrame
     return n.select("set_id", _padded(rows).alias("m"), F.degrees(F.acos(s.clip(ny, F.lit(-1.0), F.lit(1.0)))).alias("tilt_deg"))
 
 
-def _swept(table: pa.Table, turns: np.ndarray) -> np.ndarray:
-    """Points x turns: where each point lies across z after each turn."""
-    x, z = (table.column(c).to_numpy()[:, None] for c in ("x", "z"))
-    return np.sin(turns) * x + np.cos(turns) * z
+def _placed(table: pa.Table, spans: list, turns: np.ndarray, most: int):
+    """For each turn, the bin of every point across z and the width of a coarse bin in bins; ``spans``: each turn's extent."""
+    x, z = (table.column(c).to_numpy() for c in ("x", "z"))
+    for turn, span in enumerate(spans):
+        bins = int(max(1, np.floor((span["hi"] - span["lo"]) / WALL_BIN_M)))
+        wide = span["hi"] - span["lo"] if span["hi"] > span["lo"] else 1.0
+        place = np.floor((np.sin(turns[turn]) * x + np.cos(turns[turn]) * z - span["lo"]) / wide * bins).astype(np.int64)
+        yield turn, np.clip(place, 0, bins - 1), -(-bins // most)
 
 
-def find_yaw(points: DataFrame, step: float = 0.25, chunk: int = 1 << 16) -> DataFrame:
+def _per_turn(name: str | None, parts: list) -> pa.Table:
+    """(set_id, turn, bin, n) of (turn, bins, counts)."""
+    columns = [[np.full(len(bins), turn) for turn, bins, _ in parts], *[[p[k] for p in parts] for k in (1, 2)]]
+    columns = [pa.array(np.concatenate([np.empty(0, np.int64), *c]), k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()))]
+    return pa.Table.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(columns[0])), *columns], names=["set_id", "turn", "bin", "n"])
+
+
+def find_yaw(points: DataFrame, step: float = 0.25, chunk: int = 1 << 20, most: int = COARSE) -> DataFrame:
     """(set_id, yaw_deg): the turn in 0..90° that stacks the tall points into the thinnest slab across z, the smallest on ties.
 
-    A task turns the points of an Arrow batch, or of ``chunk`` points of a set, through all angles at once: the first pass sends each angle's
-    extent, the second its histogram, and these are merged by set and angle. No point becomes a row for each angle."""
+    A task turns the points of an Arrow batch, or of ``chunk`` points of a set, through all angles: the first pass sends each angle's
+    extent, the second its histogram, and these are merged by set and angle. No point becomes a row for each angle. A histogram has at most
+    ``most`` bins, whatever a room's width. Where the true bins are finer, coarse ones bound them from above: the angle with the fullest is
+    counted finely, and after it only those coarse bins that hold as many points as the best bin so far."""
     y = F.col("y")
     n_tall = points.groupBy("set_id").agg(F.count_if((y > TALL_M[0]) & (y < TALL_M[1])).alias("n_tall"))
     tall = points.join(n_tall, "set_id").filter(F.when(F.col("n_tall") >= ENOUGH, (y > TALL_M[0]) & (y < TALL_M[1])).otherwise(y > SHORT_M))
@@ -93,42 +107,61 @@ def find_yaw(points: DataFrame, step: float = 0.25, chunk: int = 1 << 16) -> Dat
             table = pa.Table.from_batches([batch])
             for key in pc.unique(table.column("set_id")):
                 part = table.filter(pc.equal(table.column("set_id"), key))
-                low = high = None
-                for at in range(0, part.num_rows, 4096):
-                    swept = _swept(part.slice(at, 4096), turns)
-                    low = swept.min(axis=0) if low is None else np.minimum(low, swept.min(axis=0))
-                    high = swept.max(axis=0) if high is None else np.maximum(high, swept.max(axis=0))
+                x, z = (part.column(c).to_numpy() for c in ("x", "z"))
+                swept = [(s.min(), s.max()) for s in (np.sin(t) * x + np.cos(t) * z for t in turns)]
+                low, high = np.array(swept).T
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(turns), pa.string()), pa.array(np.arange(len(turns), dtype=np.int32)), pa.array(low), pa.array(high)],
                                                  names=["set_id", "turn", "lo", "hi"])
 
     span = tall.mapInArrow(extents, "set_id string, turn int, lo double, hi double").groupBy("set_id", "turn").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    span = span.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("turn", "lo", "hi"))).alias("spans"))
-    parts = tall.groupBy("set_id").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("parts"))
-    span = written(span.join(parts, "set_id"), "span")
-    dealt = tall.join(span.select("set_id", "parts"), "set_id").withColumn("part", F.pmod(F.xxhash64("x", "z"), F.col("parts"))).drop("parts")
-
-    def histograms(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows:
-            spans = right.column("spans")[0].as_py()
-            low, high = (np.array([e[c] for e in spans]) for c in ("lo", "hi"))
-            bins = np.maximum(1, np.floor((high - low) / WALL_BIN_M)).astype(np.int64)
-            first = np.cumsum(bins) - bins
-            counts = np.zeros(int(bins.sum()), np.int64)
-            wide = np.where(high > low, high - low, 1.0)
-            for at in range(0, left.num_rows, 4096):
-                place = np.floor((_swept(left.slice(at, 4096), turns) - low) / wide * bins).astype(np.int64)
-                counts += np.bincount((np.clip(place, 0, bins - 1) + first).ravel(), minlength=len(counts))
-            some = np.flatnonzero(counts)
-            turn = np.searchsorted(first, some, side="right") - 1
-            out = [[right.column("set_id")[0].as_py()] * len(some), turn, some - first[turn], counts[some]]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out or [[]] * 4, kinds)], names=["set_id", "turn", "bin", "n"])
-
-    each = span.select("set_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "spans")
-    counts = dealt.groupBy("set_id", "part").cogroup(each.groupBy("set_id", "part")).applyInArrow(histograms, "set_id string, turn int, bin bigint, n bigint")
-    most = counts.groupBy("set_id", "turn", "bin").agg(F.sum("n").alias("n")).groupBy("set_id", "turn").agg(F.max("n").alias("n"))
-    return stats.top_bin(most, K, "n", [F.asc("turn")]).select("set_id", (F.col("turn") * step).alias("yaw_deg"))
+    span = written(span, "turns")
+    spans = span.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("turn", "lo", "hi"))).alias("spans"))
+    spans = written(spans.join(tall.groupBy("set_id").agg(F.count(F.lit(1)).alias("tall")), "set_id"), "span")
+
+    def counted(sets: DataFrame, of: int, count) -> DataFrame:
+        """(set_id, turn, bin, n) by ``count(points, row of sets)`` over parts of about ``of`` points."""
+        sets = sets.withColumn("parts", F.expr(f"tall div {of} + 1"))
+        dealt = tall.join(sets.select("set_id", "parts"), "set_id").withColumn("part", F.pmod(F.xxhash64("x", "z"), F.col("parts"))).drop("parts")
+        each = sets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts", "tall")
+        got = dealt.groupBy("set_id", "part").cogroup(each.groupBy("set_id", "part")).applyInArrow(count, "set_id string, turn int, bin bigint, n bigint")
+        return got.groupBy("set_id", "turn", "bin").agg(F.sum("n").alias("n"))
+
+    def coarse(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _per_turn(None, [])
+        parts = []
+        for turn, place, width in _placed(left, right.column("spans")[0].as_py(), turns, most):
+            n = np.bincount(place // width)
+            parts.append((turn, np.flatnonzero(n), n[n > 0]))
+        return _per_turn(right.column("set_id")[0].as_py(), parts)
+
+    def fine(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _per_turn(None, [])
+        turn_of, bin_of = np.divmod(pc.list_flatten(right.column("asked")).to_numpy(), most)
+        parts = []
+        for turn, place, width in _placed(left, right.column("spans")[0].as_py(), turns, most):
+            wanted = np.zeros(most, bool)
+            wanted[bin_of[turn_of == turn]] = True
+            parts.append((turn, *np.unique(place[wanted[place // width]], return_counts=True)))
+        return _per_turn(right.column("set_id")[0].as_py(), parts)
+
+    def refined(asked: DataFrame) -> DataFrame:
+        """(set_id, turn, n): the fullest bin of each turn in the coarse bins ``asked(set_id, turn, bin)``."""
+        codes = asked.groupBy("set_id").agg(F.collect_list(F.col("turn").cast("bigint") * most + F.col("bin")).alias("asked"))
+        return written(counted(spans.join(codes, "set_id"), max(1, chunk >> 4), fine).groupBy("set_id", "turn").agg(F.max("n").alias("n")), "fine")
+
+    counts = written(counted(spans, chunk, coarse), "bins")
+    is_fine = F.floor((F.col("hi") - F.col("lo")) / WALL_BIN_M) <= most
+    top = written(counts.groupBy("set_id", "turn").agg(F.max("n").alias("n")).join(span.select("set_id", "turn", is_fine.alias("fine")), ["set_id", "turn"]), "top")
+    exact, wide = top.filter("fine").drop("fine"), top.filter("not fine").drop("fine")
+    if not wide.isEmpty():
+        fullest = stats.top_bin(wide, K, "n", [F.asc("turn")]).select("set_id", "turn")
+        exact = exact.unionByName(refined(counts.join(fullest, ["set_id", "turn"], "left_semi")))
+        least = exact.groupBy("set_id").agg(F.max("n").alias("least"))
+        left = counts.join(wide.select("set_id", "turn"), ["set_id", "turn"], "left_semi").join(fullest, ["set_id", "turn"], "left_anti")
+        exact = exact.unionByName(refined(left.join(least, "set_id").filter(F.col("n") >= F.col("least"))))
+    return stats.top_bin(exact, K, "n", [F.asc("turn")]).select("set_id", (F.col("turn") * step).alias("yaw_deg"))
 
 
 def under(points: DataFrame, matrices: DataFrame) -> DataFrame:

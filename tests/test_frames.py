@@ -85,3 +85,29 @@ def test_the_pyramid_finds_every_nearest_point():
         ok = best <= radius ** 2
         assert np.allclose(d2[ok], best[ok]) and (at[~ok] == -1).all() and np.isinf(d2[~ok]).all()
         assert (at[ok] == want.argmin(axis=1)[ok]).all() if m else True
+
+
+def brute_yaw(x, z, step=0.25):
+    most = []
+    for t in np.radians(np.arange(round(90 / step)) * step):
+        across = np.sin(t) * x + np.cos(t) * z
+        lo, hi = across.min(), across.max()
+        bins = int(max(1, np.floor((hi - lo) / frame.WALL_BIN_M)))
+        at = np.clip(np.floor((across - lo) / (hi - lo) * bins).astype(np.int64), 0, bins - 1)
+        most.append(np.unique(at, return_counts=True)[1].max())
+    return int(np.argmax(most)) * step
+
+
+@pytest.mark.parametrize("coarse, chunk, wide", [(8, 64, 6.0), (frame.COARSE, 1 << 20, 2e7), (frame.COARSE, 1 << 20, 6.0)])
+def test_yaw_of_rooms_of_any_width(spark, coarse, chunk, wide):
+    """A histogram of all bins of a room 20 000 km wide would need terabytes."""
+    rng = np.random.default_rng(21)
+    rows, want = [], {}
+    for name, a in (("a", 0.31), ("b", 1.2)):
+        x, z = rng.uniform(0, wide, 400), rng.uniform(0, 4, 400)
+        z[:150] = np.round(z[:150])                                    # walls
+        x, z = np.cos(a) * x - np.sin(a) * z, np.sin(a) * x + np.cos(a) * z
+        rows += [(name, float(p), 1.5, float(q)) for p, q in zip(x, z)]
+        want[name] = brute_yaw(x, z)
+    got = frame.find_yaw(spark.createDataFrame(rows, "set_id string, x double, y double, z double").repartition(3), chunk=chunk, most=coarse)
+    assert {r.set_id: r.yaw_deg for r in got.collect()} == want
