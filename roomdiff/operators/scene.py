@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -395,18 +398,55 @@ def number_copies(put: DataFrame, objects: DataFrame) -> DataFrame:
         "label", F.when(F.col("copies") > 1, F.concat_ws(" ", F.col("name"), F.col("copy").cast("string"))).otherwise(F.col("name")))
 
 
+MOST_POINTS = 1 << 16        # points of a floor tile that share a task
+
+
+def _first_inside(points: np.ndarray, boxes: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """For each of ``points`` (x, z) the place of the first of ``boxes`` (x0, x1, z0, z1) it lies in, -1 where there is none. Boxes are taken in
+    blocks, and a point that has found one is not looked at again; ``most`` bounds the pairs compared at once."""
+    out, todo, at = np.full(len(points), -1), np.arange(len(points)), 0
+    while at < len(boxes) and len(todo):
+        x0, x1, z0, z1 = boxes[at:at + min(64, max(1, most // len(todo)))].T
+        x, z = points[todo, :1], points[todo, 1:]
+        inside = (x >= x0) & (x <= x1) & (z >= z0) & (z <= z1)
+        hit = inside.any(axis=1)
+        out[todo[hit]] = at + inside[hit].argmax(axis=1)
+        todo, at = todo[~hit], at + len(x0)
+    return out
+
+
 def smallest_mark_at(points: DataFrame, marks: DataFrame, cell_m: float = 1.0) -> DataFrame:
-    """``points(set_id, point, x, z)`` with the smallest pickable footprint each lies in (null when none).
+    """``points(set_id, point, x, z)`` with the smallest pickable footprint each lies in (null when none), the lowest id of equal ones.
 
-    Footprints are cut into floor tiles and met by equality on the tile, so a point sees only the footprints near it.
+    Footprints are cut into floor tiles. A task holds a tile's footprints, smallest first, and up to about ``MOST_POINTS`` of its points: a point is
+    done at the first footprint it lies in, and one row for a point leaves the task, so nothing grows with the pairs of points and footprints.
     """
     lo = lambda axis, shift: F.col("bbox")["lo"][axis] + F.col(shift)
     hi = lambda axis, shift: F.col("bbox")["hi"][axis] + F.col(shift)
-    flat = marks.filter("pickable").select("set_id", "id", lo(0, "shift_x").alias("x0"), hi(0, "shift_x").alias("x1"), lo(2, "shift_z").alias("z0"), hi(2, "shift_z").alias("z1"))
+    flat = marks.filter("pickable").select("set_id", "id", *[c.cast("double").alias(n) for c, n in (
+        (lo(0, "shift_x"), "x0"), (hi(0, "shift_x"), "x1"), (lo(2, "shift_z"), "z0"), (hi(2, "shift_z"), "z1"))])
     tile = lambda c: F.floor(c / cell_m)
     tiles = (flat.withColumn("tx", F.explode(F.sequence(tile(F.col("x0")), tile(F.col("x1")))))
-             .withColumn("tz", F.explode(F.sequence(tile(F.col("z0")), tile(F.col("z1"))))))
-    near = points.withColumn("tx", tile(F.col("x"))).withColumn("tz", tile(F.col("z"))).join(tiles, ["set_id", "tx", "tz"], "left")
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("z").between(F.col("z0"), F.col("z1"))
-    area = F.when(inside, F.struct(((F.col("x1") - F.col("x0")) * (F.col("z1") - F.col("z0"))).alias("area"), "id"))
-    return near.groupBy("set_id", "point").agg(F.min(area)["id"].alias("id"))
+             .withColumn("tz", F.explode(F.sequence(tile(F.col("z0")), tile(F.col("z1"))))).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("z1") - F.col("z0"))))
+    spots = points.select("set_id", "point", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"), tile(F.col("x")).alias("tx"), tile(F.col("z")).alias("tz"))
+    spot = ["set_id", "tx", "tz"]
+    parts = spots.groupBy(*spot).agg(F.expr(f"count(1) div {MOST_POINTS} + 1").alias("parts")).join(tiles.select(*spot).distinct(), spot, "left_semi")
+    parts = written(parts, "parts")
+    dealt = spots.join(parts, spot).withColumn("part", F.pmod(F.xxhash64("point", "x", "z"), F.col("parts")))
+    copies = tiles.join(parts, spot).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    kinds = {"set_id": points.schema["set_id"].dataType, "point": points.schema["point"].dataType, "area": "double", "id": marks.schema["id"].dataType}
+    schema = ", ".join(f"{n} {k if isinstance(k, str) else k.simpleString()}" for n, k in kinds.items())
+
+    def smallest(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, sort_keys=[("area", "ascending"), ("id", "ascending")], null_placement="at_start"))
+        columns = lambda t, names: np.stack([t.column(n).to_numpy() for n in names], axis=1)
+        at = _first_inside(columns(left, ("x", "z")), columns(right, ("x0", "x1", "z0", "z1")))
+        found, mark = left.filter(pa.array(at >= 0)), right.take(pa.array(at[at >= 0]))
+        return pa.table({"set_id": found.column("set_id"), "point": found.column("point"), "area": mark.column("area"), "id": mark.column("id")})
+
+    group = [*spot, "part"]
+    hits = dealt.select(*group, "point", "x", "z").groupBy(*group).cogroup(copies.select(*group, "id", "x0", "x1", "z0", "z1", "area").groupBy(*group)).applyInArrow(smallest, schema)
+    best = F.struct("area", "id")
+    none = points.select("set_id", "point", F.lit(None).cast(f"struct<area: double, id: {marks.schema['id'].dataType.simpleString()}>").alias("best"))
+    every = none.unionByName(hits.select("set_id", "point", best.alias("best")))
+    return every.groupBy("set_id", "point").agg(F.min("best")["id"].alias("id"))

@@ -139,3 +139,22 @@ def test_an_object_replaced_in_the_hand_frees_its_slot(spark):
     e = [("pick", 1, 7), ("pick", 2, 8), ("place", 2, 8)] + [x for k in range(3, 7) for x in (("pick", k, 7), ("place", k, 7))] + [("pick", 7, 7), ("place", 7, 7)]
     df = spark.createDataFrame([("a", 1, n, v, k, i, float(n), 0.0) for n, (v, k, i) in enumerate(e)], "set_id string, draft int, seq int, verb string, key bigint, id bigint, x double, z double")
     assert {(r.id, r.key) for r in dr.replay(df).collect()} == {(8, 2), (7, 3), (7, 4), (7, 5), (7, 6)}      # the fifth copy of 7 is one too many
+
+
+def test_the_smallest_mark_without_pairs(spark, monkeypatch):
+    """Crowded tiles: a point meets footprints inside a task, no join makes a row for each pair."""
+    import numpy as np
+    monkeypatch.setattr(scene, "MOST_POINTS", 64)
+    rng = np.random.default_rng(4)
+    boxes = [(str(n % 2), n, float(x), float(z), float(x + w), float(z + d)) for n, (x, z, w, d) in enumerate(zip(*rng.uniform(0, 1.8, (2, 300)), *np.round(rng.uniform(0.05, 0.4, (2, 300)), 1)))]
+    spots = [(str(n % 3), n // 2, float(x), float(z)) for n, (x, z) in enumerate(rng.uniform(0, 2, (400, 2)))] + [("0", None, 0.5, 0.5), (None, 7, 0.5, 0.5), ("1", 999, None, 0.5)]
+    marks = spark.createDataFrame(boxes, "set_id string, id bigint, x0 double, z0 double, x1 double, z1 double").select(
+        "set_id", "id", F.struct(F.array("x0", F.lit(0.0), "z0").alias("lo"), F.array("x1", F.lit(1.0), "z1").alias("hi")).alias("bbox"), F.lit(True).alias("pickable"), F.lit(0.0).alias("shift_x"), F.lit(0.0).alias("shift_z"))
+    want = {}
+    for s, p, x, z in spots:
+        hit = [((b[4] - b[2]) * (b[5] - b[3]), b[1]) for b in boxes if b[0] == s and x is not None and b[2] <= x <= b[4] and b[3] <= z <= b[5]]
+        want.setdefault((s, p), []).extend(hit)
+    out = scene.smallest_mark_at(spark.createDataFrame(spots, "set_id string, point bigint, x double, z double"), marks)
+    assert {(r.set_id, r.point): r.id for r in out.collect()} == {k: min(h)[1] if h else None for k, h in want.items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and not any("Join" in line and "x0" in line for line in plan.splitlines())
