@@ -102,3 +102,18 @@ def test_dilations_match_brute_force(spark, reach):
     assert rows(vx.dilate_faces(df, grids, own)) == moved("ab", {"a": around(reach), "b": around(1)})
     if reach == 1:
         assert rows(vx.dilate(df, grids)) == moved("ab", {s: [(0, 0, 0)] + v.AROUND for s in "ab"})
+
+
+def test_distances_and_components_across_cubes(spark):
+    """Small cubes asked for are not worked on one by one, and nothing is lost at the seams of those that are."""
+    assert vx.cube_bits(3, 2) == vx.BLOCK_BITS and vx.cube_bits(6, 2) == 6 and vx.cube_bits(3, 100) == 7
+    rng = np.random.default_rng(8)
+    mask, ask = (np.unique(rng.integers(0, (100, 70, 5), (n, 3)), axis=0) for n in (300, 900))
+    got = vx.distances(as_df(spark, ask, set_id="a"), as_df(spark, mask, set_id="a"), 4, bits=3)
+    rows = {tuple(p): d for p, d in got.select(F.array(*v.unpack(F.col("vox"))), "d2").collect()}
+    for p in ask:
+        d2 = int(((mask - p) ** 2).sum(axis=1).min())
+        assert rows[tuple(p.tolist())] == (d2 if d2 <= 16 else None)
+    line = np.argwhere(rng.random((90, 3, 2)) < 0.4)
+    found = cc.components(as_df(spark, line, set_id="a")).select(F.array(*v.unpack(F.col("vox"))), F.array(*v.unpack(F.col("comp")))).collect()
+    assert {tuple(x): tuple(y) for x, y in found} == brute_components(map(tuple, line.tolist()))
