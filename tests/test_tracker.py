@@ -196,3 +196,25 @@ def test_blob_statistics_with_layers_and_without(spark):
         assert (r.size, r.near_floor, r.max_height) == (len(h), int((abs(h) <= 1).sum()), h.max())
         assert r.median_height == pytest.approx(np.median(h), abs=1e-12)
         assert (r.cx, r.cy) == (pytest.approx((len(h) - 1) / 2), pytest.approx(-(len(h) - 1) / 2))
+
+
+def test_tied_sizes_are_paired_in_few_rounds(spark, monkeypatch):
+    """Forty objects midway between two sizes: one pair a round would take forty rounds."""
+    rng = np.random.default_rng(5)
+    ids = [int(i) for i in rng.permutation(200)]
+    closed = [("a", 1, ids.pop(), 100) for _ in range(40)] + [("b", 1, ids.pop(), s) for s in (80, 120) for _ in range(20)]
+    opened = [("a", 1, ids.pop(), s) for s in (90, 110) for _ in range(20)] + [("b", 1, ids.pop(), 96) for _ in range(40)]
+    want = set()
+    for case in "ab":
+        used = set()
+        pairs = [(abs(o[3] - c[3]) / c[3], c[2], o[2]) for c in closed for o in opened if c[0] == o[0] == case and abs(o[3] - c[3]) <= 0.3 * c[3]]
+        for _, i, n in sorted(pairs):
+            if i not in used and n not in used:
+                used |= {i, n}
+                want.add((case, i, n))
+    rounds = []
+    monkeypatch.setattr(tk, "written", lambda df, name, real=tk.written: (rounds.append(name), real(df, name))[1])
+    schema = "set_id string, step int, id bigint, voxels bigint"
+    got = tk.match_moves(spark.createDataFrame(closed, schema), spark.createDataFrame(opened, schema))
+    assert {(r.set_id, r.moved_from, r.moved_to) for r in got.collect()} == want
+    assert len(rounds) < 20
