@@ -112,6 +112,22 @@ def target_cubes(target: DataFrame, keys: list[str], batches: DataFrame) -> Data
     return rows.select(*keys, F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "c0", "c1", "c2", *XYZ)
 
 
+def _targets(table: pa.Table) -> np.ndarray:
+    target = np.stack([table.column(c).to_numpy() for c in XYZ], axis=1).astype(float)
+    return target[np.lexsort(target.T)]
+
+
+def _match(target: np.ndarray, at: np.ndarray, own: np.ndarray, cell: float, radius: float) -> np.ndarray:
+    """For each point, which is ``at`` under the estimate and ``own`` as captured: whether it has a target nearer than ``radius``, the squared distance,
+    and what a fit sums up."""
+    d2, hit = nearest_within(at, target, cell, radius)
+    ok = d2 < radius ** 2
+    d = np.zeros((len(own), 3))
+    d[ok] = target[hit[ok]]
+    one = ok.astype(float)[:, None]
+    return np.hstack([one, np.where(ok, d2, 0)[:, None], own * one, d, (d[:, :, None] * own[:, None, :]).reshape(-1, 9) * one, (own ** 2).sum(1)[:, None] * one])
+
+
 def match_sums(moved: DataFrame, cubes: DataFrame, join_on: list[str], keys: list[str]) -> DataFrame:
     """Sums a similarity fit needs, per key, over source points with a target nearer than ``radius``. ``moved`` carries px, py, pz (as captured),
     x, y, z (under the current estimate), cell, radius and batch, and ``cubes`` comes from ``target_cubes``. A task holds one cube's points,
@@ -125,16 +141,9 @@ def match_sums(moved: DataFrame, cubes: DataFrame, join_on: list[str], keys: lis
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", " + ", ".join(f"{n} {'bigint' if n == 'total' else 'double'}" for n in names)
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        take = lambda t, cols: np.stack([t.column(c).to_numpy() for c in cols], axis=1).astype(float)
-        target = take(right, XYZ)
-        target = target[np.lexsort(target.T)]
-        held = left.to_pandas()
-        d2, hit = nearest_within(held[list(XYZ)].to_numpy(float), target, float(held["cell"].iloc[0]) if len(held) else 1.0, float(held["radius"].iloc[0]) if len(held) else 1.0)
-        ok = d2 < held["radius"].to_numpy(float) ** 2
-        s, d = held[[f"p{c}" for c in XYZ]].to_numpy(float), np.zeros((len(held), 3))
-        d[ok] = target[hit[ok]]
-        one = ok.astype(float)[:, None]
-        parts = np.hstack([one, np.where(ok, d2, 0)[:, None], s * one, d, (d[:, :, None] * s[:, None, :]).reshape(-1, 9) * one, (s ** 2).sum(1)[:, None] * one])
+        target, held = _targets(right), left.to_pandas()
+        cell, radius = (float(held[c].iloc[0]) if len(held) else 1.0 for c in ("cell", "radius"))
+        parts = _match(target, held[list(XYZ)].to_numpy(float), held[[f"p{c}" for c in XYZ]].to_numpy(float), cell, radius)
         sums = held[keys].assign(total=1, **dict(zip(names[1:], parts.T))).groupby(keys, sort=False, as_index=False).sum()
         return pa.Table.from_pandas(sums[[*keys, *names]], schema=wanted, preserve_index=False)
 
@@ -154,6 +163,50 @@ def batched(clouds: DataFrame, join_on: list[str], keys: list[str]) -> tuple[Dat
     return rows, rows.groupBy(*join_on).agg((F.max("batch") + 1).alias("batches"))
 
 
+WHOLE = 1 << 18             # points of a moving cloud and of its targets, together, that one task may hold through all steps
+STILL = 1e-6                # a score that moves by no more is still
+
+
+def settle(target: np.ndarray, own: np.ndarray, m: np.ndarray, cell: float, radii: list[float], steps: int) -> tuple[np.ndarray, float, float]:
+    """(matrix, share of points matched, root mean square distance) of one cloud, fitted at each radius until its score is still or nothing fits, at
+    most ``steps`` times. The score is taken at the final matrix and the last radius."""
+    at = lambda m: own @ m[:3, :3].T + m[:3, 3]
+    for radius in radii:
+        before = None
+        for _ in range(steps):
+            a = _match(target, at(m), own, cell, radius).sum(axis=0)
+            found, ok = _similarities(np.delete(a, 1)[None])
+            if not ok[0]:
+                break
+            now = np.array([a[0] / len(own), np.sqrt(a[1] / a[0])])
+            m, still = found[0], before is not None and (np.abs(now - before) <= STILL).all()
+            if still:
+                break
+            before = now
+    a = _match(target, at(m), own, cell, radii[-1])[:, :2].sum(axis=0)
+    return m, a[0] / len(own), np.sqrt(a[1] / max(a[0], 1))
+
+
+def settle_whole(source: DataFrame, target: DataFrame, starts: DataFrame, join_on: list[str], keys: list[str], cell: float, radii: list[float], steps: int) -> DataFrame:
+    """(keys, m, fitness, rmse): ``settle`` for each of ``starts(keys, m)``, one cloud and its targets to a group. For clouds of at most ``WHOLE`` points, which
+    the caller sees to; ``match_sums`` takes those of any size, a step at a time."""
+    spread = 4 * source.sparkSession.sparkContext.defaultParallelism
+    fields = {f.name: f.dataType.simpleString() for f in starts.schema}
+    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", m array<array<double>>, fitness double, rmse double"
+    wanted = pa.schema([*[(k, _arrow(fields[k])) for k in keys], ("m", pa.list_(pa.list_(pa.float64()))), ("fitness", pa.float64()), ("rmse", pa.float64())])
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return wanted.empty_table()
+        own = np.stack([left.column(f"p{c}").to_numpy() for c in XYZ], axis=1).astype(float)
+        m, fitness, rmse = settle(_targets(right), own, np.array(left.column("m")[0].as_py(), float), cell, radii, steps)
+        return pa.Table.from_pylist([{**{k: left.column(k)[0].as_py() for k in keys}, "m": m.tolist(), "fitness": float(fitness), "rmse": float(rmse)}], schema=wanted)
+
+    rows = source.join(starts, [k for k in keys if k in source.columns]).select(*keys, *[f"p{c}" for c in XYZ], "m")
+    targets = target.select(*join_on, *XYZ).join(starts.select(*keys), join_on).select(*[F.col(c).alias(c) for c in [*keys, *XYZ]])
+    return rows.repartition(spread, *keys).groupBy(*keys).cogroup(targets.repartition(spread, *keys).groupBy(*keys)).applyInArrow(solve, schema)
+
+
 def pair_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """The same sums over given pairs (x, y, z) -> (tx, ty, tz)."""
     s, d = F.col, (lambda c: F.col(f"t{c}"))
@@ -161,6 +214,24 @@ def pair_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
                                     *[F.sum(d(a) * s(b)).alias(f"{a}{b}") for a in XYZ for b in XYZ], F.sum(s("x") ** 2 + s("y") ** 2 + s("z") ** 2).alias("ss"))
 
 
+def _similarities(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrices, whether there is one) for rows of ``SUMS``."""
+    n = np.maximum(a[:, 0], 1)[:, None]
+    ms, md = a[:, 1:4] / n, a[:, 4:7] / n
+    cov = a[:, 7:16].reshape(-1, 3, 3) / n[:, :, None] - md[:, :, None] * ms[:, None, :]
+    var = a[:, 16] / n[:, 0] - (ms ** 2).sum(1)
+    ok = (a[:, 0] >= 3) & (var > 0) & np.isfinite(a).all(1)
+    u, sig, vt = np.linalg.svd(np.where(ok[:, None, None], cov, np.eye(3)))
+    flip = np.ones_like(sig)
+    flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    rot = (u * flip[:, None, :]) @ vt
+    scale = (sig * flip).sum(1) / np.where(ok, var, 1)
+    lin = scale[:, None, None] * rot
+    m = np.tile(np.eye(4), (len(a), 1, 1))
+    m[:, :3, :3], m[:, :3, 3] = lin, md - np.einsum("nij,nj->ni", lin, ms)
+    return m, ok
+
+
 def fit_similarity(sums: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and ``m``: the least-squares similarity (Umeyama 1991) taking sources to targets, from one row of sums per cloud; null
     under three pairs."""
@@ -169,20 +240,7 @@ def fit_similarity(sums: DataFrame, keep: list[str]) -> DataFrame:
 
     def solve(frames):
         for pdf in frames:
-            a = pdf[SUMS].to_numpy(float)
-            n = np.maximum(a[:, 0], 1)[:, None]
-            ms, md = a[:, 1:4] / n, a[:, 4:7] / n
-            cov = a[:, 7:16].reshape(-1, 3, 3) / n[:, :, None] - md[:, :, None] * ms[:, None, :]
-            var = a[:, 16] / n[:, 0] - (ms ** 2).sum(1)
-            ok = (a[:, 0] >= 3) & (var > 0) & np.isfinite(a).all(1)
-            u, sig, vt = np.linalg.svd(np.where(ok[:, None, None], cov, np.eye(3)))
-            flip = np.ones_like(sig)
-            flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
-            rot = (u * flip[:, None, :]) @ vt
-            scale = (sig * flip).sum(1) / np.where(ok, var, 1)
-            lin = scale[:, None, None] * rot
-            m = np.tile(np.eye(4), (len(a), 1, 1))
-            m[:, :3, :3], m[:, :3, 3] = lin, md - np.einsum("nij,nj->ni", lin, ms)
+            m, ok = _similarities(pdf[SUMS].to_numpy(float))
             yield pdf[keep].assign(m=[[list(map(float, r)) for r in x] if good else None for x, good in zip(m, ok)])
 
     return sums.mapInPandas(solve, schema)

@@ -148,31 +148,48 @@ def score_candidates(source: DataFrame, reference: DataFrame, steps: int = CANDI
     ``source(set_id, state, x, y, z)`` and ``reference(set_id, x, y, z)`` are in their unit frames, with one point in a cell."""
     keys = [*S, "cand"]
     starts = F.array(*[g.matrix(m) for m in box_symmetries()])
-    est = written(source.select(*S).distinct().select(*S, F.posexplode(starts).alias("cand", "m")), "est")
-    batch, batches = (written(x, "batch") for x in cl.batched(est, ["set_id"], keys))
-    sized = lambda df, r: df.withColumn("cell", F.lit(CANDIDATE_CELL)).withColumn("radius", F.lit(float(r)))
+    n_targets = reference.groupBy("set_id").agg(F.count("*").alias("n_targets"))
+    sizes = source.groupBy(*S).agg(F.count("*").alias("n")).join(n_targets, "set_id", "left").select(*S, (F.col("n") + F.coalesce("n_targets", F.lit(0)) <= cl.WHOLE).alias("whole"))
+    est = written(sizes.select(*S, "whole", F.posexplode(starts).alias("cand", "m")), "est")
     src = source.select(*S, *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    for scale in (4, 2, 1):
-        r = CANDIDATE_RADIUS * scale
+    radii = [CANDIDATE_RADIUS * scale for scale in (4.0, 2.0, 1.0)]
+    # A cloud that one task can hold is fitted there through all steps; a larger one is dealt out to cubes at each step.
+    scores = cl.settle_whole(src, reference, est.filter("whole").select(*keys, "m"), ["set_id"], keys, CANDIDATE_CELL, radii, steps)
+    large = est.filter("not whole").select(*keys, "m")
+    if not large.isEmpty():
+        scores = scores.unionByName(_score_by_cubes(src, reference, large, radii, steps))
+    return written(scores, "scores")
+
+
+def _score_by_cubes(src: DataFrame, reference: DataFrame, est: DataFrame, radii: list[float], steps: int) -> DataFrame:
+    """``cl.settle`` for clouds of any size: a step is one pass over the points of all clouds that still move."""
+    keys = [*S, "cand"]
+    batch, batches = (written(x, "batch") for x in cl.batched(est, ["set_id"], keys))
+    est = written(est.join(batch, keys), "est")
+    own = [*keys, "batch"]
+    sized = lambda df, r: df.withColumn("cell", F.lit(CANDIDATE_CELL)).withColumn("radius", F.lit(r))
+    rms = F.sqrt(F.try_divide("err", "n"))
+    for r in radii:
         cubes = written(cl.target_cubes(sized(reference, r), ["set_id"], batches), "cubes")
         # Starts whose score no longer moves drop out, so that a step has only those that still do.
-        active = est.select(*keys, "m", *(F.lit(None).cast("double").alias(c) for c in ("fitness", "rmse")))
+        active = est.select(*own, "m", *(F.lit(None).cast("double").alias(c) for c in ("fitness", "rmse")))
         done = None
         for _ in range(steps):
-            fit = cl.fit_similarity(cl.match_sums(sized(_moved(src, active.select(*keys, "m").join(batch, keys), S), r), cubes, ["set_id"], keys), [*keys, "n", "total", "err"])
-            fit = fit.select(*keys, F.col("m").alias("f"), (F.col("n") / F.col("total")).alias("f1"), F.sqrt(F.col("err") / F.col("n")).alias("r1"))
-            still = (F.abs(F.col("f1") - F.col("fitness")) <= 1e-6) & (F.abs(F.col("r1") - F.col("rmse")) <= 1e-6)
-            new = active.join(fit, keys, "left").select(*keys, F.coalesce("f", "m").alias("m"), F.col("f1").alias("fitness"), F.col("r1").alias("rmse"),
+            fit = cl.fit_similarity(cl.match_sums(sized(_moved(src, active.select(*own, "m"), S), r), cubes, ["set_id"], keys), [*keys, "n", "total", "err"])
+            fit = fit.select(*keys, F.col("m").alias("f"), (F.col("n") / F.col("total")).alias("f1"), rms.alias("r1"))
+            still = (F.abs(F.col("f1") - F.col("fitness")) <= cl.STILL) & (F.abs(F.col("r1") - F.col("rmse")) <= cl.STILL)
+            new = active.join(fit, keys, "left").select(*own, F.coalesce("f", "m").alias("m"), F.col("f1").alias("fitness"), F.col("r1").alias("rmse"),
                                                         (F.coalesce(still, F.lit(False)) | F.col("f").isNull()).alias("still"))
             new = written(new, "est")
-            ended, active = new.filter("still").select(*keys, "m"), new.filter("not still").drop("still")
+            ended, active = new.filter("still").select(*own, "m"), new.filter("not still").drop("still")
             done = ended if done is None else done.unionByName(ended)
             if active.isEmpty():
                 break
-        est = written(done.unionByName(active.select(*keys, "m")), "est")
+        last = active.select(*own, "m")
+        est = written(last if done is None else done.unionByName(last), "est")
     # Scores are taken at the final estimate; the cubes are those of the last radius.
-    sums = cl.match_sums(sized(_moved(src, est.join(batch, keys), S), CANDIDATE_RADIUS), cubes, ["set_id"], keys)
-    return written(sums.join(est, keys).select(*keys, "m", (F.col("n") / F.col("total")).alias("fitness"), F.coalesce(F.sqrt(F.col("err") / F.col("n")), F.lit(0.0)).alias("rmse")), "scores")
+    sums = cl.match_sums(sized(_moved(src, est, S), radii[-1]), cubes, ["set_id"], keys)
+    return sums.join(est, keys).select(*keys, "m", (F.col("n") / F.col("total")).alias("fitness"), F.coalesce(rms, F.lit(0.0)).alias("rmse"))
 
 
 def pick_candidate(scores: DataFrame) -> DataFrame:

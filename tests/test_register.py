@@ -83,3 +83,43 @@ def test_bake_prunes_by_each_set(spark):
     own = spark.createDataFrame([("a", {"prune_opacity": 0.2})], "set_id string, params map<string,double>")
     got = sp.bake(df, t, tuning=own)
     assert sorted((r.set_id, r.opacity) for r in got.collect()) == [("a", 0.3), ("b", 0.1), ("b", 0.3)] and got.columns == df.columns
+
+
+def _clouds(spark, n=120, far=0.0):
+    """(source, reference): points .1 apart or more, and the same a quarter turn off, shifted by ``far``."""
+    rng = np.random.default_rng(5)
+    pts = np.stack(np.meshgrid(np.arange(8), np.arange(5), np.arange(4)), -1).reshape(-1, 3)[:n] / 8 + rng.uniform(0, 0.03, (n, 3)) - [0.45, 0.3, 0]
+    rows = [("a", 1, *map(float, (-y + far, x, z))) for x, y, z in pts]
+    return (spark.createDataFrame(rows, "set_id string, state int, x double, y double, z double"),
+            spark.createDataFrame([("a", *map(float, p)) for p in pts], "set_id string, x double, y double, z double"))
+
+
+def test_small_clouds_are_fitted_without_jobs_for_each_step(spark):
+    source, reference = _clouds(spark)
+    spark.sparkContext.setJobGroup("starts", "starts")
+    try:
+        best = reg.pick_candidate(reg.score_candidates(source, reference)).first()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("starts"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert best.fitness == 1.0 and np.allclose(np.array(best.m)[:3, :3], [[0, 1, 0], [-1, 0, 0], [0, 0, 1]], atol=1e-6)
+    assert 0 < jobs < 40
+
+
+def test_clouds_in_one_task_and_in_cubes_are_fitted_alike(spark, monkeypatch):
+    source, reference = _clouds(spark)
+    scores = lambda: {r.cand: (r.fitness, r.rmse, np.array(r.m)) for r in reg.score_candidates(source, reference, steps=4).collect()}
+    whole = scores()
+    monkeypatch.setattr(reg.cl, "WHOLE", 0)
+    cubes = scores()
+    assert sorted(whole) == sorted(cubes) == list(range(8))
+    for cand, (fitness, rmse, m) in whole.items():
+        assert fitness == cubes[cand][0] and abs(rmse - cubes[cand][1]) < 1e-9 and np.allclose(m, cubes[cand][2], atol=1e-9)
+
+
+def test_a_cloud_that_meets_no_target_scores_nothing(spark, monkeypatch):
+    source, reference = _clouds(spark, n=40, far=9.0)
+    for most in (reg.cl.WHOLE, 0):
+        monkeypatch.setattr(reg.cl, "WHOLE", most)
+        got = reg.score_candidates(source, reference, steps=2).collect()
+        assert len(got) == 8 and {(r.fitness, r.rmse) for r in got} == {(0.0, 0.0)}
