@@ -35,6 +35,7 @@ SCHEMA = ("set_id string, state int, splat_id bigint, x double, y double, z doub
           "scale array<float>, rot array<float>, f_dc array<float>, f_rest array<float>")
 RANGE_BYTES = 64 << 20
 BATCH_ROWS = 1 << 16
+TASKS = 4                       # tasks for each core that the ranges of a read are dealt to, while these stay under ``RANGE_BYTES``
 HEADER_BYTES = 1 << 20          # a header ends within these
 
 
@@ -137,7 +138,10 @@ class ByteRange(InputPartition):
 class CaptureReader(DataSourceReader):
     def __init__(self, options, names: list[str]):
         self.files = json.loads(options["files"])
-        self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        # A partition is a whole number of ranges: one, or as many as keep the partitions to ``tasks`` and one more for each file.
+        range_bytes, tasks = int(options.get("rangeBytes", RANGE_BYTES)), int(options.get("tasks", 0))
+        share = min(RANGE_BYTES, sum(f["size"] for f in self.files) // tasks) if tasks else 0
+        self.range_bytes = range_bytes * max(1, -(-share // range_bytes))
         self.names = names
 
     def partitions(self):
@@ -187,7 +191,7 @@ class SplatCapture(DataSource):
 
 def read_captures(spark: SparkSession, files: list[tuple[str, int, str]] | DataFrame, range_bytes: int = RANGE_BYTES, columns: list[str] | None = None) -> DataFrame:
     """``files`` are (set_id, state, path), as a list or as the table that ``list_captures`` gives; ``columns`` the ones wanted. A file that breaks
-    a rule fails the read with its name and the rule."""
+    a rule fails the read with its name and the rule. A task reads one range of ``range_bytes`` or, where a read has many, several that follow each other."""
     spark.dataSource.register(SplatCapture)
     if isinstance(files, DataFrame):
         found = [(r.set_id, r.state, r.path, r.length) for r in files.select("set_id", "state", "path", "length").collect()]       # names and sizes, a row for a file
@@ -196,7 +200,7 @@ def read_captures(spark: SparkSession, files: list[tuple[str, int, str]] | DataF
     listed = json.dumps([dict(zip(("set_id", "state", "path", "size"), f)) for f in found])
     types = dict(f.split() for f in SCHEMA.split(", "))
     schema = ", ".join(f"{c} {types[c]}" for c in columns or types)
-    return spark.read.format("splat_capture").schema(schema).option("files", listed).option("rangeBytes", str(range_bytes)).load()
+    return spark.read.format("splat_capture").schema(schema).option("files", listed).option("rangeBytes", str(range_bytes)).option("tasks", str(TASKS * spark.sparkContext.defaultParallelism)).load()
 
 
 LAYOUT = r"([^/]+)/raw/c([0-9]+)[.]ply$"

@@ -29,6 +29,16 @@ def test_reads_every_row_in_ranges(spark, tmp_path, rows):
     assert list(got["f_rest"][3]) == list(rows[3, 6:15]) and list(got["rot"][4]) == list(rows[4, -4:])
 
 
+def test_many_small_ranges_share_tasks(spark, tmp_path, rows):
+    many = np.tile(rows, (8, 1))
+    files = [("a", 0, write(tmp_path / "c0.ply", many)), ("a", 1, write(tmp_path / "c1.ply", rows[:7]))]
+    df = cap.read_captures(spark, files, range_bytes=256, columns=["state", "splat_id", "x"])
+    assert 8 < df.rdd.getNumPartitions() <= cap.TASKS * spark.sparkContext.defaultParallelism + 2
+    got = df.orderBy("state", "splat_id").toPandas()
+    np.testing.assert_array_equal(got["splat_id"], [*range(4000), *range(7)])
+    np.testing.assert_array_equal(got["x"], np.r_[many[:, 0], rows[:7, 0]].astype(float))
+
+
 @pytest.mark.parametrize("broken, message", [
     (dict(head="plain"), "not a ply"), (dict(fmt="ascii"), "binary_little_endian"), (dict(kind="double"), "only float32"),
     (dict(element="face"), "'vertex'"), (dict(short=4), "body is"), (dict(names=NAMES[1:]), "missing property 'x'")])
