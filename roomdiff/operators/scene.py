@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from roomdiff.functions import geometry as g
 from roomdiff.functions import scalar as s
-from roomdiff.functions.stage import written
+from roomdiff.functions.stage import shuffled, written
 
 MOVE_MIN_M = 0.05    # closer than this, a thing did not move
 
@@ -28,7 +28,7 @@ def _valid_links(objects: DataFrame, field: str) -> DataFrame:
     ends = objects.select("set_id", F.col("id").alias("to"))
     return (objects.filter(F.col(field).isNotNull())
             .select("set_id", "id", F.col(field).cast("long").alias("to"))
-            .join(ends, ["set_id", "to"], "left_semi").select("set_id", "id", "to"))
+            .join(shuffled(ends), ["set_id", "to"], "left_semi").select("set_id", "id", "to"))
 
 
 def _follow_to_end(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +37,7 @@ def _follow_to_end(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     rounds = math.ceil(math.log2(max(cur.count(), 1) + 1)) + 1
     for _ in range(rounds):
         ahead = cur.select("set_id", F.col("id").alias("to"), F.col("to").alias("next"))
-        cur = written(cur.join(ahead, ["set_id", "to"], "left")
+        cur = written(cur.join(shuffled(ahead), ["set_id", "to"], "left")
                       .select("set_id", "id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moving")),
                       "links")
         if cur.filter("moving").isEmpty():
@@ -52,9 +52,9 @@ def roots(objects: DataFrame) -> DataFrame:
     ended, walking = _follow_to_end(back)
     cyclic = walking.select("set_id", F.col("to").alias("id")).distinct()
     if not walking.isEmpty():
-        ended, _ = _follow_to_end(back.join(written(cyclic, "cycle"), ["set_id", "id"], "left_anti"))
+        ended, _ = _follow_to_end(back.join(shuffled(written(cyclic, "cycle")), ["set_id", "id"], "left_anti"))
     return (objects.select("set_id", "id")
-            .join(ended.withColumnRenamed("to", "root"), ["set_id", "id"], "left")
+            .join(shuffled(ended.withColumnRenamed("to", "root")), ["set_id", "id"], "left")
             .select("set_id", "id", F.coalesce("root", "id").alias("root")))
 
 
@@ -68,7 +68,7 @@ def chains(objects: DataFrame, root_of: DataFrame | None = None) -> DataFrame:
     step = 1
     n_known = known.count()
     while True:
-        longer = (known.join(jump, ["set_id", "id"])
+        longer = (known.join(shuffled(jump), ["set_id", "id"])
                   .select("set_id", "root", (F.col("pos") + step).alias("pos"), F.col("to").alias("id")))
         grown = known.unionByName(longer).groupBy("set_id", "root", "id").agg(F.min("pos").alias("pos"))   # a revisit ends a chain
         known = written(grown.select("set_id", "root", "pos", "id"), "chain")
@@ -77,7 +77,7 @@ def chains(objects: DataFrame, root_of: DataFrame | None = None) -> DataFrame:
             return known
         n_known = n_now
         ahead = jump.select("set_id", F.col("id").alias("to"), F.col("to").alias("next"))
-        jump = written(jump.join(ahead, ["set_id", "to"]).select("set_id", "id", F.col("next").alias("to")), "jump")
+        jump = written(jump.join(shuffled(ahead), ["set_id", "to"]).select("set_id", "id", F.col("next").alias("to")), "jump")
         step *= 2
 
 
@@ -109,7 +109,7 @@ def presence(objects: DataFrame) -> DataFrame:
 
 def positions(objects: DataFrame, chain: DataFrame) -> DataFrame:
     """(set_id, root, state, id, x, z): the first id of each chain that is present in a state, and its place."""
-    seen = presence(objects).join(chain, ["set_id", "id"])
+    seen = presence(objects).join(shuffled(chain), ["set_id", "id"])
     first = F.min_by(F.struct("id", "x", "z"), "pos").alias("at")
     return seen.groupBy("set_id", "root", "state").agg(first).select("set_id", "root", "state", "at.id", "at.x", "at.z")
 
@@ -148,7 +148,7 @@ def diff(places: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
     out = both.select("set_id", "a", "b", "root", kind.alias("kind"), F.coalesce("q.id", "p.id").alias("id"),
                       F.col("p.id").alias("from_id"), gap.alias("gap"), F.col("p.x").alias("from_x"), F.col("p.z").alias("from_z"))
     moved = F.col("kind") == "moved"
-    return (out.join(names, ["set_id", "root"])
+    return (out.join(shuffled(names), ["set_id", "root"])
             .select("set_id", "a", "b", "root", "name", "kind", "id",
                     F.when(moved, F.col("from_id")).alias("from_id"), F.when(moved, F.col("gap")).alias("metres"),
                     F.when(F.col("kind") != "added", F.col("from_x")).alias("from_x"),

@@ -158,3 +158,12 @@ def test_the_smallest_mark_without_pairs(spark, monkeypatch):
     assert {(r.set_id, r.point): r.id for r in out.collect()} == {k: min(h)[1] if h else None for k, h in want.items()}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and not any("Join" in line and "x0" in line for line in plan.splitlines())
+
+
+def test_tables_that_grow_with_the_input_are_not_broadcast(spark, room):
+    o, r, c, places, names = room
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (scene.roots(o), scene.positions(o, c)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    lines = scene.diff(places, heads(spark, (2, 3)).select("set_id", F.col("standard").alias("a"), F.col("head").alias("b")), names)
+    assert "Exchange hashpartitioning(set_id" in plan(lines) and plan(lines).count("SortMergeJoin") >= 1
