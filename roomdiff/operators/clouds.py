@@ -10,6 +10,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +49,43 @@ def nearest(source: DataFrame, target: DataFrame, keys: list[str], point: str, r
     return source.join(best, [*keys, point], "left")
 
 
-def nearest_within(source: np.ndarray, target: np.ndarray, cell: float, radius: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+class Pyramid:
+    """Targets in the order of their cells, worked out once for each size of cells."""
+
+    def __init__(self, target: np.ndarray):
+        self.target, self.sizes = target, {}
+
+    def at(self, size: float) -> tuple:
+        """(lowest corner, number of cells along each axis with two more round them, order, keys in that order)."""
+        if size not in self.sizes:
+            base = self.target.min(axis=0)
+            cells = np.floor((self.target - base) / size).astype(np.int64)
+            wide = cells.max(axis=0) + 3
+            key = _cell_key(cells, wide)
+            order = np.argsort(key, kind="stable")
+            self.sizes[size] = (base, wide, order, key[order])
+        return self.sizes[size]
+
+
+def _cell_key(c: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    return ((c[:, 0] + 1) * wide[1] + c[:, 1] + 1) * wide[2] + c[:, 2] + 1
+
+
+def nearest_within(source: np.ndarray, target: np.ndarray | Pyramid, cell: float, radius: float, most: int = 1 << 20, start: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(squared distance, place in ``target``) of each source point's nearest target within ``radius``; infinite and -1 where there is none. Exact; of
     targets equally near the first one. A pyramid of cells: a point looks into the 27 cells around it, which hold all that is nearer than a
-    cell's side, and only points that found nothing so near are carried to cells twice as large. ``most`` bounds the pairs compared at once."""
+a cell's side, and only points that found nothing so near are carried to cells twice as large. ``most`` bounds the pairs compared at once.
+    Cells smaller than ``start`` are left out, which changes the time it takes and nothing else."""
     far, at = np.full(len(source), np.inf), np.full(len(source), -1)
     todo, size = np.arange(len(source)), cell
+    levels = target if isinstance(target, Pyramid) else Pyramid(target)
+    target = levels.target
     if not len(target):
         return far, at
-    base = target.min(axis=0)
+    while size < min(start, radius):
+        size = min(2 * size, max(radius, cell))
     while len(todo):
-        cells = np.floor((target - base) / size).astype(np.int64)
-        wide = cells.max(axis=0) + 3
-        key = lambda c: ((c[:, 0] + 1) * wide[1] + c[:, 1] + 1) * wide[2] + c[:, 2] + 1
-        order = np.argsort(key(cells), kind="stable")
-        held = key(cells)[order]
+        base, wide, order, held = levels.at(size)
         own = np.floor((source[todo] - base) / size).astype(np.int64)
         around = ((own >= -1) & (own <= wide - 2)).all(axis=1)              # others have no target in a neighbouring cell
         who, own = todo[around], own[around]
@@ -70,7 +93,7 @@ def nearest_within(source: np.ndarray, target: np.ndarray, cell: float, radius:
             for dj in (-1, 0, 1):
                 i, j = own[:, 0] + di, own[:, 1] + dj
                 ok = (i >= 0) & (i <= wide[0] - 3) & (j >= 0) & (j <= wide[1] - 3)
-                row = key(np.stack([i, j, np.zeros_like(i)], axis=1)) - 1
+                row = ((i + 1) * wide[1] + j + 1) * wide[2]
                 first = np.searchsorted(held, row + np.maximum(own[:, 2], 1))
                 n = np.where(ok, np.searchsorted(held, row + own[:, 2] + 2, side="right") - first, 0)
                 for part in np.split(np.arange(len(who)), np.searchsorted(np.cumsum(n), np.arange(most, n.sum() + 1, most))):
@@ -163,47 +186,64 @@ def batched(clouds: DataFrame, join_on: list[str], keys: list[str]) -> tuple[Dat
     return rows, rows.groupBy(*join_on).agg((F.max("batch") + 1).alias("batches"))
 
 
-WHOLE = 1 << 18             # points of a moving cloud and of its targets, together, that one task may hold through all steps
+WHOLE = 1 << 21             # points of a moving cloud and of its targets, together, that one task may hold through all steps
 STILL = 1e-6                # a score that moves by no more is still
 
 
 def settle(target: np.ndarray, own: np.ndarray, m: np.ndarray, cell: float, radii: list[float], steps: int) -> tuple[np.ndarray, float, float]:
     """(matrix, share of points matched, root mean square distance) of one cloud, fitted at each radius until its score is still or nothing fits, at
     most ``steps`` times. The score is taken at the final matrix and the last radius."""
-    at = lambda m: own @ m[:3, :3].T + m[:3, 3]
+    levels, far = Pyramid(target), 0.0
+
+    def sums(radius: float) -> tuple[float, float, np.ndarray]:
+        """(points matched, their squared distances, ``SUMS``). The search begins with cells as wide as half of the last matches were far."""
+        nonlocal far
+        d2, hit = nearest_within(own @ m[:3, :3].T + m[:3, 3], levels, cell, radius, start=far)
+        ok = d2 < radius ** 2
+        far = float(np.sqrt(np.median(d2[ok]))) if ok.any() else radius
+        p, d = own[ok], target[hit[ok]]
+        return float(len(p)), float(d2[ok].sum()), np.concatenate([[len(p)], p.sum(axis=0), d.sum(axis=0), (d.T @ p).ravel(), [(p ** 2).sum()]])
+
     for radius in radii:
+        # Points that lie together stand together, so that those looked up one after the other are near one another.
+        own = own[np.lexsort(np.floor((own @ m[:3, :3].T + m[:3, 3]) / radius).T[::-1])]
         before = None
         for _ in range(steps):
-            a = _match(target, at(m), own, cell, radius).sum(axis=0)
-            found, ok = _similarities(np.delete(a, 1)[None])
+            n, err, a = sums(radius)
+            found, ok = _similarities(a[None])
             if not ok[0]:
                 break
-            now = np.array([a[0] / len(own), np.sqrt(a[1] / a[0])])
+            now = np.array([n / len(own), np.sqrt(err / n)])
             m, still = found[0], before is not None and (np.abs(now - before) <= STILL).all()
             if still:
                 break
             before = now
-    a = _match(target, at(m), own, cell, radii[-1])[:, :2].sum(axis=0)
-    return m, a[0] / len(own), np.sqrt(a[1] / max(a[0], 1))
+    n, err, _ = sums(radii[-1])
+    return m, n / len(own), np.sqrt(err / max(n, 1))
 
 
 def settle_whole(source: DataFrame, target: DataFrame, starts: DataFrame, join_on: list[str], keys: list[str], cell: float, radii: list[float], steps: int) -> DataFrame:
     """(keys, m, fitness, rmse): ``settle`` for each of ``starts(keys, m)``, one cloud and its targets to a group. For clouds of at most ``WHOLE`` points, which
     the caller sees to; ``match_sums`` takes those of any size, a step at a time."""
-    spread = 4 * source.sparkSession.sparkContext.defaultParallelism
+    spread = 16 * source.sparkSession.sparkContext.defaultParallelism
     fields = {f.name: f.dataType.simpleString() for f in starts.schema}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", m array<array<double>>, fitness double, rmse double"
     wanted = pa.schema([*[(k, _arrow(fields[k])) for k in keys], ("m", pa.list_(pa.list_(pa.float64()))), ("fitness", pa.float64()), ("rmse", pa.float64())])
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+        is_start = right.column("m").is_valid()
+        begin = right.filter(is_start)
+        if not left.num_rows or not begin.num_rows:
             return wanted.empty_table()
         own = np.stack([left.column(f"p{c}").to_numpy() for c in XYZ], axis=1).astype(float)
-        m, fitness, rmse = settle(_targets(right), own, np.array(left.column("m")[0].as_py(), float), cell, radii, steps)
+        target = _targets(right.filter(pc.invert(is_start)))
+        m, fitness, rmse = settle(target, own, np.array(begin.column("m")[0].as_py(), float), cell, radii, steps)
         return pa.Table.from_pylist([{**{k: left.column(k)[0].as_py() for k in keys}, "m": m.tolist(), "fitness": float(fitness), "rmse": float(rmse)}], schema=wanted)
 
-    rows = source.join(starts, [k for k in keys if k in source.columns]).select(*keys, *[f"p{c}" for c in XYZ], "m")
-    targets = target.select(*join_on, *XYZ).join(starts.select(*keys), join_on).select(*[F.col(c).alias(c) for c in [*keys, *XYZ]])
+    rows = source.join(starts.select(*keys), [k for k in keys if k in source.columns]).select(*keys, *[f"p{c}" for c in XYZ])
+    nowhere = [F.lit(None).cast("double").alias(c) for c in XYZ]
+    targets = target.select(*join_on, *XYZ).join(starts.select(*keys), join_on).select(*[F.col(c).alias(c) for c in [*keys, *XYZ]], F.lit(None).cast(fields["m"]).alias("m"))
+    targets = targets.unionByName(starts.select(*keys, *nowhere, "m"))          # the matrix goes once, not with every point
     return rows.repartition(spread, *keys).groupBy(*keys).cogroup(targets.repartition(spread, *keys).groupBy(*keys)).applyInArrow(solve, schema)
 
 

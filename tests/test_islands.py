@@ -71,10 +71,9 @@ def test_a_small_graph_is_contracted_in_one_job(spark, monkeypatch):
     rng = np.random.default_rng(2)
     edges = [(str(k % 3), k % 2, int(u), int(w)) for k in range(400) for u, w in [rng.integers(0, 150, 2)]] + [("chain", 0, n, n + 1) for n in range(300)]
     df = spark.createDataFrame(edges, "set_id string, step int, u bigint, w bigint")
-    found = lambda: sorted(map(tuple, cc.connect(df, ["set_id", "step"]).select("set_id", "step", "node", "comp").collect()))
+    found = lambda small: sorted(map(tuple, cc.connect(df, ["set_id", "step"], small).select("set_id", "step", "node", "comp").collect()))
     written = []
     monkeypatch.setattr(cc, "written", lambda df, name, real=cc.written: (written.append(name), real(df, name))[1])
-    small = found()
+    small = found(cc.SMALL)
     assert written == ["edges", "connected"] and ("chain", 0, 300, 0) in small
-    monkeypatch.setattr(cc, "SMALL", 0)
-    assert small == found()
+    assert small == found(0)

@@ -123,3 +123,30 @@ def test_a_cloud_that_meets_no_target_scores_nothing(spark, monkeypatch):
         monkeypatch.setattr(reg.cl, "WHOLE", most)
         got = reg.score_candidates(source, reference, steps=2).collect()
         assert len(got) == 8 and {(r.fitness, r.rmse) for r in got} == {(0.0, 0.0)}
+
+
+def test_clouds_of_hundreds_of_thousands_are_fitted_without_jobs_for_each_step(spark):
+    n = 140_000
+    pts = spark.range(n).select(*[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 20)) / (1 << 20) - 0.5).alias(c) for c in "xyz"])
+    source, reference = (pts.select(F.lit("a").alias("set_id"), *own) for own in ([F.lit(1).alias("state"), (-F.col("y")).alias("x"), F.col("x").alias("y"), "z"], "xyz"))
+    group = "large starts"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        best = reg.pick_candidate(reg.score_candidates(source, reference, steps=2)).first()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert best.fitness == 1.0 and np.allclose(np.array(best.m)[:3, :3], [[0, 1, 0], [-1, 0, 0], [0, 0, 1]], atol=1e-6)
+    assert 0 < jobs < 40
+
+
+def test_cells_left_out_do_not_change_the_nearest():
+    rng = np.random.default_rng(7)
+    source, target = rng.uniform(0, 1, (300, 3)), rng.uniform(0, 1, (400, 3)).round(1)
+    far, at = reg.cl.nearest_within(source, target, 0.01, 0.2)
+    levels = reg.cl.Pyramid(target)
+    for start in (0.0, 0.03, 0.1, 5.0):
+        d2, hit = reg.cl.nearest_within(source, levels, 0.01, 0.2, start=start)
+        assert (d2 == far).all() and (hit == at).all()
+    gap = ((source[:, None] - target[None]) ** 2).sum(axis=2)
+    assert (np.where(gap.min(axis=1) <= 0.04, gap.argmin(axis=1), -1) == at).all()
